@@ -41,13 +41,13 @@ def in_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Itera
             yield batch.slice(a, b - a)
 
 
-def map_slices(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+def map_slices(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], limit: int = 8 << 20) -> DataFrame:
     """mapInArrow of ``make()(slice)`` over slices of bounded size."""
 
     def run(batches):
         f = make()
         for batch in batches:
-            for part in in_slices(batch, column):
+            for part in in_slices(batch, column, limit):
                 yield f(part)
 
     return df.mapInArrow(run, schema)

@@ -20,12 +20,31 @@ def vocabulary(name: str) -> str:
         return os.path.join("/opt/tokenizers", name)
 
 
+def op1_hnsw_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshloom.llm.hnsw import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op2_prefix_forest_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshloom.llm.prefix_forest import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshloom.llm.sharding import place
 
     return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshloom.llm.mixing import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshloom.llm.bpe import encode_documents
 
@@ -57,24 +76,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-#: DuckDB's crc32 isn't there in every version, so it is computed a bit at a time; the table is filled turn by turn.
-PLACEMENT_SQL = """
-WITH RECURSIVE shards AS (
-  SELECT i, printf('shard-%02d', i) AS shard, md5(printf('shard-%02d', i)) AS d FROM range(32) t(i)
-), orders AS (
-  SELECT i, shard, ('0x' || d[1:8])::BIGINT % 4099 AS start, ('0x' || d[9:16])::BIGINT % 4098 + 1 AS stride FROM shards
-), listed AS (
-  SELECT list([start, stride] ORDER BY i) AS o FROM orders
-), turns(k, taken, slot) AS (
-  SELECT 0, [o[1][1]], o[1][1] FROM listed
-  UNION ALL
-  SELECT k + 1, list_append(taken, pick), pick FROM (
-    SELECT k, taken, list_filter(list_transform(range(4099), s -> (o[(k + 1) % 32 + 1][1] + s * o[(k + 1) % 32 + 1][2]) % 4099), x -> NOT list_contains(taken, x))[1] AS pick
-    FROM turns, listed WHERE k < 4098)
-)
-SELECT 1
-"""
-
-
-QUERIES = {f.__name__: f for f in (op4_shard_placement, op6_bpe_codec, op7_language_id, op8_simhash_near_dup, op9_sequence_packing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_hnsw_near_dup, op2_prefix_forest_ann, op4_shard_placement, op5_context_mixing, op6_bpe_codec, op7_language_id, op8_simhash_near_dup, op9_sequence_packing, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
