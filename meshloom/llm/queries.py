@@ -33,6 +33,12 @@ def op2_prefix_forest_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_mincut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshloom.llm.mincut import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshloom.llm.sharding import place
 
@@ -76,5 +82,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_hnsw_near_dup, op2_prefix_forest_ann, op4_shard_placement, op5_context_mixing, op6_bpe_codec, op7_language_id, op8_simhash_near_dup, op9_sequence_packing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_hnsw_near_dup, op2_prefix_forest_ann, op3_mincut_main_text, op4_shard_placement, op5_context_mixing, op6_bpe_codec, op7_language_id, op8_simhash_near_dup, op9_sequence_packing, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
