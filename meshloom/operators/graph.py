@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meshloom.plans.storage import drop_table, materialize
 
 
+#: Up to so many rows an iterative operator runs in one task for each key; beyond, in distributed rounds.
+SMALL = 20_000
+
+
+def find_root(up: dict, x):
+    """Root of x in a parent map, whose paths it shortens."""
+    path = []
+    while (p := up.get(x, x)) != x:
+        path.append(x)
+        x = p
+    for y in path:
+        up[y] = x
+    return x
+
+
+def _by_keys(df: DataFrame, keys: list[str]):
+    return df.groupBy(*keys) if keys else df.groupBy(F.lit(0).alias("__all"))
+
+
 def symmetric(edges: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     """Both directions of every edge as (keys..., a, b); repeated pairs and loops are kept out."""
     both = edges.select(*keys, F.col(a).alias("a"), F.col(b).alias("b"))
@@ -21,48 +42,71 @@ def degrees(edges: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return ends.groupBy(*keys, "node").agg(F.count("*").alias("degree"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable node id for each node that an edge names: (node, component).
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = (), max_rounds: int = 60) -> DataFrame:
+    """Smallest reachable node id for each node that an edge names: (keys..., node, component). Nodes are told apart within ``keys``.
 
-    Large-star and small-star rounds until nothing changes: each round hooks
+    Few edges (``SMALL``, counted) are united in one task for each key. Otherwise large-star and small-star rounds until nothing changes: each round hooks
     the neighbours of a node on the smallest of them, so a path of n nodes takes
     O(log^2 n) rounds. Every round is written to the shared folder, which cuts the
     lineage, and the table before is removed. Edges with a null end and loops are ignored;
     an empty edge table gives an empty result. Nothing is gathered on the driver but
     one row of sums a round.
     """
-    lo, hi = F.least(F.col("a"), F.col("b")), F.greatest(F.col("a"), F.col("b"))
-    clean = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = materialize(clean.select(hi.alias("u"), lo.alias("v")).distinct(), "components")
+    k, on = list(keys), [*keys, "u"]
+    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    clean = edges.select(*k, F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    now = materialize(clean.select(*k, hi.alias("u"), lo.alias("v")).distinct(), "components")
+    if now.count() <= SMALL:
+        node = now.schema["u"].dataType
+        schema = T.StructType([*[now.schema[c] for c in k], T.StructField("node", node), T.StructField("component", node)])
+
+        def unite(df: pd.DataFrame) -> pd.DataFrame:
+            up: dict = {}
+            for x, y in zip(df["u"], df["v"], strict=True):
+                x, y = find_root(up, x), find_root(up, y)
+                up[max(x, y)] = min(x, y)
+            nodes = sorted({*df["u"], *df["v"]})
+            return pd.DataFrame({c: [df[c].iloc[0]] * len(nodes) for c in k} | {"node": nodes, "component": [find_root(up, x) for x in nodes]}, columns=schema.names)
+
+        return _by_keys(now, k).applyInPandas(lambda df: unite(df), schema)
     seen = None
     for _ in range(max_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.countDistinct("u")).first()
+        state = now.agg(F.count("*"), F.sum(F.xxhash64(*on, "v") % 1_000_003), F.countDistinct(F.struct(*on))).first()
         if state[0] == 0 or (state == seen and state[0] == state[2]):
             break
         seen = state
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_min, "u")
-        small = joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        both = now.select(*on, "v").union(now.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(*on).agg(F.min("v").alias("m")).select(*on, F.least("u", "m").alias("m"))
+        large = both.join(least, on).filter("v > u").select(*k, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small_min = large.groupBy(*on).agg(F.min("v").alias("m"))
+        joined = large.join(small_min, on)
+        small = joined.select(*on, F.col("m").alias("v")).union(joined.filter("v <> m").select(*k, F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after = materialize(small, "components")
         drop_table(now)
         now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    roots = now.select(*k, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(*k, F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
 def resolve_roots(parents: DataFrame, keys: list[str], node: str = "node", parent: str = "parent", max_rounds: int = 60) -> DataFrame:
     """Root of every node of a forest by pointer jumping: (keys..., node, root).
 
-    ``parents`` has one row for each node; a null parent marks a root. Each round doubles the
+    ``parents`` has one row for each node; a null parent marks a root. Few nodes (``SMALL``, counted) are walked in one task for each key; otherwise each round doubles the
     length of the jumps, and is written to the shared folder.
     """
     p = F.coalesce(F.col(parent), F.col(node))
+    keys = list(keys)
     now = materialize(parents.select(*keys, F.col(node).alias("node"), p.alias("root")), "roots")
+    if now.count() <= SMALL:
+        schema = now.schema
+
+        def walk(df: pd.DataFrame) -> pd.DataFrame:
+            up = dict(zip(df["node"], df["root"], strict=True))
+            return df.assign(root=[find_root(up, x) for x in df["node"]])[schema.names]
+
+        return _by_keys(now, keys).applyInPandas(lambda df: walk(df), schema)
     for _ in range(max_rounds):
         up = now.select(*keys, F.col("node").alias("root"), F.col("root").alias("above"))
         step = now.join(up, [*keys, "root"], "left").select(*keys, "node", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).cast("int").alias("moved"))
