@@ -60,7 +60,7 @@ def add_subcluster_labels(df: DataFrame, sub: DataFrame, cluster: str, label: st
 def knn(vectors: DataFrame, k: int = 30, block: int = 4096, key: str = "id", emb: str = "emb") -> DataFrame:
     """(id, rank, other, distance): the k nearest of each row by cosine distance, exact; ties to the smaller id. Blocks of rows meet blocks of rows, and lists are merged."""
     n = max(1, -(-vectors.count() // block))
-    base = vectors.filter(F.col(emb).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(emb).alias("v"))
+    base, kind = vectors.filter(F.col(emb).isNotNull()).select(F.col(key).alias("id"), F.col(emb).alias("v")), dict(vectors.dtypes)[key]
     part, every = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a, b = base.select("id", "v", part.alias("p"), every.alias("q")), base.select("id", "v", part.alias("q"), every.alias("p"))
 
@@ -72,14 +72,15 @@ def knn(vectors: DataFrame, k: int = 30, block: int = 4096, key: str = "id", emb
         d = np.round(1 - norm(u) @ norm(v).T, 12)
         xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
         d[xi[:, None] == yi[None, :]] = np.inf
-        out = []
+        out, order = [], np.argsort(np.argsort(yi, kind="stable"), kind="stable")
         for i, row in enumerate(d):
-            best = np.lexsort((yi, row))[:k]
+            best = np.lexsort((order, row))[:k]
             best = best[np.isfinite(row[best])]
             out.append(pd.DataFrame({"id": xi[i], "other": yi[best], "distance": row[best]}))
         return pd.concat(out)
 
-    found = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(kernel, "id long, other long, distance double")
+    a, b = a.toDF(*a.columns), b.toDF(*b.columns)  # new names, as both come from one table
+    found = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(kernel, f"id {kind}, other {kind}, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "other", "distance")
 
@@ -90,6 +91,7 @@ def fuzzy_graph(neighbours: DataFrame) -> DataFrame:
     In each row's list, rho is the least positive distance and sigma is such that the memberships exp(-(d - rho) / sigma) sum to log2 of the list's length;
     a and b of the two directions become a + b - ab.
     """
+    kind = dict(neighbours.dtypes)["id"]
     lists = neighbours.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "other", "distance"))).alias("l"))
 
     def kernel(batches):
@@ -109,7 +111,7 @@ def fuzzy_graph(neighbours: DataFrame) -> DataFrame:
                 out.append(pd.DataFrame({"id": i, "other": [e["other"] for e in l], "weight": np.exp(-np.maximum(d - rho, 0) / sigma)}))
             yield pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "weight": []})
 
-    one = lists.mapInPandas(kernel, "id long, other long, weight double")
+    one = lists.mapInPandas(kernel, f"id {kind}, other {kind}, weight double")
     two = one.select(F.col("other").alias("id"), F.col("id").alias("other"), F.col("weight").alias("back"))
     joined = one.join(two, ["id", "other"], "full").select("id", "other", F.coalesce("weight", F.lit(0.0)).alias("a"), F.coalesce("back", F.lit(0.0)).alias("b"))
     return joined.select("id", "other", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight"))
@@ -170,14 +172,14 @@ def communities(graph: DataFrame, resolution: float = 1.0) -> DataFrame:
         out = louvain(sorted(zip(df["id"], df["other"], df["weight"], strict=True)), resolution)
         return pd.DataFrame({"id": list(out), "community": list(out.values())})
 
-    return graph.filter("id < other").groupBy(F.lit(0).alias("__one")).applyInPandas(lambda df: kernel(df), "id long, community long")
+    return graph.filter("id < other").groupBy(F.lit(0).alias("__one")).applyInPandas(lambda df: kernel(df), f"id {dict(graph.dtypes)['id']}, community long")
 
 
 def layout(graph: DataFrame, rounds: int = 200, seed: int = 0) -> DataFrame:
     """(id, u, v): a two-dimensional layout of a fuzzy graph by attraction along links and repulsion from random nodes. One task, like ``communities``."""
 
     def kernel(df: pd.DataFrame) -> pd.DataFrame:
-        ids, r = np.unique(np.concatenate([df["id"], df["other"]])), np.random.default_rng(seed)
+        ids, r = np.array(sorted({*df["id"], *df["other"]})), np.random.default_rng(seed)
         a, b, w = np.searchsorted(ids, df["id"]), np.searchsorted(ids, df["other"]), df["weight"].to_numpy()
         p = r.normal(0, 10, (len(ids), 2))
         for t in range(rounds):
@@ -192,7 +194,7 @@ def layout(graph: DataFrame, rounds: int = 200, seed: int = 0) -> DataFrame:
             np.add.at(p, a[on], (np.clip(2 * d / ((0.001 + q) * (1 + q)), -4, 4) * rate).sum(axis=1))
         return pd.DataFrame({"id": ids, "u": p[:, 0], "v": p[:, 1]})
 
-    return graph.groupBy(F.lit(0).alias("__one")).applyInPandas(lambda df: kernel(df), "id long, u double, v double")
+    return graph.groupBy(F.lit(0).alias("__one")).applyInPandas(lambda df: kernel(df), f"id {dict(graph.dtypes)['id']}, u double, v double")
 
 
 def subcluster(cells: DataFrame, cluster: str, label: str, k: int = 30, resolution: float = 1.0, key: str = "cell_id", emb: str = "emb") -> DataFrame:
