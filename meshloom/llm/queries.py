@@ -82,5 +82,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+NEAR_DUP_SQL = """
+WITH RECURSIVE good AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93
+), reached(vec_id, other) AS (
+  SELECT a, b FROM links UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other
+), counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a), least_of AS (SELECT vec_id, min(other) AS least FROM reached GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(l.least, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(l.least, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counted USING (vec_id) LEFT JOIN least_of l USING (vec_id)
+"""
+
+#: A turn a step: each shard's slots are a string in its own order, and the first 0 is what it claims.
+PLACEMENT_SQL = """
+WITH RECURSIVE named AS (
+  SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 2, '0') AS shard, md5('shard-' || lpad(CAST(i AS VARCHAR), 2, '0')) AS d FROM range(16) t(i)
+), orders AS MATERIALIZED (
+  SELECT i, shard, CAST('0x' || d[1:8] AS BIGINT) % 2053 AS start, CAST('0x' || d[9:16] AS BIGINT) % 2052 + 1 AS stride FROM named
+), listed AS MATERIALIZED (
+  SELECT list(start ORDER BY i) AS starts, list(stride ORDER BY i) AS strides, list(inverse ORDER BY i) AS inverses FROM (SELECT o.*, r.r AS inverse FROM orders o JOIN range(1, 2053) r(r) ON o.stride * r.r % 2053 = 1)
+), turns(k, slot, free) AS (
+  SELECT 0, CAST(NULL AS BIGINT), list_transform(range(16), lambda i: repeat('0', 2053))
+  UNION ALL
+  SELECT k + 1, taken, list_transform(range(16), lambda j: left(free[j + 1], CAST((taken - starts[j + 1] + 2053) * inverses[j + 1] % 2053 AS BIGINT)) || '1' || substr(free[j + 1], CAST((taken - starts[j + 1] + 2053) * inverses[j + 1] % 2053 AS BIGINT) + 2))
+  FROM (SELECT k, free, starts, strides, inverses, (starts[k % 16 + 1] + (instr(free[k % 16 + 1], '0') - 1) * strides[k % 16 + 1]) % 2053 AS taken FROM turns, listed WHERE k < 2053)
+), owners AS (SELECT slot, (k - 1) % 16 AS i FROM turns WHERE k > 0)
+SELECT doc_id, d.slot, shard FROM (SELECT doc_id, CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) % 2053 AS slot FROM documents) d JOIN owners USING (slot) JOIN orders USING (i)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_hnsw_near_dup, op2_prefix_forest_ann, op3_mincut_main_text, op4_shard_placement, op5_context_mixing, op6_bpe_codec, op7_language_id, op8_simhash_near_dup, op9_sequence_packing, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_hnsw_near_dup": NEAR_DUP_SQL, "op4_shard_placement": PLACEMENT_SQL}

@@ -14,8 +14,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Prime, over 100 slots a shard, so that shares differ by less than 1 %.
-SIZE, SHARDS = 4099, tuple(f"shard-{i:02d}" for i in range(32))
+#: Prime, 128 slots a shard, so that shares differ by less than 1 %.
+SIZE, SHARDS = 2053, tuple(f"shard-{i:02d}" for i in range(16))
 
 
 def preferences(name: str, size: int) -> tuple[int, int]:
@@ -52,9 +52,9 @@ def lookup_table(spark: SparkSession, shards: tuple[str, ...] = SHARDS, size: in
 def place(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, size: int = SIZE) -> DataFrame:
     """``df`` with ``slot`` and ``shard`` added (columns of these names are replaced).
 
-    The slot is the CRC-32 of the key as text modulo ``size``; a null key counts as the empty text. Repeated keys go
+    The slot is the first 32 bits of the MD5 of the key as text, modulo ``size``; a null key counts as the empty text. Repeated keys go
     to one shard by definition; rows are neither moved nor dropped, and an empty table stays empty.
     """
-    crc = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-    named = df.drop("slot", "shard").withColumn("slot", crc % size)
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    named = df.drop("slot", "shard").withColumn("slot", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % size)
     return named.join(F.broadcast(lookup_table(df.sparkSession, shards, size)), "slot", "left").select(*[c for c in named.columns if c != "slot"], "slot", "shard")
