@@ -191,7 +191,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     groups = simhash_groups(docs, id_col, text_col, n, radius)
     first = groups.filter((F.col("id") == F.col("component")) | F.col("component").isNull()).groupBy("id").agg(F.count("*").alias("copies"))
     first = materialize(first, "simhash-kept")
-    keep = docs.join(first.select(F.col("id").alias("__id"), "copies"), docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
+    # the way to join doesn't depend on how few ids there are
+    keep = docs.join(first.select(F.col("id").alias("__id"), "copies").hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
     if first.filter("copies > 1").limit(1).count():
         once = keep.filter("copies = 1").drop("copies")
         return once.unionByName(keep.filter("copies > 1").drop("copies").dropDuplicates([id_col]))
