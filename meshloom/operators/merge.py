@@ -26,7 +26,7 @@ def fit_mixture(d: np.ndarray, rounds: int = 500) -> tuple[float, float]:
     """
     d = np.sort(np.asarray(d, float))
     if len(d) < 4 or d[0] == d[-1]:
-        return (float(d.mean()) if len(d) else 0.0), (float(d.std()) or 1.0)
+        return (float(d.mean()), float(d.std()) or 1.0) if len(d) else (0.0, 1.0)
     floor = max(1e-8 * float(d.var()), 1e-300)
     best = None
     for free in (False, True):

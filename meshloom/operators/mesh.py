@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from meshloom.operators.delaunay import triangulate
 from meshloom.operators.graph import connected_components, symmetric
@@ -48,15 +49,18 @@ def delaunay(points: DataFrame) -> DataFrame:
     places = [T.StructField(f"{c}{n}", T.DoubleType()) for n in "abc" for c in "xy"]
     schema = T.StructType([T.StructField("sample", kinds["sample"]), *corners, *places])
 
-    def kernel(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("pt_id", kind="stable").reset_index(drop=True)
-        t = triangulate(df["x"].to_numpy(), df["y"].to_numpy())
-        out = {"sample": [df["sample"].iloc[0]] * len(t)}
-        out |= {n: df["pt_id"].to_numpy()[t[:, k]] for k, n in enumerate("abc")}
-        out |= {f"{c}{n}": df[c].to_numpy()[t[:, k]] for k, n in enumerate("abc") for c in "xy"}
-        return pd.DataFrame(out, columns=schema.names)
+    arrow = to_arrow_schema(schema)
 
-    return points.select("sample", "pt_id", "x", "y").groupBy("sample").applyInPandas(kernel, schema)
+    def kernel(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pt_id")
+        place = {c: t[c].to_numpy() for c in "xy"}
+        faces = triangulate(place["x"], place["y"])
+        out = {"sample": pa.repeat(t["sample"][0], len(faces))}
+        out |= {n: t["pt_id"].take(pa.array(faces[:, k])) for k, n in enumerate("abc")}
+        out |= {f"{c}{n}": place[c][faces[:, k]] for k, n in enumerate("abc") for c in "xy"}
+        return pa.table([out[n] for n in arrow.names], names=arrow.names).cast(arrow)
+
+    return points.select("sample", "pt_id", "x", "y").groupBy("sample").applyInArrow(kernel, schema)
 
 
 def triangle_table(faces: DataFrame) -> DataFrame:

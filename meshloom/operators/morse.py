@@ -6,9 +6,10 @@ edge, whatever the order of the rest: forests are a best edge for each node and
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from meshloom.operators.graph import SMALL, connected_components, resolve_roots
 from meshloom.plans.storage import drop_table, materialize
@@ -63,17 +64,20 @@ def trace_up(tree: DataFrame, starts: DataFrame, max_rounds: int = 60) -> DataFr
     marked = materialize(starts.select("sample", "node").distinct(), "marked")
     if tree.count() <= SMALL:
         schema = marked.schema
+        arrow = to_arrow_schema(schema)
 
-        def walk(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-            up, seen = dict(zip(links["node"], links["up"], strict=True)), set()
-            for x in nodes["node"]:
+        def walk(nodes: pa.Table, links: pa.Table) -> pa.Table:
+            up, seen = dict(zip(links["node"].to_pylist(), links["up"].to_pylist(), strict=True)), set()
+            for x in nodes["node"].to_pylist():
                 while x is not None and x not in seen:
                     seen.add(x)
                     x = up.get(x)
-            return pd.DataFrame({"sample": [nodes["sample"].iloc[0]] * len(seen), "node": sorted(seen)}, columns=schema.names) if len(nodes) else nodes[schema.names]
+            if not seen:
+                return arrow.empty_table()
+            return pa.table([pa.repeat(nodes["sample"][0], len(seen)), pa.array(sorted(seen), arrow.field("node").type)], schema=arrow)
 
         links = tree.filter("parent IS NOT NULL").select("sample", "node", F.col("parent").alias("up")).toDF("sample", "node", "up")
-        return marked.toDF("sample", "node").groupBy("sample").cogroup(links.groupBy("sample")).applyInPandas(walk, schema)
+        return marked.toDF("sample", "node").groupBy("sample").cogroup(links.groupBy("sample")).applyInArrow(walk, schema)
     jump = materialize(tree.select("sample", "node", F.col("parent").alias("up")).filter("up IS NOT NULL"), "jumps")
     size = marked.count()
     for _ in range(max_rounds):

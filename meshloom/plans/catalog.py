@@ -332,7 +332,7 @@ def tile_gene_counts(spark, folder):
 
 
 def _scores_sql(mode: int) -> str:
-    size = "(1-n0/20.0)*(1-n1/20.0)" if mode == merge.GROW else "1.0"
+    size = "(1-n0/20.0)*(1-n1/20.0)" if mode == merge.GROW else "CAST(1 AS DOUBLE)"
     to = "n1/(n0+n1)*4*pi()*a1/(p1*p1)" if mode == merge.GROW else "n1/(n0+n1)*4*pi()*a0/(p0*p0)"
     never = "n0+n1 >= 20" if mode == merge.GROW else "n0 >= 3 AND n1 >= 3"
     w = f"{'0.5' if mode == merge.GROW else '1.0'} - 1/(1+exp(-(d-0.3)/0.1))"

@@ -8,10 +8,14 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's sources to the executors, once for each application."""
+    """Send the package's sources to the executors, once for each application, and keep batches for Python workers to a few megabytes."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, None) in (None, "67108864b"):  # not set by the user
+        spark.conf.set(BATCH, "8m")
     if not getattr(sc, "_meshloom_shipped", False):
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="meshloom-"), "meshloom.zip")
