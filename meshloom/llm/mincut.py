@@ -232,7 +232,11 @@ def generated_page(r: np.random.Generator) -> tuple[str, set[str]]:
         content.add(text)
         return text
 
+    brief = maybe(0.2)
+
     def prose():
+        if brief:
+            return keep(words(1, 5).capitalize() + pick(".", ""))
         return keep(". ".join(words(3, 14).capitalize() for _ in range(int(r.integers(1, 6)))) + pick(".", ".", "!", "?"))
 
     def linked(k):
@@ -252,7 +256,7 @@ def generated_page(r: np.random.Generator) -> tuple[str, set[str]]:
     if maybe(0.7):
         parts.append(ad())
     body = [f"<h1>{keep(words(2, 12))}</h1>"] if maybe(0.9) else []
-    for _ in range(int(r.integers(1, 12))):
+    for _ in range(int(r.integers(1, 3 if brief else 12))):
         k = r.random()
         if k < 0.7:
             body.append(f"<p>{prose()}</p>")
@@ -281,7 +285,7 @@ def generated_page(r: np.random.Generator) -> tuple[str, set[str]]:
     return f"<html><head><title>{words(2, 6)}</title></head><body>{''.join(parts)}</body></html>", content
 
 
-def train(pages: int = 500, seed: int = 21, steps: int = 400, decay: float = 1e-3) -> np.ndarray:
+def train(pages: int = 600, seed: int = 21, steps: int = 1500, decay: float = 1e-4) -> np.ndarray:
     """Weights of the classifier (log-odds of content) from generated pages; full-batch gradient steps."""
     r = np.random.default_rng(seed)
     x, y = [], []
