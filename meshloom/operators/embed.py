@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,13 @@ def gene_moments(values: DataFrame, by: str = "gene") -> DataFrame:
     return m.join(F.broadcast(n), "sample").select("sample", by, mu.alias("mu"), F.sqrt(spread / (F.col("n") - 1)).alias("sd"))
 
 
+def variable_genes(values: DataFrame, n: int) -> DataFrame:
+    """(sample, gene, dispersion): the ``n`` genes of greatest variance over mean in each sample; ties go to the smaller name."""
+    spread = gene_moments(values).select("sample", "gene", (F.col("sd") * F.col("sd") / F.col("mu")).alias("dispersion")).filter("dispersion IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("sample").orderBy(F.desc("dispersion"), "gene"))
+    return spread.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+
+
 def z_scores(values: DataFrame, margin: int = 1, limit: float = 10.0) -> DataFrame:
     """(sample, cell_id, gene, z) for every cell and gene of a sample, clipped to the limit; by gene (margin 1) or by cell (2).
 

@@ -124,3 +124,28 @@ def resolve_roots(parents: DataFrame, keys: list[str], node: str = "node", paren
 def dense_id(order: Column | str, *keys: str) -> Column:
     """Dense 1-based id of the values of ``order`` within ``keys``."""
     return F.dense_rank().over(Window.partitionBy(*keys).orderBy(order))
+
+
+def largest_component(edges: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys..., component, nodes) of the component with most nodes within ``keys``; ties go to the smaller name."""
+    sizes = connected_components(edges, a, b, keys).groupBy(*keys, "component").agg(F.count("*").alias("nodes"))
+    best = sizes.groupBy(*keys).agg(F.max(F.struct("nodes", (-F.col("component")).alias("down"))).alias("m"))
+    return best.select(*keys, (-F.col("m.down")).alias("component"), F.col("m.nodes").alias("nodes"))
+
+
+def colour(edges: DataFrame, a: str, b: str, key: str) -> DataFrame:
+    """(key, node, colour): nodes in ascending order take the least colour that no neighbour has. Sequential: a task for each value of ``key``."""
+    schema = T.StructType([T.StructField(key, edges.schema[key].dataType), T.StructField("node", edges.schema[a].dataType), T.StructField("colour", T.LongType())])
+
+    def kernel(df: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for x, y in zip(df[a], df[b], strict=True):
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+        out: dict = {}
+        for x in sorted(near):
+            taken = {out[y] for y in near[x] if y in out and y != x}
+            out[x] = next(c for c in range(len(taken) + 1) if c not in taken)
+        return pd.DataFrame({key: [df[key].iloc[0]] * len(out), "node": list(out), "colour": list(out.values())}, columns=schema.names)
+
+    return edges.select(key, a, b).groupBy(key).applyInPandas(lambda df: kernel(df), schema)

@@ -178,3 +178,16 @@ def cell_adjacency(mesh: Mesh) -> DataFrame:
 
 def with_points(mesh: Mesh, points: DataFrame) -> Mesh:
     return replace(mesh, points=points)
+
+
+def place_ids(points: DataFrame) -> DataFrame:
+    """(sample, pt_id, place_id): a number from 0 for each distinct place of a sample, in order of x, then y."""
+    rank = F.dense_rank().over(Window.partitionBy("sample").orderBy("x", "y")) - 1
+    return points.select("sample", "pt_id", rank.cast("long").alias("place_id"))
+
+
+def shared_corners(mesh: Mesh) -> DataFrame:
+    """(sample, edge_id, pt_id): the points that both triangles of an edge have."""
+    dual = mesh.edges.filter("from_tri IS NOT NULL").select("sample", "edge_id", "from_tri", "to_tri")
+    corner = lambda end: mesh.tri_vertex.select("sample", F.col("tri_id").alias(end), "pt_id")
+    return dual.join(corner("from_tri"), ["sample", "from_tri"]).join(corner("to_tri"), ["sample", "to_tri", "pt_id"]).select("sample", "edge_id", "pt_id")

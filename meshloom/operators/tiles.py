@@ -77,6 +77,25 @@ def path_length(rings: DataFrame, ring: str = "ring") -> DataFrame:
     return rings.withColumn("length", F.aggregate(steps, F.lit(0.0), lambda a, x: a + x))
 
 
+def border_edges(edges: DataFrame) -> DataFrame:
+    """(sample, tile_id, edge_id) of the edges whose dual runs along a tile's border."""
+    apart = edges.filter("tile_from <> tile_to")
+    return apart.select("sample", F.explode(F.array("tile_from", "tile_to")).alias("tile_id"), "edge_id")
+
+
+def hull_edges(edges: DataFrame) -> DataFrame:
+    """(sample, tile_id, edge_id) of the hull edges with an end in a tile."""
+    return edges.filter("boundary").select("sample", F.explode(F.array_distinct(F.array("tile_from", "tile_to"))).alias("tile_id"), "edge_id")
+
+
+def circuits(segments: DataFrame) -> DataFrame:
+    """(sample, tile_id, closed): whether as many segments end at each place of a tile's outline as begin there, so that it can be walked in circuits."""
+    begins = segments.select("sample", "tile_id", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(1).alias("k"))
+    ends = segments.select("sample", "tile_id", F.col("qx").alias("x"), F.col("qy").alias("y"), F.lit(-1).alias("k"))
+    places = begins.unionByName(ends).groupBy("sample", "tile_id", "x", "y").agg(F.sum("k").alias("k"))
+    return places.groupBy("sample", "tile_id").agg(F.every(F.col("k") == 0).alias("closed"))
+
+
 def walk_rings(segments: list[tuple[float, float, float, float]]) -> list[list[tuple[float, float]]]:
     """Closed rings from directed segments; where several leave a place, the first unused one is taken."""
     leaving: dict[tuple, list[tuple]] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.operators import analysis, embed, field, merge, mesh, morse, tiles
+from meshloom.operators import analysis, embed, field, graph, merge, mesh, morse, tiles
 from meshloom.operators.graph import connected_components, degrees
 from meshloom.plans import pipeline
 from meshloom.plans.oracle import DIMS, rounded, sql
@@ -484,6 +484,62 @@ def subclusters_of_tiles(spark, folder):
     return analysis.tile_subcluster(t.select("sample", "tile_id", "label"), cells, mesh.cell_adjacency(m), "large", "label", DIMS, k=10)
 
 
+@query(sql("SELECT sample, pt_id, dense_rank() OVER (PARTITION BY sample ORDER BY x, y) - 1 AS place_id FROM cells", "cells"))
+def ids_of_places(spark, folder):
+    return mesh.place_ids(mesh.points_of(tables.cells(spark, folder, DIMS)))
+
+
+@query(sql("SELECT e.sample, e.edge_id, c.pt_id FROM edges e JOIN corners c ON c.sample = e.sample AND c.tri_id = e.from_tri JOIN corners d ON d.sample = e.sample AND d.tri_id = e.to_tri AND d.pt_id = c.pt_id", "edges", "corners"))
+def corners_shared(spark, folder):
+    return mesh.shared_corners(plain_mesh(spark, folder).kept())
+
+
+@query(sql("SELECT sample, unnest([tile_from, tile_to]) AS tile_id, edge_id FROM tedges WHERE tile_from <> tile_to", "tedges"))
+def tile_border_edges(spark, folder):
+    return tiles.border_edges(first_tiles(spark, folder)[2])
+
+
+@query(sql("SELECT DISTINCT sample, unnest([tile_from, tile_to]) AS tile_id, edge_id FROM tedges WHERE boundary", "tedges"))
+def tile_hull_edges(spark, folder):
+    return tiles.hull_edges(first_tiles(spark, folder)[2])
+
+
+@query(sql("SELECT sample, tile_id, bool_and(k = 0) AS closed FROM (SELECT sample, tile_id, x, y, sum(k) AS k FROM (SELECT sample, tile_id, px AS x, py AS y, 1 AS k FROM segments UNION ALL SELECT sample, tile_id, qx, qy, -1 FROM segments) GROUP BY ALL) GROUP BY ALL", "segments"))
+def tile_circuits(spark, folder):
+    return tiles.circuits(tiles.outline_segments(first_tiles(spark, folder)[2]))
+
+
+@query(sql(f"SELECT sample, tile_id, {rounded('perimeter', digits=5)} FROM measures", "measures"))
+def tile_outline_lengths(spark, folder):
+    rings = tiles.outlines(tiles.outline_segments(first_tiles(spark, folder)[2])).select("sample", "tile_id", F.explode("rings").alias("ring"))
+    return shown(tiles.path_length(rings).groupBy("sample", "tile_id").agg(F.sum("length").alias("perimeter")), "perimeter", digits=5)
+
+
+@query()
+def tile_colours(spark, folder):
+    _, _, e, t = first_tiles(spark, folder)
+    return graph.colour(tiles.tile_adjacency(e, t), "from_tile", "to_tile", "sample")
+
+
+@query(sql("SELECT sample, component, nodes FROM (SELECT sample, component, count(*) AS nodes, row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, component) AS r FROM parts p WHERE EXISTS (SELECT 1 FROM near_tris n WHERE n.sample = p.sample AND (n.a = p.tri_id OR n.b = p.tri_id)) GROUP BY sample, component) WHERE r = 1", "parts"))
+def graph_largest_component(spark, folder):
+    c = graph_components(spark, folder)
+    return graph.largest_component(c.filter("node <> component"), "node", "component", ("sample",))
+
+
+@query(sql("""SELECT 0 AS sample, gene, round(v / m, 6) + 0.0 AS dispersion FROM (SELECT g.gene, avg(v) AS m, var_samp(v) AS v FROM (SELECT c.cell_id, g.gene, coalesce(n.value, 0) AS v FROM (SELECT DISTINCT cell_id FROM supp) c
+  CROSS JOIN (SELECT DISTINCT gene FROM supp) g LEFT JOIN normed n ON n.cell_id = c.cell_id AND n.gene = g.gene) g GROUP BY g.gene) QUALIFY row_number() OVER (ORDER BY v / m DESC, gene) <= 10""", "normed"))
+def counts_variable_genes(spark, folder):
+    return shown(embed.variable_genes(embed.normalize(tables.supplier_counts(spark, folder)), 10), "dispersion")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation UNION ALL SELECT r_regionkey, r_name, NULL FROM region")
+def tables_bound(spark, folder):
+    n = tables.read(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    r = tables.read(spark, folder, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return pipeline.bind(n, r)
+
+
 @query("""SELECT vec_id AS cell_id, """ + ", ".join(f"CAST(CASE WHEN max(e{i}) OVER () > min(e{i}) OVER () THEN round(255*(e{i}-min(e{i}) OVER ())/(max(e{i}) OVER ()-min(e{i}) OVER ())) ELSE 0 END AS INTEGER) AS {c}" for i, c in enumerate("rgb")) + " FROM (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 3}] AS DOUBLE) AS e{i}" for i in range(3)) + " FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL)")
 def colours_of_cells(spark, folder):
     return analysis.scaled_colours(tables.cells(spark, folder, DIMS)).select("cell_id", "r", "g", "b")
