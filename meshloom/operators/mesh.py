@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from meshloom.operators.delaunay import triangulate
 from meshloom.operators.graph import connected_components, symmetric
-from meshloom.plans.storage import materialize
+from meshloom.plans.storage import materialize, materialize_all
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Mesh:
 
     def kept(self) -> Mesh:
         """The same mesh with its tables written, so that what reads them many times computes them once."""
-        return Mesh(*(materialize(getattr(self, n), n) for n in ("points", "triangles", "tri_vertex", "edges")))
+        return Mesh(*materialize_all({n: getattr(self, n) for n in ("points", "triangles", "tri_vertex", "edges")}))
 
 
 def points_of(cells: DataFrame, *meta: str) -> DataFrame:

@@ -54,7 +54,7 @@ def whole_mesh(spark, folder) -> mesh.Mesh:
 def field_f(spark, folder) -> tuple[mesh.Mesh, pipeline.Scalars]:
     m = whole_mesh(spark, folder)
     f = pipeline.set_f(m, field.compute_gradients(m, DIMS), DIMS)
-    return m, pipeline.Scalars(*(materialize(x, "f") for x in (f.points, f.triangles, f.edges)))
+    return m, pipeline.kept_scalars(f)
 
 
 def first_tiles(spark, folder):

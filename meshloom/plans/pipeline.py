@@ -12,7 +12,7 @@ from meshloom.operators.field import compute_gradients, scalar
 from meshloom.operators.graph import symmetric
 from meshloom.operators.mesh import Mesh, add_exterior, build_mesh, cell_adjacency, prune, with_points
 from meshloom.plans.ship import ship
-from meshloom.plans.storage import materialize
+from meshloom.plans.storage import materialize, materialize_all, side_by_side
 
 
 @dataclass(frozen=True)
@@ -68,9 +68,15 @@ def set_f(mesh: Mesh, gradients: dict[str, DataFrame], dims: int, norm: bool = F
     return Scalars(scalar(gradients["points"], dims, norm), scalar(gradients["triangles"], dims, norm), e)
 
 
+def kept_scalars(f: Scalars) -> Scalars:
+    """The same scalars, written."""
+    return Scalars(*materialize_all({"f-points": f.points, "f-triangles": f.triangles, "f-edges": f.edges}))
+
+
 def morse_tiles(mesh: Mesh, f: Scalars) -> tuple[DataFrame, DataFrame]:
     """(tiles of points, separatrices)."""
-    sep = materialize(morse.separatrices(morse.primal_forest(f.points, f.edges), morse.dual_forest(f.triangles, f.edges), f.edges), "separatrices")
+    forests = side_by_side(lambda: morse.primal_forest(f.points, f.edges), lambda: morse.dual_forest(f.triangles, f.edges))
+    sep = materialize(morse.separatrices(*forests, f.edges), "separatrices")
     return materialize(morse.assign_tiles(mesh.points, mesh.edges, sep), "tiles"), sep
 
 
@@ -102,7 +108,7 @@ def get_tiles(cells: DataFrame, dims: int, counts: DataFrame | None = None, opti
     mesh, dims = smoothed(prepare_mesh(cells, options), dims, options.smooth_emb)
     g = compute_gradients(mesh, dims, options.smooth_distance, options.smooth_similarity, options.smooth_iter, options.on_edges, options.edge_from_tri, options.edge_from_pt)
     f = set_f(mesh, g, dims, options.f_norm)
-    f = Scalars(materialize(f.points, "f"), materialize(f.triangles, "f"), materialize(f.edges, "f"))
+    f = kept_scalars(f)
     first, sep = morse_tiles(mesh, f)
     tile_edges = materialize(tiles.tile_edges_of(mesh.edges, first), "tile-ends")
     table = materialize(tiles.tile_table(mesh.points, first, tile_edges, dims), "tile-table")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step", like: tuple[str, ...] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of what was written.
 
     The result survives lost executors, and nothing above it is computed twice.
@@ -32,6 +35,20 @@ def materialize(df: DataFrame, name: str = "step", like: tuple[str, ...] | None
     return out
 
 
+def side_by_side(*jobs: Callable):
+    """Results of independent calls that each start Spark jobs, run in threads, so that small jobs share the executors."""
+    if len(jobs) == 1:
+        return [jobs[0]()]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        inherit = inheritable_thread_target(SparkSession.active())
+        return [f.result() for f in [pool.submit(inherit(j)) for j in jobs]]
+
+
+def materialize_all(frames: dict[str, DataFrame]) -> list[DataFrame]:
+    """``materialize`` of several tables at once."""
+    return side_by_side(*[lambda n=n, df=df: materialize(df, n) for n, df in frames.items()])
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files behind a ``materialize`` result that no later plan reads."""
     path = getattr(df, "_meshloom_path", None)
