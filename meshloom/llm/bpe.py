@@ -11,9 +11,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,14 @@ NONE = np.int64(1) << 62
 POS = 24
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class MergeTable:
     """Rank and product of every mergeable pair of ids, by binary search in one sorted array."""
 
@@ -103,10 +114,23 @@ class Coder:
         self.table = MergeTable([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], vocab)
         self.lib = Tokenizer.from_file(path)
         self.vocab = vocab
+        self.plain = self._plain_pattern(spec)
         self.token = {i: t for t, i in {**vocab, **self.special}.items()}
         self.joint = "" if spec.get("decoder") else " "
         self.seen: dict[str, bytes] = {}
 
+    @staticmethod
+    def _plain_pattern(spec: dict):
+        """The vocabulary's own pattern for words, if on printable ASCII its steps come to lower case, that pattern and nothing else; otherwise None."""
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if [n["type"] for n in steps] != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+            return None
+        split, level = cuts
+        if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+            return None
+        return regex.compile(split["pattern"]["Regex"])
+
     def _symbols(self, word: str) -> list[int]:
         return [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
 
@@ -114,7 +138,8 @@ class Coder:
         normal = self.lib.normalizer.normalize_str if self.lib.normalizer else str
         cut = self.lib.pre_tokenizer.pre_tokenize_str
         made: dict[str, list[int] | None] = {}
-        split = [[w for w, _ in cut(normal(c))] for c in chunks]
+        plain = self.plain
+        split = [plain.findall(c.lower()) if plain and c.isascii() and c.isprintable() else [w for w, _ in cut(normal(c))] for c in chunks]
         by_width: dict[int, list[tuple[str, list[int]]]] = {}
         for w in {w for s in split for w in s}:
             ids = self._symbols(w)
@@ -127,12 +152,16 @@ class Coder:
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 rows = np.full((len(part), width), -1, np.int64)
-                for i, (_, ids) in enumerate(part):
-                    rows[i, : len(ids)] = ids
-                for (w, _), row in zip(part, merge_rows(rows, self.table), strict=True):
-                    made[w] = row[row >= 0].tolist()
+                sizes = np.fromiter((len(ids) for _, ids in part), np.int64, len(part))
+                rows[np.arange(width) < sizes[:, None]] = np.fromiter((i for _, ids in part for i in ids), np.int64, int(sizes.sum()))
+                merged = merge_rows(rows, self.table)
+                kept = merged >= 0
+                flat, ends = merged[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+                for (w, _), a, b in zip(part, [0, *ends], ends, strict=False):
+                    made[w] = flat[a:b]
+        packed = {w: little(ids) for w, ids in made.items()}
         for c, s in zip(chunks, split, strict=True):
-            self.seen[c] = np.array([i for w in s for i in made[w]], "<u4").tobytes()
+            self.seen[c] = packed[s[0]] if len(s) == 1 else b"".join([packed[w] for w in s])
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
