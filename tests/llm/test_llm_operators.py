@@ -422,9 +422,9 @@ def test_bits_are_probabilities_of_bytes():
     m = mixing.Model(table_)
     m.tune([data])
     m.freeze()
-    k, w = mixing.windows(mixing.canonical("the ca")[0])
-    keys = (k[4] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
-    p = 2.0 ** m.costs(keys, np.full(256, w[4]), np.arange(256, dtype=np.uint64)).astype(float)
+    context, word = mixing.contexts(*mixing.windows(mixing.canonical("the ca")[0])[:2])
+    keys = (context[4] << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    p = 2.0 ** m.costs(keys, np.full(256, word[4]), np.arange(256, dtype=np.uint64)).astype(float)
     assert abs(p.sum() - 1) < 1e-3
     whole, parts = m.score([data])[0], m.score([data, mixing.canonical("zebra")[0]])
     assert abs(whole - parts[0]) < 1e-6 * abs(whole) and m.score([mixing.canonical("the cat sat")[0]])[0] > m.score([mixing.canonical("xqz jkv bbb")[0]])[0]
