@@ -22,12 +22,14 @@ MARK = "﷐"
 FINDINGS, TREES, DEPTH, KEEP, HIDDEN = 2400, 15, 6, 0.5, "[REDACTED]"
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential"
 ASSIGNED = rf"(?:{NAMES})[\w-]{{0,20}}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?"
-#: Candidates, first match first: assigned values, known prefixes, key blocks, passwords in addresses, long mixed tokens.
+#: Candidates, first match first: assigned values, known prefixes, key blocks, passwords in addresses, long mixed tokens; then values assigned to the end of a camelCase name.
+#: Values have no upper length, so that none is cut to a part of itself; a run of one class of characters is linear.
 PATTERN = (
-    rf"(?<![A-Za-z0-9])(?:(?=[acpst])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,200}}|(?=[ACPST])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,200}}"
-    r"|A[KS]IA[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{20,80}\b|xox[abprs]-[A-Za-z0-9-]{10,80}|AIza[0-9A-Za-z_-]{35}|[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}\b"
-    r"|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,2000}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<=://)[^\s/:@]{1,64}:[^\s/@]{3,64}(?=@)"
-    r"|(?<![+/_=.-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[0-9+/_-]{0,63}[A-Za-z])[A-Za-z0-9+/_-]{20,512}={0,2})"
+    rf"(?<![A-Za-z0-9])(?:(?=[acpst])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,}}+|(?=[ACPST])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,}}+"
+    r"|A[KS]IA[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}+\b|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35,}+|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b"
+    r"|eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+){2,4}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<=://)[^\s/:@]++:[^\s/@]{3,}+(?=@)"
+    r"|(?<![+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2})"
+    rf"|(?<=[a-z0-9])(?=[ACPST])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,}}+"
 )
 #: Words that speak of ordinary values.
 WORDS = "about account admin alpha article base beta build cache center change changeme class client code config content copy data date debug default demo description document dummy example false file folder group hello home image index input install item label layout letmein level library list local login main message model module name none null number object option order output package page path placeholder project public qwerty query record release report request resource response root sample script server service session setting source static status string style system table target template test text this title true type update upload user value version video view welcome width window world your".split()
