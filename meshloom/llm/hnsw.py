@@ -3,8 +3,9 @@
 Vectors are compared within a label only. A label's vectors are dealt into shards of about ``SHARD``; each shard
 gets a graph, and every shard of the label is queried with all the label's vectors, a pair of shards at a time. A search runs in
 lockstep for a block of queries: greedy descent through the upper levels, a beam on the lowest, and then the beam is
-widened by every neighbour of a link, whichever way, until no link is new. A sample of queries is audited against all vectors of
-the shard; while their recall is too low the beam doubles, up to the whole shard. Links are verified by cosine in double
+widened by every neighbour of a link, whichever way, until no link is new. Two samples audit the beam: queries against all vectors of
+the shard, and planted ones, each a vector of the shard turned until it is barely a link, which must find that vector though nothing else is near. While the recall of
+either is too low the beam doubles; past a share of the shard, every query meets all its vectors instead. Links are verified by cosine in double
 precision. Copies of a vector are one node with a weight. Kernels return counts and stars, not pairs; components are then united.
 """
 
@@ -23,7 +24,9 @@ SHARD, THRESHOLD = 16_384, 0.93
 #: Links of a node on upper levels and on the lowest, beam when building and at first when searching, expansions a step.
 M, M0, BUILD, BEAM, AT_ONCE, BLOCK = 8, 16, 32, 32, 4, 512
 FRONTIER = 65_536
-AUDITED, RECALL, SLACK = 96, 0.999, 1e-4
+AUDITED, PLANTED, RECALL, SLACK = 96, 512, 0.999, 1e-4
+#: Share of a shard beyond which a beam costs more than all vectors.
+WIDEST = 1 / 16
 
 
 class Graph:
@@ -195,24 +198,45 @@ class Graph:
         return np.concatenate([r for r, _ in out]), np.concatenate([c for _, c in out])
 
 
+def planted(unit: np.ndarray, at: np.ndarray, cosine: float, seed: int = 3) -> np.ndarray:
+    """Unit vectors at ``cosine`` from the vectors ``at``, in random directions; the same vectors where there is no other direction."""
+    x = unit[at]
+    away = np.random.default_rng(seed).normal(size=x.shape)
+    away -= np.einsum("kd,kd->k", away, x)[:, None] * x
+    size = np.linalg.norm(away, axis=1)[:, None]
+    return np.where(size > 1e-9, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * away / np.maximum(size, 1e-9), x)
+
+
+def enough(graph: Graph, unit: np.ndarray, queries: np.ndarray, own: np.ndarray | None, threshold: float) -> int | None:
+    """The least beam, of doubled ones, that passes both audits; None if only all vectors are enough."""
+    audit = np.random.default_rng(2).permutation(len(queries))[:AUDITED]
+    true = queries[audit] @ unit.T >= threshold
+    at = np.random.default_rng(4).permutation(len(unit))[:PLANTED]
+    turned = planted(unit, at, min(1.0, threshold + SLACK)).astype(np.float32)
+    q32, beam = queries[audit].astype(np.float32), BEAM
+    while beam <= max(BEAM, WIDEST * len(unit)):
+        rows, nodes = graph.within(turned, threshold - SLACK, beam)
+        if (nodes == at[rows]).sum() >= RECALL * len(at):
+            rows, nodes = graph.within(q32, threshold - SLACK, beam, own[audit] if own is not None else None)
+            if true[rows, nodes].sum() >= RECALL * true.sum():
+                return beam
+        beam *= 2
+    return None
+
+
 def shard_links(unit: np.ndarray, queries: np.ndarray | None, threshold: float):
     """Yields blocks of (query, node) links of at least ``threshold`` in double precision. ``queries`` None: the shard's own vectors, without a vector itself."""
     graph = Graph(unit)
     q64 = unit if queries is None else queries
     q32 = q64.astype(np.float32)
     own = np.arange(len(unit)) if queries is None else None
-    beam = BEAM
-    audit = np.random.default_rng(2).permutation(len(q64))[:AUDITED]
-    true = q64[audit] @ unit.T >= threshold
-    while True:
-        rows, nodes = graph.within(q32[audit], threshold - SLACK, beam, own[audit] if own is not None else None)
-        hit = true[rows, nodes].sum()
-        if hit >= RECALL * true.sum() or beam >= len(unit):
-            break
-        beam *= 2
+    beam = enough(graph, unit, q64, own, threshold)
     for at in range(0, len(q64), BLOCK):
         part = slice(at, at + BLOCK)
-        rows, nodes = graph.within(q32[part], threshold - SLACK, beam, own[part] if own is not None else None)
+        if beam is None:
+            rows, nodes = np.nonzero(q32[part] @ graph.x.T >= threshold - SLACK)
+        else:
+            rows, nodes = graph.within(q32[part], threshold - SLACK, beam, own[part] if own is not None else None)
         rows = rows + at
         ok = np.concatenate([np.einsum("kd,kd->k", q64[rows[i : i + FRONTIER]], unit[nodes[i : i + FRONTIER]]) for i in range(0, len(rows), FRONTIER)] or [np.empty(0)]) >= threshold
         if own is not None:
