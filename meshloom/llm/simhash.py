@@ -184,16 +184,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 3) -> DataFrame:
-    """The row of the smallest id of each near-duplicate group, with all its columns.
+    """One row of each near-duplicate group, with all its columns: that of the smallest id, nulls last, and of these the least hash of all columns.
 
-    Repeated rows of one id give one row. A group without any non-null id gives one row as well.
+    Rows are told apart by id and hash, never by id alone, so a group without any id keeps a row as well, and so does each of two groups that share an id.
+    Rows that are equal in all columns give one row.
     """
-    groups = simhash_groups(docs, id_col, text_col, n, radius)
-    first = groups.filter((F.col("id") == F.col("component")) | F.col("component").isNull()).groupBy("id").agg(F.count("*").alias("copies"))
-    first = materialize(first, "simhash-kept")
-    # the way to join doesn't depend on how few ids there are
-    keep = docs.join(first.select(F.col("id").alias("__id"), "copies").hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
-    if first.filter("copies > 1").limit(1).count():
-        once = keep.filter("copies = 1").drop("copies")
-        return once.unionByName(keep.filter("copies > 1").drop("copies").dropDuplicates([id_col]))
-    return keep.drop("copies")
+    digest = F.xxhash64(*docs.columns)
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest"))
+    groups = simhash_groups(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", n, radius)
+    first = groups.filter(F.col("id") == F.col("component")).groupBy("id").agg(F.count("*").alias("__copies"))
+    first = materialize(first.select(F.col("id.id").alias("__id"), F.col("id.digest").alias("__row"), "__copies"), "simhash-kept")
+    # the way to join doesn't depend on how few rows there are
+    keep = docs.withColumn("__digest", digest).join(first.hint("shuffle_hash"), (F.col("__digest") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id", "__row")
+    if first.filter("__copies > 1").limit(1).count():
+        keep = keep.filter("__copies = 1").unionByName(keep.filter("__copies > 1").dropDuplicates([id_col, "__digest"]))
+    return keep.drop("__copies", "__digest")
