@@ -3,7 +3,7 @@
 A text is lower-cased and its UTF-8 bytes are cut into windows of a fixed length that cover all of it.
 Byte embeddings, filters of several widths, a maximum over each window and softmax give each window's
 probabilities; a text's are their mean. The network is trained here, in numpy on the driver, on windows of a
-bounded sample of labelled texts (``SAMPLE_DOCS`` a language, ``SAMPLE_WINDOWS`` a text, ``MAX_LANGS`` languages); it
+bounded sample of labelled texts (``SAMPLE_DOCS`` a language, ``SAMPLE_WINDOWS`` a text) of every language there is; it
 is a few kilobytes, and is applied to every window of every text.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from meshloom.llm.common import fold, map_slices
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
-SAMPLE_DOCS, SAMPLE_WINDOWS, MAX_LANGS, EPOCHS, RATE = 400, 6, 64, 8, 0.01
+SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, RATE = 400, 6, 8, 0.01
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     The sample is the rows whose id hashes below a language's share, so it doesn't depend on the order of rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE_DOCS / r["count"]))])
