@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from meshloom.plans.storage import drop_table, materialize
 
 
-#: Up to so many rows an iterative operator runs in one task for each key; beyond, in distributed rounds.
-SMALL = 20_000
+#: Pieces that the rows of one node are split into for a join, and rows that a task takes together.
+SALTS, CHUNK = 64, 500_000
 
 
 def find_root(up: dict, x):
@@ -25,8 +27,48 @@ def find_root(up: dict, x):
     return x
 
 
-def _by_keys(df: DataFrame, keys: list[str]):
-    return df.groupBy(*keys) if keys else df.groupBy(F.lit(0).alias("__all"))
+def in_chunks(df: DataFrame, work, chunk: int) -> DataFrame:
+    """mapInArrow of ``work`` (columns of values to columns of values, with the schema of ``df``) over up to about ``chunk`` rows at once, whatever the batches."""
+    schema = to_arrow_schema(df.schema)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk:
+                yield from made(held)
+                held, n = [], 0
+        if held:
+            yield from made(held)
+
+    def made(held):
+        table = pa.Table.from_batches(held)
+        out = work([c.to_pylist() for c in table.columns])
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema).to_batches()
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _stars(columns: list[list]) -> list[list]:
+    """Edges (keys..., u, v) as stars: each node but the least of its connected set, with that least one."""
+    *keys, us, vs = columns
+    up: dict = {}
+    keyed = list(zip(*keys, strict=True)) if keys else [()] * len(us)
+    for k, u, v in zip(keyed, us, vs, strict=True):
+        a, b = find_root(up, (k, u)), find_root(up, (k, v))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    rows = [(*x[0], x[1], find_root(up, x)[1]) for x in list(up)]
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in columns]
+
+
+def _chains(columns: list[list]) -> list[list]:
+    """Pointers (keys..., node, root) followed as far as the rows at hand go."""
+    *keys, nodes, roots = columns
+    keyed = list(zip(*keys, strict=True)) if keys else [()] * len(nodes)
+    up = {(k, x): (k, r) for k, x, r in zip(keyed, nodes, roots, strict=True)}
+    return [*keys, nodes, [find_root(up, (k, x))[1] for k, x in zip(keyed, nodes, strict=True)]]
 
 
 def symmetric(edges: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
@@ -42,46 +84,37 @@ def degrees(edges: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return ends.groupBy(*keys, "node").agg(F.count("*").alias("degree"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = (), max_rounds: int = 60) -> DataFrame:
+def _with_least(edges: DataFrame, on: list[str]) -> DataFrame:
+    """Edges (on..., v) with ``m``, the least v of their node. The rows of one node are dealt into ``SALTS`` pieces by v, so that a hub isn't one task's."""
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    pieces = dealt.groupBy(*on, "s").agg(F.min("v").alias("m"))
+    least = pieces.groupBy(*on).agg(F.min("m").alias("m"), F.collect_set("s").alias("s"))  # SALTS pieces at most
+    return dealt.join(least.select(*on, "m", F.explode("s").alias("s")), [*on, "s"]).drop("s")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tuple[str, ...] = (), max_rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
     """Smallest reachable node id for each node that an edge names: (keys..., node, component). Nodes are told apart within ``keys``.
 
-    Few edges (``SMALL``, counted) are united in one task for each key. Otherwise large-star and small-star rounds until nothing changes: each round hooks
-    the neighbours of a node on the smallest of them, so a path of n nodes takes
-    O(log^2 n) rounds. Every round is written to the shared folder, which cuts the
-    lineage, and the table before is removed. Edges with a null end and loops are ignored;
-    an empty edge table gives an empty result. Nothing is gathered on the driver but
-    one row of sums a round.
+    One way at every size: each task unites the edges that it holds, ``chunk`` at once, and passes stars on; until no node has two
+    parents, or is both a child and a parent, a large-star and a small-star step hooks the neighbours of a node on the smallest of them across tasks, and
+    tasks unite again. So few edges, which lie in one partition, are done after the first pass, and a path of n nodes takes O(log^2 n) rounds at most. Every round is
+    written to the shared folder, which cuts the lineage, and the table before is removed. Rows of a hub are dealt to many tasks. Edges with a null
+    end and loops are ignored; an empty edge table gives an empty result. Nothing is gathered on the driver but one number a round.
     """
     k, on = list(keys), [*keys, "u"]
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     clean = edges.select(*k, F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = materialize(clean.select(*k, hi.alias("u"), lo.alias("v")).distinct(), "components")
-    if now.count() <= SMALL:
-        node = now.schema["u"].dataType
-        schema = T.StructType([*[now.schema[c] for c in k], T.StructField("node", node), T.StructField("component", node)])
-
-        def unite(df: pd.DataFrame) -> pd.DataFrame:
-            up: dict = {}
-            for x, y in zip(df["u"], df["v"], strict=True):
-                x, y = find_root(up, x), find_root(up, y)
-                up[max(x, y)] = min(x, y)
-            nodes = sorted({*df["u"], *df["v"]})
-            return pd.DataFrame({c: [df[c].iloc[0]] * len(nodes) for c in k} | {"node": nodes, "component": [find_root(up, x) for x in nodes]}, columns=schema.names)
-
-        return _by_keys(now, k).applyInPandas(lambda df: unite(df), schema)
-    seen = None
+    now = materialize(in_chunks(clean.select(*k, hi.alias("u"), lo.alias("v")).distinct(), _stars, chunk), "components")
     for _ in range(max_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64(*on, "v") % 1_000_003), F.countDistinct(F.struct(*on))).first()
-        if state[0] == 0 or (state == seen and state[0] == state[2]):
+        ends = now.select(*k, F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(now.select(*k, "v", F.lit(0), F.lit(1)))
+        of_node = ends.groupBy(*k, "node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if not of_node.filter("child > 1 OR (child = 1 AND parent = 1)").agg(F.count("*")).first()[0]:
             break
-        seen = state
         both = now.select(*on, "v").union(now.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*on).agg(F.min("v").alias("m")).select(*on, F.least("u", "m").alias("m"))
-        large = both.join(least, on).filter("v > u").select(*k, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_min = large.groupBy(*on).agg(F.min("v").alias("m"))
-        joined = large.join(small_min, on)
-        small = joined.select(*on, F.col("m").alias("v")).union(joined.filter("v <> m").select(*k, F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after = materialize(small, "components")
+        large = _with_least(both, on).withColumn("m", F.least("u", "m")).filter("v > u").select(*k, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_least(large, on)
+        stars = small.select(*on, F.col("m").alias("v")).union(small.filter("v <> m").select(*k, F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        after = materialize(in_chunks(stars, _stars, chunk), "components")
         drop_table(now)
         now = after
     else:
@@ -90,34 +123,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: tup
     return now.select(*k, F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def resolve_roots(parents: DataFrame, keys: list[str], node: str = "node", parent: str = "parent", max_rounds: int = 60) -> DataFrame:
-    """Root of every node of a forest by pointer jumping: (keys..., node, root).
+def resolve_roots(parents: DataFrame, keys: list[str], node: str = "node", parent: str = "parent", max_rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
+    """Root of every node of a forest: (keys..., node, root).
 
-    ``parents`` has one row for each node; a null parent marks a root. Few nodes (``SMALL``, counted) are walked in one task for each key; otherwise each round doubles the
-    length of the jumps, and is written to the shared folder.
+    ``parents`` has one row for each node; a null parent marks a root. One way at every size: each task follows the pointers among the rows that it
+    holds, ``chunk`` at once; until every pointer is at a root, all jump to where their end points, which doubles their length, and tasks follow again. Rows that
+    point to one node are dealt to many tasks. Each round is written to the shared folder.
     """
-    p = F.coalesce(F.col(parent), F.col(node))
     keys = list(keys)
-    now = materialize(parents.select(*keys, F.col(node).alias("node"), p.alias("root")), "roots")
-    if now.count() <= SMALL:
-        schema = now.schema
-
-        def walk(df: pd.DataFrame) -> pd.DataFrame:
-            up = dict(zip(df["node"], df["root"], strict=True))
-            return df.assign(root=[find_root(up, x) for x in df["node"]])[schema.names]
-
-        return _by_keys(now, keys).applyInPandas(lambda df: walk(df), schema)
+    on = [*keys, "root"]
+    start = parents.select(*keys, F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("root"))
+    now = materialize(in_chunks(start.repartition(*keys, "node"), _chains, chunk), "roots")
     for _ in range(max_rounds):
-        up = now.select(*keys, F.col("node").alias("root"), F.col("root").alias("above"))
-        step = now.join(up, [*keys, "root"], "left").select(*keys, "node", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).cast("int").alias("moved"))
-        after = materialize(step, "roots")
+        above = now.filter("node <> root").select(*keys, F.col("node").alias("root"), F.col("root").alias("above"))
+        far = now.select(*on).distinct().join(above, on)
+        if far.isEmpty():
+            return now
+        dealt = now.withColumn("s", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+        asked = dealt.select(*on, "s").distinct().join(above, on)
+        step = dealt.join(asked, [*on, "s"], "left").select(*keys, "node", F.coalesce("above", "root").alias("root"))
+        after = materialize(in_chunks(step.repartition(*keys, "node"), _chains, chunk), "roots")
         drop_table(now)
-        moved = after.agg(F.sum("moved")).first()[0]
         now = after
-        if not moved:
-            return now.drop("moved")
-        now = now.drop("moved")
-        now._meshloom_path = after._meshloom_path
     raise RuntimeError(f"roots did not settle in {max_rounds} rounds; a cycle?")
 
 

@@ -6,12 +6,10 @@ edge, whatever the order of the rest: forests are a best edge for each node and
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from meshloom.operators.graph import SMALL, connected_components, resolve_roots
+from meshloom.operators.graph import CHUNK, connected_components, in_chunks, resolve_roots
 from meshloom.plans.storage import drop_table, materialize
 
 
@@ -59,38 +57,37 @@ def critical_nodes(tree: DataFrame) -> DataFrame:
     return tree.filter("parent IS NULL").select("sample", "node")
 
 
-def trace_up(tree: DataFrame, starts: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(sample, node) of all starts and their ancestors: in one task a sample for small forests, otherwise the marked set doubles its reach each round."""
-    marked = materialize(starts.select("sample", "node").distinct(), "marked")
-    if tree.count() <= SMALL:
-        schema = marked.schema
-        arrow = to_arrow_schema(schema)
-
-        def walk(nodes: pa.Table, links: pa.Table) -> pa.Table:
-            up, seen = dict(zip(links["node"].to_pylist(), links["up"].to_pylist(), strict=True)), set()
-            for x in nodes["node"].to_pylist():
-                while x is not None and x not in seen:
-                    seen.add(x)
-                    x = up.get(x)
-            if not seen:
-                return arrow.empty_table()
-            return pa.table([pa.repeat(nodes["sample"][0], len(seen)), pa.array(sorted(seen), arrow.field("node").type)], schema=arrow)
-
-        links = tree.filter("parent IS NOT NULL").select("sample", "node", F.col("parent").alias("up")).toDF("sample", "node", "up")
-        return marked.toDF("sample", "node").groupBy("sample").cogroup(links.groupBy("sample")).applyInArrow(walk, schema)
-    jump = materialize(tree.select("sample", "node", F.col("parent").alias("up")).filter("up IS NOT NULL"), "jumps")
-    size = marked.count()
+def _marks(columns: list[list]) -> list[list]:
+    """Rows (sample, node, up, marked): marks are passed up as far as the rows at hand go."""
+    samples, nodes, ups, marked = columns
+    at, marked = {k: i for i, k in enumerate(zip(samples, nodes, strict=True))}, list(marked)
+    for i in [i for i, m in enumerate(marked) if m]:
+        while ups[i] is not None and (j := at.get((samples[i], ups[i]))) is not None and not marked[j]:
+            marked[j] = True
+            i = j
+    return [samples, nodes, ups, marked]
+
+
+def trace_up(tree: DataFrame, starts: DataFrame, max_rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
+    """(sample, node) of all starts and their ancestors.
+
+    One way at every size: each task passes marks up among the rows that it holds; until every parent of a marked node is marked, the marked
+    set is widened by its jumps, whose length doubles each round.
+    """
+    links = tree.select("sample", "node", F.col("parent").alias("up"))
+    rows = links.join(starts.select("sample", "node", F.lit(True).alias("marked")).distinct(), ["sample", "node"], "full").select("sample", "node", "up", F.coalesce("marked", F.lit(False)).alias("marked"))
+    rows = materialize(in_chunks(rows.repartition("sample", "node"), _marks, chunk), "marked")
+    marked, jump, written = rows.filter("marked").select("sample", "node"), rows.filter("up IS NOT NULL").select("sample", "node", "up"), [rows]
     for _ in range(max_rounds):
+        above = rows.filter("up IS NOT NULL").select("sample", "node", "up").join(marked, ["sample", "node"], "left_semi").select("sample", F.col("up").alias("node")).distinct()
+        if above.join(marked, ["sample", "node"], "left_anti").isEmpty():
+            return marked
         more = materialize(marked.union(marked.join(jump, ["sample", "node"]).select("sample", F.col("up").alias("node"))).distinct(), "marked")
-        n = more.count()
         far = jump.select("sample", F.col("node").alias("up"), F.col("up").alias("above"))
         longer = materialize(jump.join(far, ["sample", "up"]).select("sample", "node", F.col("above").alias("up")), "jumps")
-        drop_table(marked)
-        drop_table(jump)
-        marked, jump = more, longer
-        if n == size and longer.isEmpty():
-            return marked
-        size = n
+        for t in written[1:]:
+            drop_table(t)
+        marked, jump, written = more, longer, [rows, more, longer]
     raise RuntimeError("paths did not end; a cycle?")
 
 

@@ -13,13 +13,20 @@ def naive_components(edges):
     return {x: graph.find_root(up, x) for e in edges for x in e}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_components(spark, monkeypatch, small):
-    monkeypatch.setattr(graph, "SMALL", 20_000 if small else -1)
+@pytest.fixture(params=[True, False], ids=["together", "apart"])
+def spread(spark, request):
+    """Rows of small tables in one task, or spread over several; also how many rows a task takes together."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, str(request.param).lower())
+    yield graph.CHUNK if request.param else 8
+    spark.conf.unset(name)
+
+
+def test_components(spark, spread):
     r = random.Random(3)
     edges = [(r.randrange(40), r.randrange(40)) for _ in range(25)] + [(i, i + 1) for i in range(100, 125)]
     df = spark.createDataFrame(edges + [(None, 1), (5, None), (7, 7)], "a long, b long")
-    got = {row.node: row.component for row in graph.connected_components(df).collect()}
+    got = {row.node: row.component for row in graph.connected_components(df, chunk=spread).collect()}
     want = naive_components([e for e in edges if e[0] != e[1]])
     assert got == want
     assert graph.connected_components(df.limit(0)).count() == 0
@@ -31,16 +38,30 @@ def test_components_keep_keys_apart(spark):
     assert got == {("p", 1): 1, ("p", 2): 1, ("p", 3): 1, ("q", 2): 2, ("q", 5): 2}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_roots_and_paths(spark, monkeypatch, small):
-    monkeypatch.setattr(graph, "SMALL", 20_000 if small else -1)
-    monkeypatch.setattr(morse, "SMALL", 20_000 if small else -1)
+def test_hub_and_long_path(spark, spread):
+    """A hub of 100,000 neighbours and a path of 10,000 nodes in a random order."""
+    order = list(range(200_000, 210_000))
+    random.Random(4).shuffle(order)
+    hub = spark.range(1, 100_001).selectExpr("50000 AS a", "id AS b")
+    path = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    got = graph.connected_components(hub.union(path), chunk=max(spread, 20_000)).groupBy("component").count().collect()
+    assert {r.component: r["count"] for r in got} == {1: 100_000, 200_000: 10_000}
+    tree = spark.createDataFrame([(0, x, y) for x, y in zip(order, [None, *order])], "sample int, node long, parent long")
+    flat = spark.range(100_000).selectExpr("0 AS sample", "id AS node", "CASE WHEN id = 7 THEN NULL WHEN id = 9 THEN 7 ELSE 9 END AS parent")
+    both = tree.union(flat)
+    roots = graph.resolve_roots(both, ["sample"], chunk=max(spread, 20_000)).groupBy("root").count().collect()
+    assert {r.root: r["count"] for r in roots} == {order[0]: 10_000, 7: 100_000}
+    starts = spark.createDataFrame([(0, order[-1]), (0, 3)], "sample int, node long")
+    assert morse.trace_up(both, starts, chunk=max(spread, 20_000)).count() == 10_000 + 3
+
+
+def test_roots_and_paths(spark, spread):
     rows = [(0, i, i - 1 if i % 10 else None, i) for i in range(30)]
     tree = spark.createDataFrame(rows, "sample int, node long, parent long, parent_edge long")
-    got = {r.node: r.root for r in graph.resolve_roots(tree, ["sample"]).collect()}
+    got = {r.node: r.root for r in graph.resolve_roots(tree, ["sample"], chunk=spread).collect()}
     assert got == {i: i - i % 10 for i in range(30)}
     starts = spark.createDataFrame([(0, 7), (0, 23)], "sample int, node long")
-    assert {r.node for r in morse.trace_up(tree, starts).collect()} == {*range(8), 20, 21, 22, 23}
+    assert {r.node for r in morse.trace_up(tree, starts, chunk=spread).collect()} == {*range(8), 20, 21, 22, 23}
 
 
 def test_degrees_and_adjacency(spark):
