@@ -27,6 +27,14 @@ def aggregate_embeddings(cells: DataFrame, group: str, dims: int, levels: DataFr
     return levels.join(out, "group", "left") if levels is not None else out
 
 
+def levels(df: DataFrame, label: str, most: int = 10_000) -> list:
+    """The label's distinct values in order, without null. They become columns or names on the driver, so more than ``most`` are an error."""
+    found = [r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{label} has more than {most} values")
+    return sorted(found)
+
+
 def transposed(aggregated: DataFrame, groups: list) -> DataFrame:
     """(dim, a column for each group): aggregated embeddings turned round."""
     long = aggregated.select("group", F.posexplode("emb").alias("dim", "v"))
@@ -41,11 +49,11 @@ def add_tile_metadata(cells: DataFrame, tiles: DataFrame, columns: dict[str, str
 
 def merge_clusters(df: DataFrame, label: str, merged: list, name: str) -> tuple[DataFrame, list]:
     """The labels ``merged`` become ``name``; also the order of levels: the others as sorted, the new one last. An unknown label is an error."""
-    levels = sorted(r[0] for r in df.select(label).distinct().collect() if r[0] is not None)
-    if unknown := [m for m in merged if m not in levels]:
+    known = levels(df, label)
+    if unknown := [m for m in merged if m not in known]:
         raise ValueError(f"no such label: {unknown}")
     c = F.col(label)
-    return df.withColumn(label, F.when(c.isin(merged), F.lit(name)).otherwise(c.cast("string"))), [*[str(x) for x in levels if x not in merged], name]
+    return df.withColumn(label, F.when(c.isin(merged), F.lit(name)).otherwise(c.cast("string"))), [*[str(x) for x in known if x not in merged], name]
 
 
 def add_subcluster_labels(df: DataFrame, sub: DataFrame, cluster: str, label: str, key: str = "cell_id", sub_label: str = "sub") -> DataFrame:

@@ -419,11 +419,12 @@ for _how, _agg in (("mean", "avg"), ("sum", "sum")):
     query(_grouped_sql(_agg))(_grouped(_how))
 
 
-@query(sql("SELECT CAST(dim AS INTEGER) AS dim, " + ", ".join(f"round(avg(v) FILTER (WHERE sample = {k}), 6) + 0.0 AS g{k}" for k in range(3)) + " FROM feats GROUP BY dim", "feats"))
+@query(sql("SELECT CAST(dim AS INTEGER) AS dim, CAST(sample AS VARCHAR) AS grp, round(avg(v), 6) + 0.0 AS v FROM feats GROUP BY dim, sample", "feats"))
 def embeddings_transposed(spark, folder):
-    cells = tables.cells(spark, folder, DIMS)
-    out = analysis.transposed(analysis.aggregate_embeddings(cells, "sample", DIMS), [0, 1, 2])
-    return shown(out.select("dim", *[F.col(str(k)).alias(f"g{k}") for k in range(3)]), "g0", "g1", "g2")
+    """The transpose has a column for each group that there is; it is shown in long form, so that it covers every label of any table."""
+    means = analysis.aggregate_embeddings(tables.cells(spark, folder, DIMS), "sample", DIMS)
+    wide = analysis.transposed(means, analysis.levels(means, "group"))
+    return shown(wide.unpivot("dim", [c for c in wide.columns if c != "dim"], "grp", "v").filter("v IS NOT NULL"), "v")
 
 
 @query("SELECT s_suppkey AS cell_id, s_nationkey AS tile_id, n_name AS nation, n_regionkey AS region FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey < 20")

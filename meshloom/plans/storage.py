@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one is made only where the setting is absent."""
+    """The folder named by ``spark.checkpoint.dir``. Where the setting is absent, a local session gets one of its own; on a cluster, whose machines share no local folder, that is an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="meshloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
