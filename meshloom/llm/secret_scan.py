@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all in JVM expressions.
 
-One regular expression marks candidates in a text. For each, features are computed from the value and its
+One regular expression finds candidates in a text, which is cut at their places. For each, features are computed from the value and its
 surroundings: length, transitions between classes of characters, coverage by dictionary words, signs of a path and
 neighbouring words. A random forest trained on labelled findings gives the share of trees that take it for a secret.
 The findings are generated (real secrets mustn't be shipped): patterns of live credentials against digests, ids,
@@ -17,19 +17,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A noncharacter that can't be in interchanged text, put around candidates.
-MARK = "﷐"
 FINDINGS, TREES, DEPTH, KEEP, HIDDEN = 2400, 15, 6, 0.5, "[REDACTED]"
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential"
-ASSIGNED = rf"(?:{NAMES})[\w-]{{0,20}}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?"
-#: Candidates, first match first: assigned values, known prefixes, key blocks, passwords in addresses, long mixed tokens; then values assigned to the end of a camelCase name.
+ASSIGNED = rf"(?:{NAMES})[\w-]{{0,40}}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?"
+#: Candidates, first match first: assigned values, whatever stands before the name; known prefixes, key blocks, passwords in addresses, long mixed tokens.
 #: Values have no upper length, so that none is cut to a part of itself; a run of one class of characters is linear.
 PATTERN = (
-    rf"(?<![A-Za-z0-9])(?:(?=[acpst])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,}}+|(?=[ACPST])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,}}+"
-    r"|A[KS]IA[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}+\b|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35,}+|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b"
+    rf"(?=[acpstACPST])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,}}+"
+    r"|(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}+\b|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35,}+|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b"
     r"|eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+){2,4}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<=://)[^\s/:@]++:[^\s/@]{3,}+(?=@)"
     r"|(?<![+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2})"
-    rf"|(?<=[a-z0-9])(?=[ACPST])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,}}+"
 )
 #: Words that speak of ordinary values.
 WORDS = "about account admin alpha article base beta build cache center change changeme class client code config content copy data date debug default demo description document dummy example false file folder group hello home image index input install item label layout letmein level library list local login main message model module name none null number object option order output package page path placeholder project public qwerty query record release report request resource response root sample script server service session setting source static status string style system table target template test text this title true type update upload user value version video view welcome width window world your".split()
@@ -127,21 +124,30 @@ def generated_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, int]
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__parts``: the text cut at candidates, which have the odd positions; null for a null text."""
-    marked = F.regexp_replace(F.regexp_replace(text_col, MARK, " "), PATTERN, f"{MARK}$0{MARK}")
-    return docs.withColumn("__parts", F.split(marked, MARK))
+    """``docs`` with ``__parts``: the text cut at candidates, which have the odd positions; null for a null text. Every character of the text is in one part, as it is."""
+    cut, hits = F.split(text_col, PATTERN, -1), F.regexp_extract_all(text_col, F.lit(PATTERN), F.lit(0))
+    out = docs.withColumn("__cut", cut).withColumn("__hits", hits)
+    parts = F.expr("flatten(transform(__cut, (p, i) -> case when i < size(__hits) then array(p, get(__hits, i)) else array(p) end))")
+    return out.withColumn("__parts", parts).drop("__cut", "__hits")
+
+
+#: Parts whose lengths are added up together, so that places in a text of many candidates don't take the square of their number.
+TOGETHER = 256
 
 
 def with_features(cut: DataFrame) -> DataFrame:
     """``__found``: for each candidate its place in the text (code points), value and features."""
     e = feature_exprs("c.raw", "c.before", "c.after")
-    places = "transform(sequence(1, greatest(size(__parts) - 1, 1), 2), i -> named_struct('raw', coalesce(get(__parts, i), ''), 'before', coalesce(get(__parts, i - 1), ''), 'after', coalesce(get(__parts, i + 1), ''), 'start', aggregate(slice(__parts, 1, i), 0, (a, x) -> a + length(x))))"
-    out = cut.withColumn("__c", F.expr(f"case when size(__parts) > 2 then {places} else array() end"))
+    out = cut.withColumn("__n", F.expr("transform(__parts, p -> length(p))"))
+    out = out.withColumn("__sums", F.expr(f"transform(sequence(0, greatest(size(__n) - 1, 0), {TOGETHER}), b -> aggregate(slice(__n, b + 1, {TOGETHER}), 0L, (a, n) -> a + n))"))
+    start = f"aggregate(slice(__sums, 1, i div {TOGETHER}), 0L, (a, n) -> a + n) + aggregate(slice(__n, int(i - i % {TOGETHER}) + 1, i % {TOGETHER}), 0L, (a, n) -> a + n)"
+    places = f"transform(sequence(1, greatest(size(__parts) - 1, 1), 2), i -> named_struct('raw', coalesce(get(__parts, i), ''), 'before', coalesce(get(__parts, i - 1), ''), 'after', coalesce(get(__parts, i + 1), ''), 'start', {start}))"
+    out = out.withColumn("__c", F.expr(f"case when size(__parts) > 2 then {places} else array() end"))
     value = f"transform(__c, c -> named_struct('raw', c.raw, 'before', right(c.before, 80), 'after', left(c.after, 40), 'value', {e['value']}, 'start', bigint(c.start + length(c.raw) - length({e['value']}))))"
     out = out.withColumn("__c", F.expr(value))
     # the field, not the word in a pattern
     inner = ", ".join(f"'{k}', {re.sub(VALUE, 'c.value', e[k])}" for k in FEATURES)
-    return out.withColumn("__found", F.expr(f"transform(__c, c -> named_struct('raw', c.raw, 'value', c.value, 'start', c.start, {inner}))")).drop("__c")
+    return out.withColumn("__found", F.expr(f"transform(__c, c -> named_struct('raw', c.raw, 'value', c.value, 'start', c.start, {inner}))")).drop("__c", "__n", "__sums")
 
 
 def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 9) -> list:
@@ -209,12 +215,17 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
 
 
 def redact(docs: DataFrame, text_col: str = "text", forest: list | None = None) -> DataFrame:
-    """``docs`` with each secret's value replaced by ``HIDDEN`` and, if there is such a column, ``n_chars`` set anew. No row goes; texts without secrets stay as they are."""
-    cols = docs.columns
-    rows = scored(docs, forest, text_col)
+    """``docs`` with each secret's value replaced by ``HIDDEN`` and, if there is such a column, ``n_chars`` set anew.
+
+    No row goes, and no other character changes; null and empty texts and texts without secrets stay as they are. Repeated rows stay repeated, an empty
+    table stays empty, and columns may have any names.
+    """
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = scored(docs.toDF(*at.values()), forest, at[text_col])
     piece = f"case when i % 2 = 1 and __scored[int((i - 1) / 2)].secret then concat(left(p, length(p) - length(__scored[int((i - 1) / 2)].value)), '{HIDDEN}') else p end"
     rows = rows.withColumn("__hit", F.expr("coalesce(exists(__scored, f -> f.secret), false)"))
-    rows = rows.withColumn(text_col, F.when(F.col("__hit"), F.expr(f"array_join(transform(__parts, (p, i) -> {piece}), '')")).otherwise(F.col(text_col)))
-    if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(F.col("__hit"), F.length(text_col).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return rows.select(*cols)
+    rows = rows.withColumn(at[text_col], F.when(F.col("__hit"), F.expr(f"array_join(transform(__parts, (p, i) -> {piece}), '')")).otherwise(F.col(at[text_col])))
+    if "n_chars" in at:
+        n = at["n_chars"]
+        rows = rows.withColumn(n, F.when(F.col("__hit"), F.length(at[text_col]).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col(n)))
+    return rows.select(*[F.col(k).alias(c) for c, k in at.items()])
