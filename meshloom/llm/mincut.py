@@ -28,19 +28,21 @@ RAW = frozenset("script style noscript template title textarea svg iframe object
 EMPTY = frozenset("hr br img input meta link base area col embed source track wbr".split())
 #: Tags of an ancestor and words of its attributes that count as features.
 TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "ul", "table", "p", "li", "blockquote", "pre", "dialog", "address", "figure")
+START, END = r"(?:^|[\s_-])", r"(?=$|[\s_\d-])"
 HINTS = {
-    "advert": r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|dfp|outbrain|taboola)(?:$|[\s_\d-])",
-    "menu": r"menu|nav|breadcrumb|tabs|toolbar|pagination|pager|skip",
-    "side": r"side|widget|related|recommend|popular|trending|more-|teaser|rail",
-    "notice": r"cookie|consent|notice|gdpr|alert|popup|modal|overlay|subscribe|newsletter|paywall|signup|login",
-    "reader": r"comment|disqus|reply|replies|respond|discussion|feedback|reviews",
-    "foot": r"foot|copyright|legal|colophon|masthead|header|logo|share|social|follow|meta|byline|tags",
-    "content": r"(?:^|[\s_-])(?:content|article|story|post|entry|main|body|text|prose|page)(?:$|[\s_\d-])|article|story|entry-content|post-body",
+    "advert": rf"{START}(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|dfp|outbrain|taboola){END}",
+    "menu": rf"{START}(?:\w*menu|nav|navbar|\w*navigation|breadcrumbs?|tabs|toolbar|pagination|pager|skip){END}",
+    "side": rf"{START}(?:side|sidebar|aside|widgets?|related|recommend\w*|popular|trending|more|teasers?|rail){END}",
+    "notice": rf"{START}(?:cookies?|consent|notice|gdpr|alert|popup|modal|overlay|subscribe|newsletter|paywall|signup|login){END}",
+    "reader": rf"{START}(?:comments?|comment(?:list|ary-thread)|disqus|reply|replies|respond|discussion|feedback|reviews){END}",
+    "foot": rf"{START}(?:foot|footer|copyright|legal|colophon|masthead|header|logo|share|social|follow|meta|byline|tags){END}",
+    "content": rf"{START}(?:content|article|story|post|entry|main|body|text|prose|page){END}",
 }
 HINT = {k: re.compile(v, re.I) for k, v in HINTS.items()}
 PLAIN = ("links", "words", "short", "stops", "first", "last", "heading", "mark", "siblings", "bias")
 NAMES = tuple(f"in_{t}" for t in TAGS) + tuple(HINTS) + PLAIN
-FOLLOW, KIN = 1.0, 1.5
+#: Strengths of the edges between blocks that follow each other, and between blocks of one parent, as ``choose_strengths`` finds them.
+FOLLOW, KIN = 1.0, 1.0
 
 
 class Block:
@@ -150,8 +152,9 @@ def features(blocks: list[Block]) -> np.ndarray:
     return x
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def edges_of(blocks: list[Block], follow: float | None = None, kin: float | None = None) -> list[tuple[int, int, float]]:
     """Smoothness edges: each block with the next, and with the last block before that of the same parent."""
+    follow, kin = FOLLOW if follow is None else follow, KIN if kin is None else kin
     out, last = [], {}
     for i, b in enumerate(blocks):
         if i:
@@ -161,10 +164,10 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
                 if x != y:
                     break
                 common += 1
-            out.append((i - 1, i, FOLLOW / (1 + max(0, len(a.path) + len(b.path) - 2 * common - 2))))
+            out.append((i - 1, i, follow / (1 + max(0, len(a.path) + len(b.path) - 2 * common - 2))))
         j = last.get(b.parent)
         if j is not None and j < i - 1:
-            out.append((j, i, KIN))
+            out.append((j, i, kin))
         last[b.parent] = i
     return out
 
@@ -221,88 +224,152 @@ def minimum_cut(net: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndar
 
 
 def generated_page(r: np.random.Generator) -> tuple[str, set[str]]:
-    """A page, and the texts of its content blocks; every block's text is its own."""
+    """A page, and the texts of its content blocks; every block's text is its own. Tags and classes often say little: many pages are built of plain divs,
+    sections hold articles as well as comments, and some pages are nothing but a few paragraphs."""
     letters, content = "abcdefghijklmnopqrstuvwxyz", set()
     pick = lambda *a: a[int(r.integers(len(a)))]
     word = lambda: "".join(letters[int(k)] for k in r.integers(0, 26, int(r.integers(2, 9))))
     words = lambda a, b: " ".join(word() for _ in range(int(r.integers(a, b))))
     maybe = lambda p: r.random() < p
+    neutral = lambda: pick("box", "c1", "wrap", "row", "inner", "commentary", "block", "grid", "x" + word(), "navy", "responsive", "trail")
 
     def keep(text):
-        content.add(text)
+        content.add(" ".join(text.split()))
         return text
 
-    brief = maybe(0.2)
+    brief, linky, silent = maybe(0.2), maybe(0.12), maybe(0.3)
+
+    def sentence():
+        return ". ".join(words(3, 14).capitalize() for _ in range(int(r.integers(1, 6)))) + pick(".", ".", "!", "?")
 
     def prose():
         if brief:
             return keep(words(1, 5).capitalize() + pick(".", ""))
-        return keep(". ".join(words(3, 14).capitalize() for _ in range(int(r.integers(1, 6)))) + pick(".", ".", "!", "?"))
-
-    def linked(k):
-        return "".join(f'<li><a href="/{word()}">{words(1, 4)}</a></li>' for _ in range(k))
-
-    def wrap(tag, names, inner):
-        return f"<{tag}{'' if maybe(0.35) and tag != 'div' else f' {pick("class", "id")}="{pick(*names)}"'}>{inner}</{tag}>"
-
+        if linky and maybe(0.7):
+            parts = [(words(2, 6), maybe(0.6)) for _ in range(int(r.integers(2, 6)))]
+            keep(" ".join(t for t, _ in parts) + ".")
+            return " ".join(f'<a href="/{word()}">{t}</a>' if a else t for t, a in parts) + "."
+        return keep(sentence())
+
+    def listed(k):  # now and then an entry without a link, as the page that one is on, or with a teaser's text
+        entry = lambda: words(1, 4) if maybe(0.12) else f'<a href="/{word()}">{words(1, 4)}</a>' + (f" {words(3, 9)}" if maybe(0.1) else "")
+        return "".join(f"<li>{entry()}</li>" for _ in range(k))
+
+    def mine(a, b):  # an entry of the article's own list, which may be a link
+        t = keep(words(a, b))
+        return f'<a href="/{word()}">{t}</a>' if linky or maybe(0.15) else t
+
+    def wrap(tag, names, inner, said=0.7):
+        name = pick(*names) if maybe(said) else neutral() if maybe(0.5) else ""
+        return f"<{tag}{f' {pick("class", "id")}="{name}"' if name else ''}>{inner}</{tag}>"
+
+    def body_parts():
+        out = [f"<h1>{keep(words(2, 12))}</h1>"] if maybe(0.8) else []
+        if maybe(0.12):  # text parted by line breaks is one block
+            lines = [sentence() for _ in range(int(r.integers(2, 6)))]
+            keep(" ".join(lines))
+            return [*out, f"<div>{pick('<br>', '<br><br>', '<br/>').join(lines)}</div>"]
+        for _ in range(int(r.integers(1, 3 if brief else 12))):
+            k = r.random()
+            if k < 0.66:
+                out.append(f"<p>{prose()}</p>")
+            elif k < 0.74:
+                out.append(f"<h2>{keep(words(1, 6))}</h2><p>{prose()}</p>")
+            elif k < 0.81:
+                out.append("<ul>" + "".join(f"<li>{mine(2, 14)}</li>" for _ in range(int(r.integers(2, 7)))) + "</ul>")
+            elif k < 0.85:
+                out.append(f"<blockquote>{prose()}</blockquote>")
+            elif k < 0.88:
+                out.append("<table>" + "".join(f"<tr><td>{mine(1, 4)}</td><td>{mine(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
+            elif k < 0.91:
+                out.append(f"<pre>{keep(words(3, 12))}</pre>")
+            elif k < 0.94:
+                out.append(f"<div>{prose()}</div>")
+            elif k < 0.96:
+                out.append(ad())
+            else:
+                out.append(f"<p>{keep(words(1, 4) + pick('.', '', '!'))}</p>")
+        return out
+
+    ad = lambda: wrap("div", ("ad", "advert", "ads-top", "sponsored", "promo-box", "ad-slot"), ". ".join(words(2, 9).capitalize() for _ in range(int(r.integers(1, 4)))) + ".", 1)
+    if maybe(0.08):  # nothing but text
+        if maybe(0.4):
+            return keep(sentence()), content
+        return "".join(f"<p>{prose()}</p>" for _ in range(int(r.integers(1, 5)))), content
     parts = []
     if maybe(0.5):
-        parts.append(wrap(pick("header", "div"), ("header", "masthead", "site-header", "logo"), f"<p>{words(1, 5)}</p>"))
-    if maybe(0.9):
-        parts.append(wrap(pick("nav", "nav", "div"), ("menu", "main-nav", "navbar", "breadcrumbs"), f"<ul>{linked(int(r.integers(2, 8)))}</ul>"))
+        parts.append(wrap(pick("header", "header", "div"), ("header", "masthead", "site-header", "logo"), f"<p>{words(1, 5)}</p>", 1))
+    if maybe(0.85):
+        parts.append(wrap(pick("nav", "nav", "div"), ("menu", "main-nav", "navbar", "breadcrumbs"), f"<ul>{listed(int(r.integers(2, 8)))}</ul>"))
     if maybe(0.4):
-        parts.append(wrap("div", ("cookie-notice", "consent", "alert notice", "newsletter-popup"), pick(f"<p>{words(6, 20)}.</p>", words(6, 20) + ".")))
-    ad = lambda: wrap("div", ("ad", "advert", "ads-top", "sponsored", "promo-box"), ". ".join(words(2, 9).capitalize() for _ in range(int(r.integers(1, 4)))) + ".")
-    if maybe(0.7):
+        parts.append(wrap("div", ("cookie-notice", "consent", "alert notice", "newsletter-popup"), pick(f"<p>{words(6, 20)}.</p>", words(6, 20) + "."), 1))
+    if maybe(0.6):
         parts.append(ad())
-    body = [f"<h1>{keep(words(2, 12))}</h1>"] if maybe(0.9) else []
-    for _ in range(int(r.integers(1, 3 if brief else 12))):
-        k = r.random()
-        if k < 0.7:
-            body.append(f"<p>{prose()}</p>")
-        elif k < 0.78:
-            body.append(f"<h2>{keep(words(1, 6))}</h2><p>{prose()}</p>")
-        elif k < 0.86:
-            body.append("<ul>" + "".join(f"<li>{keep(words(2, 14))}</li>" for _ in range(3)) + "</ul>")
-        elif k < 0.9:
-            body.append(f"<blockquote>{prose()}</blockquote>")
-        elif k < 0.93:
-            body.append(f"<pre>{keep(words(3, 12))}</pre>")
-        elif k < 0.96:
-            body.append(ad())
-        else:
-            body.append(f"<p>{keep(words(1, 4) + pick('.', '', '!'))}</p>")
-    inner = "".join(body)
-    parts.append(inner if maybe(0.1) else wrap(pick("article", "article", "main", "div"), ("content", "post", "story", "entry-content", "article-body"), inner))
+    inner = "".join(body_parts())
+    if maybe(0.15):
+        half = "".join(f"<p>{prose()}</p>" for _ in range(int(r.integers(1, 4))))
+        inner = f"<section>{inner}</section><section>{half}</section>"
+    names = ("content", "post", "story", "entry-content", "article-body", "text")
+    if silent:
+        shell = wrap(pick("div", "div", "section", "main"), (neutral(),), inner)
+    else:
+        shell = inner if maybe(0.1) else wrap(pick("article", "article", "main", "div", "section"), names, inner)
+    if maybe(0.25):
+        shell = wrap(pick("main", "section", "div"), names, shell, 0.3)
+    parts.append(shell)
+    if maybe(0.25):  # links to other pages in a box without a telling name
+        parts.append(wrap("div", (neutral(),), f"<h3>{words(1, 4)}</h3><ul>{listed(int(r.integers(3, 8)))}</ul>"))
     if maybe(0.4):
-        parts.append(wrap(pick("aside", "div"), ("sidebar", "related", "widget", "popular"), pick(f"<h3>{words(1, 3)}</h3><ul>{linked(4)}</ul>", f"<p>{words(4, 25)}.</p>")))
+        tag = pick("aside", "div")
+        parts.append(wrap(tag, ("sidebar", "related", "widget", "popular"), pick(f"<h3>{words(1, 3)}</h3><ul>{listed(4)}</ul>", f"<p>{words(4, 25)}.</p>"), 0.6 if tag == "aside" else 1))
     if maybe(0.3):
-        parts.append(wrap(pick("section", "div"), ("comments", "comment-list", "disqus", "replies"), "".join(f"<p>{words(4, 30).capitalize()}{pick('.', '!', '')}</p>" for _ in range(int(r.integers(1, 5))))))
+        said = "".join(f"<{t}>{words(4, 30).capitalize()}{pick('.', '!', '')}</{t}>" for t in [pick("p", "p", "div", "li")] * int(r.integers(1, 5)))
+        parts.append(wrap(pick("section", "div", "ul"), ("comments", "comment-list", "disqus", "replies", "comment-thread"), said, 1))
     if maybe(0.3):
         parts.append(f"<form><label>{words(1, 4)}</label><p>{words(3, 12)}</p><input></form>")
-    if maybe(0.9):
-        parts.append(wrap(pick("footer", "footer", "div"), ("footer", "site-footer", "copyright", "legal"), pick(f"&copy; {words(1, 3)} &middot; {words(3, 14).capitalize()}. {words(2, 8)}.", f"<p>{words(3, 14)}. All rights reserved.</p>")))
-    return f"<html><head><title>{words(2, 6)}</title></head><body>{''.join(parts)}</body></html>", content
+    if maybe(0.85):
+        tag = pick("footer", "footer", "div")
+        parts.append(wrap(tag, ("footer", "site-footer", "copyright", "legal"), pick(f"&copy; {words(1, 3)} &middot; {words(3, 14).capitalize()}. {words(2, 8)}.", f"<p>{words(3, 14)}. All rights reserved.</p>"), 0.6 if tag == "footer" else 1))
+    whole = "".join(parts)
+    return f"<html><head><title>{words(2, 6)}</title></head><body>{wrap('div', ('page', 'site'), whole, 0.3) if maybe(0.3) else whole}</body></html>", content
 
 
-def train(pages: int = 600, seed: int = 21, steps: int = 1500, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the classifier (log-odds of content) from generated pages; full-batch gradient steps."""
-    r = np.random.default_rng(seed)
-    x, y = [], []
+def generated(pages: int, seed: int) -> list[tuple[list[Block], np.ndarray, np.ndarray]]:
+    """(blocks, features, labels) of generated pages."""
+    r, out = np.random.default_rng(seed), []
     for _ in range(pages):
         html, content = generated_page(r)
         blocks = blocks_of(html)
-        x.append(features(blocks))
-        y += [b.text in content for b in blocks]
-    x, y = np.concatenate(x), np.array(y, float)
-    w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        out.append((blocks, features(blocks), np.array([b.text in content for b in blocks])))
+    return out
+
+
+def train(pages: int = 800, seed: int = 21, decay: float = 1.0, steps: int = 12) -> np.ndarray:
+    """Weights of the classifier (log-odds of content) from generated pages: Newton's steps on the likelihood, with a ridge that keeps the odds of any one sign modest."""
+    made = generated(pages, seed)
+    x, y = np.concatenate([f for _, f, _ in made]), np.concatenate([c for _, _, c in made]).astype(float)
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        speed = 0.9 * speed - 2.0 * (x.T @ (p - y) / len(y) + decay * w)
-        w += speed
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + decay * np.eye(len(w)), x.T @ (y - p) - decay * w)
     return w
 
 
+def wrong(made: list, weights: np.ndarray, follow: float, kin: float) -> int:
+    """Blocks that the cut labels wrongly."""
+    return sum(int((minimum_cut(f @ weights, edges_of(b, follow, kin)) != c).sum()) for b, f, c in made)
+
+
+def choose_strengths(pages: int = 300, grid: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0), seed: int = 51) -> dict[tuple[float, float], int]:
+    """Wrong blocks for each (follow, kin) of a grid, by twofold cross-validation over generated pages."""
+    out = dict.fromkeys([(a, b) for a in grid for b in grid], 0)
+    for k in (0, 1):
+        weights, test = train(pages, seed + k), generated(pages, seed + 1 - k)
+        for pair in out:
+            out[pair] += wrong(test, weights, *pair)
+    return out
+
+
 def main_text(html: str | None, weights: np.ndarray) -> str:
     """The content blocks in page order, parted by an empty line."""
     blocks = blocks_of(html) if html else []
