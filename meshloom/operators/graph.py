@@ -84,6 +84,14 @@ def degrees(edges: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return ends.groupBy(*keys, "node").agg(F.count("*").alias("degree"))
 
 
+def dealt_join(rows: DataFrame, side: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each value of ``on``. The rows of one value are dealt into ``SALTS`` pieces by ``by``, so that a
+    value that a third of all rows have isn't one task's; a value's side row is only repeated for the pieces that it has."""
+    dealt = rows.withColumn("__piece", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    asked = dealt.select(*on, "__piece").distinct().join(side, on)
+    return dealt.join(asked, [*on, "__piece"], how).drop("__piece")
+
+
 def _with_least(edges: DataFrame, on: list[str]) -> DataFrame:
     """Edges (on..., v) with ``m``, the least v of their node. The rows of one node are dealt into ``SALTS`` pieces by v, so that a hub isn't one task's."""
     dealt = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
@@ -139,9 +147,7 @@ def resolve_roots(parents: DataFrame, keys: list[str], node: str = "node", paren
         far = now.select(*on).distinct().join(above, on)
         if far.isEmpty():
             return now
-        dealt = now.withColumn("s", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-        asked = dealt.select(*on, "s").distinct().join(above, on)
-        step = dealt.join(asked, [*on, "s"], "left").select(*keys, "node", F.coalesce("above", "root").alias("root"))
+        step = dealt_join(now, above, on, "node", "left").select(*keys, "node", F.coalesce("above", "root").alias("root"))
         after = materialize(in_chunks(step.repartition(*keys, "node"), _chains, chunk), "roots")
         drop_table(now)
         now = after
