@@ -1,7 +1,7 @@
 """Embedding near-duplicates through hierarchical navigable small-world graphs.
 
-Vectors are compared within a label only. A label's vectors are dealt into shards of about ``SHARD``; each shard
-gets a graph, and every shard of the label is queried with all the label's vectors, a pair of shards at a time. A search runs in
+Vectors are compared within a label only. A label's vectors are dealt into shards of about ``SHARD``. Each shard's graph is built once and
+written to the shared folder; it is queried with the shard's own vectors and with those of every later shard of the label, a shard at a time. A search runs in
 lockstep for a block of queries: greedy descent through the upper levels, a beam on the lowest, and then the beam is
 widened by every neighbour of a link, whichever way, until no link is new. Two samples audit the beam: queries against all vectors of
 the shard, and planted ones, each a vector of the shard turned until it is barely a link, which must find that vector though nothing else is near. While the recall of
@@ -11,16 +11,19 @@ precision. Copies of a vector are one node with a weight. Kernels return counts
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.vectors import folded, matrix, usable
-from meshloom.operators.graph import connected_components
-from meshloom.plans.storage import materialize
+from meshloom.operators.graph import connected_components, dealt_join
+from meshloom.plans.storage import drop_table, materialize
 
-SHARD, THRESHOLD = 16_384, 0.93
+#: Vectors in a shard at most, and bytes of them.
+SHARD, SHARD_BYTES, THRESHOLD = 16_384, 32 << 20, 0.93
 #: Links of a node on upper levels and on the lowest, beam when building and at first when searching, expansions a step.
 M, M0, BUILD, BEAM, AT_ONCE, BLOCK = 8, 16, 32, 32, 4, 512
 FRONTIER = 65_536
@@ -49,6 +52,13 @@ class Graph:
             self._insert(order[at : at + step])
             at += step
 
+    @classmethod
+    def of(cls, unit: np.ndarray, links: list[np.ndarray], levels: np.ndarray, entry: int) -> Graph:
+        """A graph that was built before."""
+        out = cls.__new__(cls)
+        out.x, out.links, out.levels, out.entry, out._both = unit.astype(np.float32), links, levels, entry, None
+        return out
+
     def _sims(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.where(ids >= 0, np.einsum("qkd,qd->qk", self.x[ids], q), -np.inf)
 
@@ -207,30 +217,44 @@ def planted(unit: np.ndarray, at: np.ndarray, cosine: float, seed: int = 3) -> n
     return np.where(size > 1e-9, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * away / np.maximum(size, 1e-9), x)
 
 
-def enough(graph: Graph, unit: np.ndarray, queries: np.ndarray, own: np.ndarray | None, threshold: float) -> int | None:
-    """The least beam, of doubled ones, that passes both audits; None if only all vectors are enough."""
-    audit = np.random.default_rng(2).permutation(len(queries))[:AUDITED]
-    true = queries[audit] @ unit.T >= threshold
+def planted_beam(graph: Graph, unit: np.ndarray, threshold: float, beam: int = 0) -> int | None:
+    """The least beam, of doubled ones, that finds the planted links; None if only all vectors are enough."""
+    beam = beam or BEAM
     at = np.random.default_rng(4).permutation(len(unit))[:PLANTED]
     turned = planted(unit, at, min(1.0, threshold + SLACK)).astype(np.float32)
-    q32, beam = queries[audit].astype(np.float32), BEAM
     while beam <= max(BEAM, WIDEST * len(unit)):
         rows, nodes = graph.within(turned, threshold - SLACK, beam)
         if (nodes == at[rows]).sum() >= RECALL * len(at):
-            rows, nodes = graph.within(q32, threshold - SLACK, beam, own[audit] if own is not None else None)
-            if true[rows, nodes].sum() >= RECALL * true.sum():
-                return beam
+            return beam
+        beam *= 2
+    return None
+
+
+def enough(graph: Graph, unit: np.ndarray, queries: np.ndarray, own: np.ndarray | None, threshold: float, beam: int | None) -> int | None:
+    """The least beam, from one that passed the planted audit on, that finds the links of a sample of queries too."""
+    audit = np.random.default_rng(2).permutation(len(queries))[:AUDITED]
+    true = queries[audit] @ unit.T >= threshold
+    q32 = queries[audit].astype(np.float32)
+    while beam is not None and beam <= max(BEAM, WIDEST * len(unit)):
+        rows, nodes = graph.within(q32, threshold - SLACK, beam, own[audit] if own is not None else None)
+        if true[rows, nodes].sum() >= RECALL * true.sum():
+            return beam
         beam *= 2
     return None
 
 
-def shard_links(unit: np.ndarray, queries: np.ndarray | None, threshold: float):
-    """Yields blocks of (query, node) links of at least ``threshold`` in double precision. ``queries`` None: the shard's own vectors, without a vector itself."""
-    graph = Graph(unit)
+def shard_links(unit: np.ndarray, queries: np.ndarray | None, threshold: float, graph: Graph | None = None, beam: int | None = 0):
+    """Yields blocks of (query, node) links of at least ``threshold`` in double precision. ``queries`` None: the shard's own vectors, without a vector itself.
+
+    ``graph``, ``beam``: the shard's graph and the beam that its planted links need (None: all vectors), where they were worked out before.
+    """
+    if graph is None:
+        graph = Graph(unit)
+        beam = planted_beam(graph, unit, threshold)
     q64 = unit if queries is None else queries
     q32 = q64.astype(np.float32)
     own = np.arange(len(unit)) if queries is None else None
-    beam = enough(graph, unit, q64, own, threshold)
+    beam = enough(graph, unit, q64, own, threshold, beam)
     for at in range(0, len(q64), BLOCK):
         part = slice(at, at + BLOCK)
         if beam is None:
@@ -244,18 +268,20 @@ def shard_links(unit: np.ndarray, queries: np.ndarray | None, threshold: float):
         yield rows[ok], nodes[ok]
 
 
-def _roots(n: int, blocks) -> np.ndarray:
-    """Smallest connected position of each of n positions, over blocks of links: labels spread until they settle."""
+def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block of links as stars about each query's least node: as many rows as queries and nodes, with the same connected sets."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
+    hub = b[first][np.cumsum(first) - 1] if len(a) else b
+    return tuple(np.unique(np.stack([np.r_[a, b], np.r_[hub, hub]]), axis=1))
+
+
+def _roots(n: int, stars) -> np.ndarray:
+    """Smallest connected position of each of n positions, over stars: labels spread until they settle."""
     label = np.arange(n)
-    pairs = []
-    for a, b in blocks:  # a star for each query: linear in the rows
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
-        hub = b[first][np.cumsum(first) - 1] if len(a) else b
-        pairs.append(np.unique(np.stack([np.r_[a, b], np.r_[hub, hub]]), axis=1))
-    if pairs:
-        a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    if stars:
+        a, b = np.unique(np.concatenate(stars, axis=1), axis=1)
         while True:
             low = np.minimum(label[a], label[b])
             before = label.copy()
@@ -269,41 +295,70 @@ def _roots(n: int, blocks) -> np.ndarray:
     return label
 
 
-def _kernel(threshold: float):
-    """One pair of shards: each row's number of links there, and the row that its local component has the smallest id of."""
+class Links:
+    """Links among n vectors as a bit for each pair (34 MB for a full shard), so that a link that one end finds counts at both."""
+
+    def __init__(self, n: int):
+        self.n, self.bits = n, np.zeros((n, -(-n // 8)), np.uint8)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in ((a, b), (b, a)):
+            np.bitwise_or.at(self.bits, (x, y >> 3), np.uint8(128) >> (y & 7).astype(np.uint8))
+
+    def weights(self, size: np.ndarray, step: int = 512) -> np.ndarray:
+        """The sum of the sizes of each vector's links."""
+        return np.concatenate([np.unpackbits(self.bits[i : i + step], axis=1, count=self.n) @ size for i in range(0, self.n, step)] or [np.zeros(0, np.int64)])
+
+
+def _unit(t: pa.Table) -> np.ndarray:
+    x = matrix(t["vector"])
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _build(threshold: float):
+    """One shard: its distinct vectors, which row has which, and their graph with the beam that its planted links need, packed into one row."""
 
     def run(t: pa.Table) -> pa.Table:
-        left = t["own"].to_numpy() == t["low"].to_numpy()
-        same = bool((t["low"].to_numpy() == t["high"].to_numpy()).all())
-        x = matrix(t["vector"])
-        rid = t["rid"].to_numpy()
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = _unit(t)
         first, group, size = folded(x)
-        n = len(first)
-        links, pairs = np.zeros(n, np.int64), []
-        if same:
-            for a, b in shard_links(x[first], None, threshold):
-                np.add.at(links, a, size[b])
-                pairs.append((a, b))
-            count = links[group] + size[group] - 1
+        graph = Graph(x[first])
+        packed = pickle.dumps((x[first], group, size, t["rid"].to_numpy(), graph.links, graph.levels, graph.entry, planted_beam(graph, x[first], threshold)), 5)
+        return pa.table({"label": t["label"].slice(0, 1), "dim": t["dim"].slice(0, 1), "own": t["own"].slice(0, 1), "packed": pa.array([packed], pa.binary())})
+
+    return run
+
+
+def _kernel(threshold: float):
+    """A shard's graph and the vectors of that or another shard: each row's number of links there, and the row that its local component has the smallest id of."""
+    schema = pa.schema([("rid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def run(shards: pa.Table, asks: pa.Table) -> pa.Table:
+        if not shards.num_rows:
+            return schema.empty_table()
+        unit, group, size, rid, links, levels, entry, beam = pickle.loads(shards["packed"][0].as_py())
+        graph, stars, n = Graph.of(unit, links, levels, entry), [], len(unit)
+        if asks.num_rows:
+            x = _unit(asks)
+            first, group2, size2 = folded(x)
+            count, count2 = np.zeros(n, np.int64), np.zeros(len(first), np.int64)
+            for q, c in shard_links(unit, x[first], threshold, graph, beam):
+                np.add.at(count, c, size2[q])
+                np.add.at(count2, q, size[c])
+                stars.append(star(q + n, c))
+            total, group, rid = np.concatenate([count, count2]), np.concatenate([group, group2 + n]), np.concatenate([rid, asks["rid"].to_numpy()])
+            count = total[group]
         else:
-            weight = np.zeros((2, n), np.int64)
-            np.add.at(weight[0], group[left], 1)
-            np.add.at(weight[1], group[~left], 1)
-            a_nodes, b_nodes = np.flatnonzero(weight[0]), np.flatnonzero(weight[1])
-            to_left, to_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            if len(a_nodes) and len(b_nodes):
-                for q, c in shard_links(x[first[a_nodes]], x[first[b_nodes]], threshold):
-                    q, c = b_nodes[q], a_nodes[c]
-                    np.add.at(to_left, q, weight[0][c])
-                    np.add.at(to_right, c, weight[1][q])
-                    pairs.append((q, c))
-            count = np.where(left, to_right[group], to_left[group])
-        root = _roots(n, pairs)
-        least = np.full(n, np.iinfo(np.int64).max)
+            both = Links(n)
+            for a, b in shard_links(unit, None, threshold, graph, beam):
+                both.add(a, b)
+                stars.append(star(a, b))
+            total = both.weights(size)
+            count = total[group] + size[group] - 1
+        root = _roots(len(total), stars)
+        least = np.full(len(total), np.iinfo(np.int64).max)
         np.minimum.at(least, root[group], rid)
         out = count > 0
-        return pa.table({"rid": rid[out], "links": count[out], "root": least[root[group]][out]})
+        return pa.table([rid[out], count[out], least[root[group]][out]], schema=schema)
 
     return run
 
@@ -318,14 +373,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     rows = materialize(vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")), "vectors")
     good = rows.filter(usable("vector") & F.col("label").isNotNull()).withColumn("dim", F.size("vector"))
-    sizes = good.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    dealt = good.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    dealt = dealt.select("label", "dim", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rid", "vector")
-    found = materialize(dealt.groupBy("label", "dim", "low", "high").applyInArrow(_kernel(threshold), "rid long, links long, root long"), "vector-links")
+    room = F.greatest(F.least(F.lit(shard), (F.lit(SHARD_BYTES) / (F.col("dim") * 8)).cast("int")), F.lit(1))
+    sizes = materialize(good.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / room).cast("int").alias("shards")), "vector-shards")
+    dealt = dealt_join(good, sizes, ["label", "dim"], "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("int"))
+    kind = dict(rows.dtypes)["label"]
+    graphs = materialize(dealt.select("label", "dim", "own", "rid", "vector").groupBy("label", "dim", "own").applyInArrow(_build(threshold), f"label {kind}, dim int, own int, packed binary"), "vector-graphs")
+    # a shard's graph meets its own vectors and those of every later shard
+    every = F.explode(F.sequence(F.col("own"), F.col("shards") - 1)).alias("high")
+    searched = graphs.join(sizes, ["label", "dim"]).select("label", "dim", F.col("own").alias("low"), every, "packed")
+    asks = dealt.filter("own > 0").select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("low"), F.col("own").alias("high"), "rid", "vector")
+    keys = ["label", "dim", "low", "high"]
+    met = searched.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(_kernel(threshold), "rid long, links long, root long")
+    found = materialize(met, "vector-links")
     links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
     comp = connected_components(found, "rid", "root").withColumnRenamed("node", "rid")
     named = rows.select("rid", "id").join(links, "rid", "left").join(comp, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    named = materialize(named, "vector-components")
     least = named.groupBy("component").agg(F.min("id").alias("least"))
-    out = named.join(least, "component")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("least").alias("component"), F.coalesce(F.col("id") == F.col("least"), F.lit(False)).alias("kept"))
+    out = dealt_join(named, least, ["component"], "rid")
+    result = out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("least").alias("component"), F.coalesce(F.col("id") == F.col("least"), F.lit(False)).alias("kept"))
+    for t in (rows, graphs, found):
+        drop_table(t)
+    return result
