@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshloom.llm.common import star
 from meshloom.llm.vectors import folded, matrix, usable
 from meshloom.operators.graph import connected_components, dealt_join
 from meshloom.plans.storage import drop_table, materialize
@@ -268,15 +269,6 @@ def shard_links(unit: np.ndarray, queries: np.ndarray | None, threshold: float,
         yield rows[ok], nodes[ok]
 
 
-def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block of links as stars about each query's least node: as many rows as queries and nodes, with the same connected sets."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
-    hub = b[first][np.cumsum(first) - 1] if len(a) else b
-    return tuple(np.unique(np.stack([np.r_[a, b], np.r_[hub, hub]]), axis=1))
-
-
 def _roots(n: int, stars) -> np.ndarray:
     """Smallest connected position of each of n positions, over stars: labels spread until they settle."""
     label = np.arange(n)

@@ -1,16 +1,17 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked through BK-trees.
 
-Fingerprints that differ in at most ``radius`` of 64 bits agree wholly on some ``blocks - radius``
-of any ``blocks`` parts of the word, so each fingerprint is filed under every such choice of parts.
-All fingerprints under one value make a shard. A shard is indexed by a BK-tree (children keyed by
-their integer Hamming distance from the parent), and a search only follows edges within the radius.
-A shard over ``SHARD`` fingerprints is split; every pair of its pieces is searched, so no link is lost.
-Only distinct fingerprints take part: copies are folded before anything is shuffled. A kernel returns
-its links as stars (a member and the root of its local set), never as all pairs.
+Distinct fingerprints are dealt into shards of about a thousand, and each shard is a BK-tree (children keyed by their integer Hamming
+distance from the parent); a search follows only edges within the radius. Dealing is a router that loses no link: fingerprints that
+differ in at most ``radius`` of 64 bits agree wholly on some ``blocks - radius`` of any ``blocks`` parts of the word, so each goes to a shard
+for every such choice of parts, by as many of their bits as shards of that size need; few fingerprints are one tree. A shard over ``SHARD``
+is split, and every pair of its pieces is searched, a tree of the one with the other's fingerprints: trees go to their queries in a shuffle and aren't
+broadcast, as all of them grow with the corpus. Copies are folded before anything is shuffled. A kernel returns its links as stars (a member and the
+least of its neighbours), never as all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -19,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import Sets, map_slices, words
-from meshloom.operators.graph import connected_components
+from meshloom.llm.common import map_slices, star, words
+from meshloom.operators.graph import connected_components, dealt_join
 from meshloom.plans.storage import materialize
 
 BITS, SEED = 64, 42
@@ -66,105 +67,135 @@ def signed(x: int) -> int:
 
 
 class BKTree:
-    """Burkhard-Keller tree over integers under Hamming distance."""
-
-    def __init__(self):
-        self.root = None
-
-    def add(self, x: int) -> None:
-        if self.root is None:
-            self.root = (x, {})
-            return
-        node = self.root
-        while d := (x ^ node[0]).bit_count():
-            below = node[1].get(d)
-            if below is None:
-                node[1][d] = (x, {})
-                return
-            node = below
-
-    def within(self, x: int, radius: int) -> list[int]:
-        """All members at most ``radius`` bits from x."""
-        found, todo = [], [self.root] if self.root else []
-        while todo:
-            value, below = todo.pop()
-            d = (x ^ value).bit_count()
-            if d <= radius:
-                found.append(value)
-            for edge in range(max(1, d - radius), d + radius + 1) if len(below) > 2 * radius + 1 else [e for e in below if d - radius <= e <= d + radius]:
-                if edge in below:
-                    todo.append(below[edge])
-        return found
+    """Burkhard-Keller tree over distinct integers under Hamming distance, in arrays. A node's children have different integer distances from it, which key them;
+    all members below a child have that distance."""
+
+    def __init__(self, members: np.ndarray):
+        """The first member of a group is its node; the rest go on in a group for each distance. A level at a time."""
+        n = len(members)
+        parent, edge, value, rows = [], [], [], np.arange(n)
+        group, base = np.zeros(n, np.int64), 0
+        up = np.full(min(n, 1), -1, np.int64)  # of each group, the node above
+        key = np.zeros(min(n, 1), np.int64)
+        while len(rows):
+            first = np.unique(group, return_index=True)[1]
+            node = rows[first]
+            value.append(members[node])
+            parent.append(up)
+            edge.append(key)
+            rest = np.ones(len(rows), bool)
+            rest[first] = False
+            rows, group = rows[rest], group[rest]
+            far = np.bitwise_count(members[rows] ^ members[node][group]).astype(np.int64)
+            below, at = np.unique(group * 128 + far, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            rows, group = rows[order], at[order]
+            up, key = below // 128 + base, below % 128
+            base += len(node)
+        self.value = np.concatenate(value) if value else np.empty(0, np.uint64)
+        parent, edge = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (parent, edge))
+        # levels are laid out by parent and distance, so a node's children are neighbours in order of distance; ``upto``: how many are nearer than each distance
+        has = parent >= 0
+        many = np.bincount(parent[has], minlength=n)
+        self.first = np.searchsorted(parent, np.arange(n))
+        self.upto = np.zeros((n, BITS + 2), np.int32)
+        np.add.at(self.upto, (parent[has], edge[has] + 1), 1)
+        self.upto = np.cumsum(self.upto, axis=1, dtype=np.int32)
+        self.leaf = many == 0
+
+    def within(self, queries: np.ndarray, radius: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) of all pairs at most ``radius`` bits apart: the distance to a node is compared, and only edges within the radius of it are followed."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+        for at in range(0, len(queries) if len(self.value) else 0, step):
+            block = queries[at : at + step]
+            q, node = np.arange(len(block)), np.zeros(len(block), np.int64)
+            while len(q):
+                d = np.bitwise_count(block[q] ^ self.value[node]).astype(np.int64)
+                hit = d <= radius
+                found.append((q[hit] + at, self.value[node[hit]]))
+                inner = ~self.leaf[node]
+                q, node, d = q[inner], node[inner], d[inner]
+                low = self.first[node] + self.upto[node, np.maximum(d - radius, 0)]
+                many = self.first[node] + self.upto[node, np.minimum(d + radius, BITS) + 1] - low
+                q, low = np.repeat(q, many), np.repeat(low - (np.cumsum(many) - many), many)
+                node = low + np.arange(len(low))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _shard_links(radius: int):
-    """Kernel over rows (shard, part, fp, tree, query) that lie together by (shard, part): local stars."""
-
-    def of_group(fps, tree, query):
-        bk, sets = BKTree(), Sets()
-        fps = [x & MASK for x in fps]  # Python's integers have no sign bit
-        for x, t in zip(fps, tree, strict=True):
-            if t:
-                bk.add(x)
-        for x, q in zip(fps, query, strict=True):
-            if q:
-                for y in bk.within(x, radius):
-                    sets.join(x, y)
-        return [(signed(x), signed(r)) for x in list(sets.up) if (r := sets.root(x)) != x]
+    """Kernel over rows (shard, part, fp, tree, query) that lie together by (shard, part): a tree of the one side, searched with the other; local stars."""
+
+    def of_group(fp, tree, query):
+        fp = fp.view(np.uint64)
+        bk, asks = BKTree(fp[tree]), fp[query]
+        q, member = bk.within(asks, radius)
+        a, b = asks[q].view(np.int64), member.view(np.int64)
+        return star(a[a != b], b[a != b])
 
     def run(batches):
-        key, rows = None, ([], [], [])
+        key, rows = None, []
         for b in batches:
-            keys = list(zip(b["shard"].to_pylist(), b["part"].to_pylist(), strict=True))
-            cols = [b[c].to_pylist() for c in ("fp", "tree", "query")]
-            out, at = [], 0
-            for i in range(len(keys) + 1):
-                if i == len(keys) or keys[i] != key:
-                    for have, col in zip(rows, cols, strict=True):
-                        have += col[at:i]
-                    at = i
-                    if i < len(keys):
-                        if len(rows[0]) > 1:
-                            out += of_group(*rows)
-                        key, rows = keys[i], ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-        out = of_group(*rows) if len(rows[0]) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            shard, part = b["shard"].to_numpy(), b["part"].to_numpy()
+            cols = [b["fp"].to_numpy(), *(b[c].to_numpy(zero_copy_only=False) for c in ("tree", "query"))]
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(shard)], strict=True):
+                if j == i:
+                    continue
+                if (shard[i], part[i]) != key:
+                    yield from packed(rows)
+                    key, rows = (shard[i], part[i]), []
+                rows.append([c[i:j] for c in cols])
+        yield from packed(rows)
+
+    def packed(rows):
+        if rows:
+            a, b = of_group(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def block_choice(n: int, radius: int = 3) -> int:
-    """How many parts to cut 64 bits into, so that a shard of n random fingerprints holds about 64 or fewer."""
+def block_choice(n: int, radius: int = 3, each: int = SHARD // 2) -> int:
+    """How many parts to cut 64 bits into, so that those that must agree have bits enough to deal n fingerprints into shards of about ``each``."""
     blocks = radius + 1
-    while blocks < 2 * radius + 2 and n >> (BITS * (blocks - radius) // blocks) > 64:
+    while blocks < 2 * radius + 2 and n >> (BITS * (blocks - radius) // blocks) > each:
         blocks += 1
     return blocks
 
 
-def hamming_links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
+def routes(n: int, radius: int, blocks: int, each: int) -> list[int]:
+    """Masks of bits: two fingerprints within the radius agree on all bits of one mask at least. Each has bits for shards of about ``each`` of n fingerprints, and no more."""
+    wanted = max(0, math.ceil(math.log2(max(n, 1) / each)))
+    edges = np.linspace(0, BITS, blocks + 1).astype(int)
+    out = []
+    for kept in combinations(range(blocks), blocks - radius):
+        mask, left = 0, wanted
+        for k, i in enumerate(kept):
+            bits = min(int(edges[i + 1] - edges[i]), -(-left // (len(kept) - k)))
+            mask |= ((1 << bits) - 1) << int(edges[i])
+            left -= bits
+        out.append(mask)
+    return list(dict.fromkeys(out))
+
+
+def hamming_links(fps: DataFrame, radius: int = 3, shard: int = SHARD, blocks: int | None = None) -> DataFrame:
     """Stars (a, b) whose connected sets are those of all pairs of distinct ``fp`` within ``radius`` bits.
 
-    ``fps``: one row for each distinct fingerprint (long). Null fingerprints aren't linked.
+    ``fps``: one row for each distinct fingerprint (long). Null fingerprints aren't linked. ``blocks``: parts of the word, by ``block_choice`` if not given.
     """
     spark = fps.sparkSession
     fps = fps.filter("fp IS NOT NULL")
-    blocks = block_choice(fps.count(), radius)
-    edges = np.linspace(0, BITS, blocks + 1).astype(int)
-    keys = []
-    for k, kept in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << int(edges[i + 1] - edges[i])) - 1) << int(edges[i]) for i in kept)
-        keys.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long"))))
+    n, each = fps.count(), max(1, shard // 2)
+    masks = routes(n, radius, blocks or block_choice(n, radius, each), each)
+    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long"))) for k, m in enumerate(masks)]
     filed = fps.select("fp", F.explode(F.array(*keys)).alias("shard"))
-    crowded = filed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    split = F.ceil(F.col("n") / shard).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("s")).cast("int")
-    rows = filed.join(crowded, "shard").withColumn("s", split).withColumn("own", own)
+    crowded = filed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1").select("shard", F.ceil(F.col("n") / shard).cast("int").alias("s"))
+    rows = dealt_join(filed, crowded, ["shard"], "fp").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("s")).cast("int"))
     pieces = rows.select("shard", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    placed = pieces.select("shard", F.concat_ws("-", low, high).alias("part"), "fp", (F.col("own") == low).alias("tree"), (F.col("own") == high).alias("query"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "fp").mapInArrow(_shard_links(radius), "a long, b long")
+    placed = pieces.select("shard", (low.cast("long") * (1 << 32) + high).alias("part"), "fp", (F.col("own") == low).alias("tree"), (F.col("own") == high).alias("query"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "shard", "part").sortWithinPartitions("shard", "part", "fp").mapInArrow(_shard_links(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 3) -> DataFrame:
@@ -179,8 +210,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comp = connected_components(hamming_links(distinct.select("fp"), radius))
     of_fp = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = of_fp.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = of_fp.join(smallest, "component").select("fp", "component_id")
-    return named.join(by_fp, "fp").select("id", "fp", F.col("component_id").alias("component"))
+    by_fp = dealt_join(of_fp, smallest, ["component"], "fp").select("fp", "component_id")
+    return dealt_join(named, by_fp, ["fp"], "id").select("id", "fp", F.col("component_id").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 3) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from meshloom.llm import bpe, bytecnn, hnsw, mincut, mixing, packing, prefix_forest, queries, secret_scan, sharding, simhash
-from meshloom.llm.common import table, words
+from meshloom.llm.common import Sets, table, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, slot string, id string, key string, fp string"
@@ -250,10 +250,10 @@ def test_hamming_links_lose_nothing(spark, shard):
     centre = [int(x) for x in r.integers(0, 1 << 63, 6)]
     fps = {c ^ sum(1 << int(b) for b in r.choice(64, int(r.integers(0, 5)), replace=False)) for c in centre for _ in range(30)} | {int(x) for x in r.integers(0, 1 << 63, 100)}
     df = spark.createDataFrame([(simhash.signed(f & simhash.MASK),) for f in fps], "fp long")
-    sets = simhash.Sets()
+    sets = Sets()
     for x in simhash.hamming_links(df, shard=shard).collect():
         sets.join(x.a & simhash.MASK, x.b & simhash.MASK)
-    want = simhash.Sets()
+    want = Sets()
     for a in fps:
         for b in fps:
             if (a ^ b).bit_count() <= 3:
@@ -285,7 +285,7 @@ def test_vector_links(spark, shard):
     got = {r.id: r for r in hnsw.near_duplicates(df, shard=shard).collect()}
     assert len(got) == len(rows)
     good = [(i, np.array(v), lab) for i, v, lab, _ in rows if usable(v) and lab is not None]
-    near, sets = collections.Counter(), simhash.Sets()
+    near, sets = collections.Counter(), Sets()
     for i, v, a in good:
         for j, w, b in good:
             if i != j and a == b and len(v) == len(w) and v @ w / (np.linalg.norm(v) * np.linalg.norm(w)) >= 0.93:
