@@ -421,7 +421,6 @@ def test_bits_are_probabilities_of_bytes():
     mixing.count_bits(key, word, name, n, table_)
     m = mixing.Model(table_)
     m.tune([data])
-    m.freeze()
     context, word = mixing.contexts(*mixing.windows(mixing.canonical("the ca")[0])[:2])
     keys = (context[4] << np.uint64(8)) | np.arange(256, dtype=np.uint64)
     p = 2.0 ** m.costs(keys, np.full(256, word[4]), np.arange(256, dtype=np.uint64)).astype(float)
