@@ -165,10 +165,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, floor: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: not ``und``, and a score of ``floor`` or more. All columns are kept."""
+    """The rows of ``docs`` whose text has a language: not ``und``, and a score of ``floor`` or more. All columns are kept, whatever their names."""
     net = fit(docs, fold("id", 3) != 1)
     cols = docs.columns
     at = {c: f"c{i}" for i, c in enumerate(cols)} | {"text": "text"}
-    named = docs.select(*[F.col(c).alias(at[c]) for c in cols])
+    named = docs.toDF(*[at[c] for c in cols])
     out = predict(named, net, at["doc_id"], "text", tuple(at[c] for c in cols if c != "text"), with_text=True)
     return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= floor)).select(*[F.col(at[c]).alias(c) for c in cols])

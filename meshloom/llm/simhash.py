@@ -220,13 +220,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     Rows are told apart by id and hash, never by id alone, so a group without any id keeps a row as well, and so does each of two groups that share an id.
     Rows that are equal in all columns give one row.
     """
-    digest = F.xxhash64(*docs.columns)
-    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest"))
-    groups = simhash_groups(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", n, radius)
-    first = groups.filter(F.col("id") == F.col("component")).groupBy("id").agg(F.count("*").alias("__copies"))
-    first = materialize(first.select(F.col("id.id").alias("__id"), F.col("id.digest").alias("__row"), "__copies"), "simhash-kept")
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows, id_at = docs.toDF(*at.values()), at[id_col]
+    digest = F.xxhash64(*rows.columns)
+    row = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), digest.alias("digest"))
+    groups = simhash_groups(rows.select(row.alias("row"), F.col(at[text_col]).alias("text")), "row", "text", n, radius)
+    first = groups.filter(F.col("id") == F.col("component")).groupBy("id").agg(F.count("*").alias("copies"))
+    first = materialize(first.select(F.col("id.id").alias("id"), F.col("id.digest").alias("row"), "copies"), "simhash-kept")
     # the way to join doesn't depend on how few rows there are
-    keep = docs.withColumn("__digest", digest).join(first.hint("shuffle_hash"), (F.col("__digest") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id", "__row")
-    if first.filter("__copies > 1").limit(1).count():
-        keep = keep.filter("__copies = 1").unionByName(keep.filter("__copies > 1").dropDuplicates([id_col, "__digest"]))
-    return keep.drop("__copies", "__digest")
+    keep = rows.withColumn("digest", digest).join(first.hint("shuffle_hash"), (F.col("digest") == F.col("row")) & F.col(id_at).eqNullSafe(F.col("id"))).drop("id", "row")
+    if first.filter("copies > 1").limit(1).count():
+        keep = keep.filter("copies = 1").unionByName(keep.filter("copies > 1").dropDuplicates([id_at, "digest"]))
+    return keep.select(*[F.col(k).alias(c) for c, k in at.items()])
