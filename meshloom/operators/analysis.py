@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.vectors import mean_arrays
+from meshloom.plans.storage import materialize
 
 
 def group_matrix(cells: DataFrame, group: str, cell: str = "cell_id") -> DataFrame:
@@ -77,15 +78,13 @@ def knn(vectors: DataFrame, k: int = 30, block: int = 4096, key: str = "id", emb
             return pd.DataFrame(columns=["id", "other", "distance"])
         u, v = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
         norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        d = np.round(1 - norm(u) @ norm(v).T, 12)
         xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
+        order = np.argsort(yi, kind="stable")  # in the order of ids, so that a stable sort leaves ties to the smaller one
+        yi, d = yi[order], np.round(1 - norm(u) @ norm(v[order]).T, 12)
         d[xi[:, None] == yi[None, :]] = np.inf
-        out, order = [], np.argsort(np.argsort(yi, kind="stable"), kind="stable")
-        for i, row in enumerate(d):
-            best = np.lexsort((order, row))[:k]
-            best = best[np.isfinite(row[best])]
-            out.append(pd.DataFrame({"id": xi[i], "other": yi[best], "distance": row[best]}))
-        return pd.concat(out)
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"id": np.repeat(xi, best.shape[1]), "other": yi[best.ravel()], "distance": np.take_along_axis(d, best, axis=1).ravel()})
+        return out[np.isfinite(out["distance"])]
 
     a, b = a.toDF(*a.columns), b.toDF(*b.columns)  # new names, as both come from one table
     found = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(kernel, f"id {kind}, other {kind}, distance double")
@@ -104,20 +103,24 @@ def fuzzy_graph(neighbours: DataFrame) -> DataFrame:
 
     def kernel(batches):
         for df in batches:
-            out = []
-            for i, l in zip(df["id"], df["l"], strict=True):
-                d = np.array([e["distance"] for e in l])
-                rho = d[d > 0].min() if (d > 0).any() else 0.0
-                target, low, high, sigma = np.log2(max(len(d), 2)), 0.0, np.inf, 1.0
-                for _ in range(64):
-                    s = np.exp(-np.maximum(d - rho, 0) / sigma).sum()
-                    if abs(s - target) < 1e-5:
-                        break
-                    low, high = (low, sigma) if s > target else (sigma, high)
-                    sigma = (low + high) / 2 if np.isfinite(high) else sigma * 2
-                sigma = max(sigma, 1e-3 * float(d.mean()), 1e-12)
-                out.append(pd.DataFrame({"id": i, "other": [e["other"] for e in l], "weight": np.exp(-np.maximum(d - rho, 0) / sigma)}))
-            yield pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "weight": []})
+            if not len(df):
+                continue
+            size = df["l"].map(len).to_numpy()
+            there = np.arange(size.max()) < size[:, None]  # a row for each list, filled up with infinite distances
+            d = np.full(there.shape, np.inf)
+            d[there] = [e["distance"] for l in df["l"] for e in l]
+            rho = np.where(d > 0, d, np.inf).min(axis=1)
+            far = np.maximum(d - np.where(np.isfinite(rho), rho, 0.0)[:, None], 0)
+            target, low, high, sigma = np.log2(np.maximum(size, 2)), np.zeros(len(df)), np.full(len(df), np.inf), np.ones(len(df))
+            for _ in range(64):
+                s = np.exp(-far / sigma[:, None]).sum(axis=1)
+                open_ = np.abs(s - target) >= 1e-5
+                if not open_.any():
+                    break
+                low, high = np.where(open_ & (s <= target), sigma, low), np.where(open_ & (s > target), sigma, high)
+                sigma = np.where(open_, np.where(np.isfinite(high), (low + high) / 2, sigma * 2), sigma)
+            sigma = np.maximum(np.maximum(sigma, 1e-3 * np.where(there, d, 0.0).sum(axis=1) / size), 1e-12)
+            yield pd.DataFrame({"id": np.repeat(df["id"].to_numpy(), size), "other": [e["other"] for l in df["l"] for e in l], "weight": np.exp(-far / sigma[:, None])[there]})
 
     one = lists.mapInPandas(kernel, f"id {kind}, other {kind}, weight double")
     two = one.select(F.col("other").alias("id"), F.col("id").alias("other"), F.col("weight").alias("back"))
@@ -213,6 +216,21 @@ def subcluster(cells: DataFrame, cluster: str, label: str, k: int = 30, resoluti
     return add_subcluster_labels(cells, sub, cluster, label, key)
 
 
+def subcluster_counts(cells: DataFrame, counts: DataFrame, cluster: str, label: str, genes: int = 2000, npcs: int = 20, k: int = 30, resolution: float = 1.0) -> DataFrame:
+    """``cells`` (cell_id, label, ...) with the rows of a cluster relabelled from its ``counts`` (cell_id, gene, count): normalised, the ``genes`` most variable ones scaled, PCA
+    to ``npcs`` components, neighbours and communities. Cell ids tell cells apart across samples. Cells without a count in any of these genes get "<cluster>_-1".
+    """
+    from meshloom.operators.embed import normalize, pca_of, variable_genes
+
+    own = cells.filter(F.col(label) == cluster).select("cell_id")
+    values = normalize(counts.join(own, "cell_id", "left_semi").select(F.lit(0).alias("sample"), "cell_id", "gene", "count"))
+    kept = materialize(values.join(variable_genes(values, genes).select("sample", "gene"), ["sample", "gene"]), "variable")
+    emb = materialize(pca_of(kept, npcs)[0].withColumnRenamed("cell_id", "id"), "pca")
+    found = communities(fuzzy_graph(materialize(knn(emb, k), "neighbours")), resolution)
+    sub = own.withColumnRenamed("cell_id", "id").join(found, "id", "left").select(F.col("id").alias("cell_id"), F.coalesce("community", F.lit(-1)).alias("sub"))
+    return add_subcluster_labels(cells, sub, cluster, label)
+
+
 def tile_subcluster(tiles: DataFrame, cells: DataFrame, cell_adjacency: DataFrame, cluster: str, label: str, dims: int, rounds: tuple[int, ...] = (0, 1), k: int = 30, resolution: float = 1.0) -> DataFrame:
     """``tiles`` with those of a cluster relabelled: their cells' embeddings are smoothed among themselves, averaged by tile and clustered.
 

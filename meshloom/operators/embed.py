@@ -53,13 +53,18 @@ def z_scores(values: DataFrame, margin: int = 1, limit: float = 10.0) -> DataFra
 
 
 def pca(counts: DataFrame, npcs: int = 25) -> tuple[DataFrame, DataFrame]:
-    """(embeddings(sample, cell_id, emb), loadings(sample, gene, loading)) of normalised z-scores, by the genes' Gram matrix.
+    """``pca_of`` normalised counts."""
+    return pca_of(normalize(counts), npcs)
+
+
+def pca_of(values: DataFrame, npcs: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(embeddings(sample, cell_id, emb), loadings(sample, gene, loading)) of the z-scores of values, by the genes' Gram matrix.
 
     The Gram matrix (genes by genes, of a panel's size) is summed where the cells are; only it reaches one task. The sign of a component makes its largest
     loading positive. Components beyond the rank are left out.
     """
-    z = z_scores(normalize(counts)).filter("z IS NOT NULL")
-    kinds = {f.name: f.dataType for f in counts.schema}
+    z = z_scores(values).filter("z IS NOT NULL")
+    kinds = {f.name: f.dataType for f in values.schema}
     load = T.StructType([T.StructField("sample", kinds["sample"]), T.StructField("gene", kinds["gene"]), T.StructField("loading", T.ArrayType(T.DoubleType()))])
     row = z.groupBy("sample", "cell_id").agg(F.sort_array(F.collect_list(F.struct("gene", "z"))).alias("row"))
     part = row.withColumn("salt", F.pmod(F.xxhash64("cell_id"), F.lit(64)))
@@ -85,9 +90,9 @@ def pca(counts: DataFrame, npcs: int = 25) -> tuple[DataFrame, DataFrame]:
         return pd.DataFrame({"sample": df["sample"].iloc[0], "gene": genes, "loading": list(u)})
 
     loadings = grams.groupBy("sample").applyInPandas(solve, load)
-    joined = z.join(loadings, ["sample", "gene"]).select("sample", "cell_id", "z", F.posexplode("loading").alias("pc", "u"))
-    scores = joined.groupBy("sample", "cell_id", "pc").agg(F.sum(F.col("z") * F.col("u")).alias("v"))
-    emb = scores.groupBy("sample", "cell_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pc", "v"))), lambda e: e["v"]).alias("emb"))
+    # a sum for each component in one aggregate; components that a sample lacks are null
+    sums = F.array(*[F.sum(F.col("z") * F.get("loading", F.lit(i))) for i in range(npcs)])
+    emb = z.join(loadings, ["sample", "gene"]).groupBy("sample", "cell_id").agg(F.filter(sums, lambda v: v.isNotNull()).alias("emb"))
     return emb, loadings
 
 

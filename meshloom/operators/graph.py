@@ -166,6 +166,43 @@ def largest_component(edges: DataFrame, a: str, b: str, keys: tuple[str, ...] =
     return best.select(*keys, (-F.col("m.down")).alias("component"), F.col("m.nodes").alias("nodes"))
 
 
+def shortest_paths(edges: DataFrame, sources: DataFrame, a: str = "a", b: str = "b", weight: str | None = None, keys: tuple[str, ...] = (), max_rounds: int = 100_000) -> DataFrame:
+    """(keys..., node, distance, previous) of every node that can be reached from the ``sources`` (keys..., node): the length of the shortest path from the nearest
+    of them, and the node before it there (null at a source; ties go to the smaller one).
+
+    ``edges`` go both ways; ``weight`` names their lengths (1 each if none), and a negative one is an error. Rounds pass on only the distances that have got shorter, until none
+    does; each is written to the shared folder. Edges with a null end or length are ignored. The edges of a hub are dealt to many tasks.
+    """
+    k = list(keys)
+    length = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    ends = lambda x, y: edges.select(*k, F.col(x).alias("node"), F.col(y).alias("to"), length.alias("w"))
+    both = ends(a, b).unionByName(ends(b, a)).filter("node IS NOT NULL AND to IS NOT NULL AND w IS NOT NULL AND node <> to")
+    both = materialize(both.groupBy(*k, "node", "to").agg(F.min("w").alias("w")), "path-edges")
+    if not both.filter("w < 0 OR isnan(w)").isEmpty():
+        raise ValueError("lengths must be numbers of 0 or more")
+    kind = both.schema["to"].dataType
+    now = materialize(sources.select(*k, "node").filter("node IS NOT NULL").distinct().select(*k, "node", F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("previous"), F.lit(True).alias("shorter")), "paths")
+    for _ in range(max_rounds):
+        if now.filter("shorter").isEmpty():
+            drop_table(both)
+            return now.drop("shorter")
+        found = dealt_join(both, now.filter("shorter").select(*k, "node", "distance"), [*k, "node"], "to")
+        found = found.select(*k, F.col("to").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.col("node").alias("previous"), F.lit(True).alias("shorter"))
+        every = now.withColumn("shorter", F.lit(False)).unionByName(found)
+        # of equal lengths the known one stays, so that a round without gain is the last
+        best = every.groupBy(*k, "node").agg(F.min(F.struct("distance", "shorter", "previous")).alias("m")).select(*k, "node", "m.distance", "m.previous", "m.shorter")
+        after = materialize(best, "paths")
+        drop_table(now)
+        now = after
+    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+
+
+def adjacency(nodes: DataFrame, edges: DataFrame, a: str, b: str, *keys: str, node: str = "node") -> DataFrame:
+    """(keys..., a, b) in both directions for every node; nodes without neighbours have one row, with a null b."""
+    every = nodes.select(*keys, F.col(node).alias("a")).distinct()
+    return every.join(symmetric(edges, a, b, *keys), [*keys, "a"], "left")
+
+
 def colour(edges: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """(key, node, colour): nodes in ascending order take the least colour that no neighbour has. Sequential: a task for each value of ``key``."""
     schema = T.StructType([T.StructField(key, edges.schema[key].dataType), T.StructField("node", edges.schema[a].dataType), T.StructField("colour", T.LongType())])

@@ -56,7 +56,7 @@ def fit_mixture(d: np.ndarray, rounds: int = 500) -> tuple[float, float]:
 def border_distances(edges: DataFrame, tiles: DataFrame, dims: int) -> DataFrame:
     """Tile edges with ``d``, the distance of their ends' embeddings, and both ends' npts, area and perimeter (suffixes 0 and 1)."""
     side = lambda n, k: tiles.select("sample", F.col("tile_id").alias(n), *[F.col(c).alias(f"{c}{k}") for c in ("emb", "perimeter")], F.col("npts").alias(f"npts{k}"), F.col("area").alias(f"area{k}"))
-    e = edges.select("sample", "from_tile", "to_tile", "edge_length", *[c for c in ("score_size",) if c in edges.columns])
+    e = edges.select("sample", "from_tile", "to_tile", "edge_length", *[c for c in ("score_size", "dscore") if c in edges.columns])
     e = e.join(side("from_tile", 0), ["sample", "from_tile"]).join(side("to_tile", 1), ["sample", "to_tile"])
     return e.withColumn("d", distance("emb0", "emb1", dims))
 
@@ -73,15 +73,18 @@ def mixtures(scored: DataFrame, mode: int, alpha: float = 1.0) -> DataFrame:
     return scored.select("sample", "d").groupBy("sample").applyInPandas(kernel, schema)
 
 
-def scores(edges: DataFrame, tiles: DataFrame, params: DataFrame, dims: int, mode: int, max_npts: float = 50, min_npts: float = 5, fix_to: bool = False) -> DataFrame:
+def scores(edges: DataFrame, tiles: DataFrame, params: DataFrame | None, dims: int, mode: int, max_npts: float = 50, min_npts: float = 5, fix_to: bool = False) -> DataFrame:
     """Tile edges with w, score_size, perimeter_merge, dscore, npts, area and emb_merged.
 
-    Mode 2 grows tiles: similarity about 0, and -1 for a merged size of ``max_npts`` or more. Mode 3 fills up small tiles: similarity from 0 to 1, the size score stays as it is (1 if
+    Mode 1 keeps the ``dscore`` that the edges have (none is an error), with w and score_size 0, and needs no ``params``. Mode 2 grows tiles: similarity about 0, and -1 for a merged size of ``max_npts`` or more. Mode 3 fills up small tiles: similarity from 0 to 1, the size score stays as it is (1 if
     there is none), and -1 where both ends have ``min_npts`` or more. In mode 3 both ends' compactness is the first one's, as published, unless ``fix_to``.
     """
-    if mode not in (GROW, FILL):
-        raise ValueError("mode is 2 (grow) or 3 (fill)")
-    e = border_distances(edges, tiles, dims).join(F.broadcast(params), "sample")
+    if mode not in (STATIC, GROW, FILL):
+        raise ValueError("mode is 1 (as given), 2 (grow) or 3 (fill)")
+    if mode == STATIC and "dscore" not in edges.columns:
+        raise ValueError("mode 1 needs edges with dscore")
+    e = border_distances(edges, tiles, dims)
+    e = e.withColumns({"d_mu": F.lit(0.0), "d_sig": F.lit(1.0)}) if mode == STATIC else e.join(F.broadcast(params), "sample")
     n0, n1 = F.col("npts0").cast("double"), F.col("npts1").cast("double")
     logistic = 1 / (1 + F.exp(-(F.col("d") - F.col("d_mu")) / F.col("d_sig")))
     size = (1 - n0 / max_npts) * (1 - n1 / max_npts)
@@ -93,7 +96,11 @@ def scores(edges: DataFrame, tiles: DataFrame, params: DataFrame, dims: int, mod
     dc = 0.5 * (4 * math.pi * F.col("area") / F.col("perimeter_merge") ** 2 - round_(0, n0 / (n0 + n1)) - c_to + 1)
     never = (F.col("npts") >= max_npts) if mode == GROW else (n0 >= min_npts) & (n1 >= min_npts)
     merged = F.array(*[(n0 * F.col("emb0")[i] + n1 * F.col("emb1")[i]) / (n0 + n1) for i in range(dims)])
-    e = e.withColumn("dscore", F.when(never, F.lit(OUT)).otherwise(F.col("w") * F.col("score_size") * dc)).withColumn("emb_merged", merged)
+    if mode == STATIC:
+        e = e.withColumns({"w": F.lit(0.0), "score_size": F.lit(0.0), "dscore": F.col("dscore").cast("double")})
+    else:
+        e = e.withColumn("dscore", F.when(never, F.lit(OUT)).otherwise(F.col("w") * F.col("score_size") * dc))
+    e = e.withColumn("emb_merged", merged)
     return e.select("sample", "from_tile", "to_tile", "edge_length", "npts", "area", "w", "score_size", "perimeter_merge", "dscore", "emb_merged")
 
 
@@ -176,7 +183,7 @@ class Agglomerator:
         return self
 
 
-def merge_tiles(tiles: DataFrame, edges: DataFrame, params: DataFrame, mode: int, max_npts: float = math.inf, min_npts: float = 0, threshold: float = 0.0, rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_tiles(tiles: DataFrame, edges: DataFrame, params: DataFrame | None, mode: int, max_npts: float = math.inf, min_npts: float = 0, threshold: float = 0.0, rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(map(sample, tile_id, new_id), tiles, edges) after greedy merging of each sample.
 
     Survivors are the ``from_tile`` of each merge, numbered anew in their old order. Tiles of unknown area or perimeter don't spoil others: they count as zero.
@@ -208,7 +215,7 @@ def merge_tiles(tiles: DataFrame, edges: DataFrame, params: DataFrame, mode: int
         return pd.DataFrame(rows, columns=t_schema.names)
 
     own = ["sample", "tile_id", "npts", "area", "perimeter", "emb"]
-    given = edges.join(F.broadcast(params), "sample")
+    given = edges.withColumns({"d_mu": F.lit(0.0), "d_sig": F.lit(1.0)}) if params is None else edges.join(F.broadcast(params), "sample")
     # new names for both sides, which may come from one table
     sides = tiles.select(*own).toDF(*own).groupBy("sample").cogroup(given.toDF(*given.columns).groupBy("sample"))
     out = materialize(sides.applyInPandas(kernel, t_schema), "merged")

@@ -97,7 +97,7 @@ def circuits(segments: DataFrame) -> DataFrame:
 
 
 def walk_rings(segments: list[tuple[float, float, float, float]]) -> list[list[tuple[float, float]]]:
-    """Closed rings from directed segments; where several leave a place, the first unused one is taken."""
+    """Closed simple rings from directed segments: a walk takes the first unused segment of a place, and a loop is cut off as soon as it comes back to a place it has passed."""
     leaving: dict[tuple, list[tuple]] = {}
     for px, py, qx, qy in sorted(segments):
         if (px, py) != (qx, qy):
@@ -105,13 +105,22 @@ def walk_rings(segments: list[tuple[float, float, float, float]]) -> list[list[t
     rings = []
     for start in sorted(leaving):
         while leaving[start]:
-            ring, at = [start], leaving[start].pop(0)
-            while at != start:
-                ring.append(at)
+            path, passed, at = [start], {start: 0}, leaving[start].pop(0)
+            while True:
+                if at in passed:
+                    k = passed[at]
+                    rings.append([*path[k:], at])
+                    for p in path[k + 1 :]:
+                        del passed[p]
+                    del path[k + 1 :]
+                else:
+                    passed[at] = len(path)
+                    path.append(at)
                 if not leaving.get(at):
                     break
                 at = leaving[at].pop(0)
-            rings.append([*ring, start])
+            if len(path) > 1:  # segments that don't close are closed
+                rings.append([*path, start])
     return rings
 
 
@@ -119,12 +128,25 @@ def ring_area(ring: list[tuple[float, float]]) -> float:
     return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False)) / 2
 
 
+def within(place: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
+    """Whether a ray from the place crosses the ring an odd number of times."""
+    x, y = place
+    odd = False
+    for (px, py), (qx, qy) in zip(ring, ring[1:], strict=False):
+        if (py > y) != (qy > y) and x < px + (y - py) / (qy - py) * (qx - px):
+            odd = not odd
+    return odd
+
+
 def polygon_wkb(rings: list[list[tuple[float, float]]]) -> bytes:
-    """A multipolygon as well-known binary: each outer ring a polygon, holes with the outer ring of greatest area."""
-    outer = sorted((r for r in rings if ring_area(r) > 0), key=ring_area, reverse=True)
+    """A multipolygon as well-known binary: each outer ring a polygon, each hole with the smallest outer ring around it; rings without area, and holes outside all, are left out."""
+    outer = sorted((r for r in rings if ring_area(r) > 0), key=ring_area)
     polygons = [[r] for r in outer]
-    if polygons:
-        polygons[0] += [r for r in rings if ring_area(r) <= 0]
+    for hole in (r for r in rings if ring_area(r) < 0):
+        # the middle of a side: no side of a hole is one of an outer ring, but corners may be shared
+        middle = ((hole[0][0] + hole[1][0]) / 2, (hole[0][1] + hole[1][1]) / 2)
+        if (home := next((p for p in polygons if within(middle, p[0])), None)) is not None:
+            home.append(hole)
     out = struct.pack("<BII", 1, 6, len(polygons))
     for p in polygons:
         out += struct.pack("<BII", 1, 3, len(p)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *q) for q in r) for r in p)

@@ -470,6 +470,13 @@ def neighbour_layout(spark, folder):
     return analysis.layout(fuzzy_neighbour_graph(spark, folder), 50)
 
 
+@query()
+def subclusters_of_counts(spark, folder):
+    counts = tables.supplier_counts(spark, folder)
+    cells = counts.select("cell_id").distinct().withColumn("label", F.when(F.col("cell_id") % 3 == 0, "rest").otherwise("most"))
+    return analysis.subcluster_counts(cells, counts, "most", "label", 15, 5, 10).select("cell_id", "label")
+
+
 @query()
 def subclusters(spark, folder):
     cells = tables.cells(spark, folder, DIMS).withColumn("label", F.col("sample").cast("string"))
@@ -534,6 +541,39 @@ def counts_variable_genes(spark, folder):
     return shown(embed.variable_genes(embed.normalize(tables.supplier_counts(spark, folder)), 10), "dispersion")
 
 
+@query(sql("""SELECT a.cell_id, round(sum(a.z * a.z), 4) + 0.0 AS own, round(sum(a.z * b.z), 4) + 0.0 AS with_first FROM zs a JOIN zs b ON b.gene = a.gene AND b.cell_id = (SELECT min(cell_id) FROM supp) GROUP BY a.cell_id""", "zs"))
+def counts_pca_products(spark, folder):
+    """All components keep the inner products of the z-scores: each cell's with itself, and with the first cell."""
+    emb = materialize(embed.pca(tables.supplier_counts(spark, folder), 30)[0].select("cell_id", F.posexplode("emb").alias("pc", "v")), "pca")
+    first = emb.join(emb.agg(F.min("cell_id").alias("cell_id")), "cell_id").select("pc", F.col("v").alias("f"))
+    return shown(emb.join(first, "pc").groupBy("cell_id").agg(F.sum(F.col("v") * F.col("v")).alias("own"), F.sum(F.col("v") * F.col("f")).alias("with_first")), "own", "with_first", digits=4)
+
+
+@query(sql("SELECT sample, node, CAST(min(d) AS DOUBLE) AS distance FROM hops GROUP BY ALL", "hops"))
+def graph_distances(spark, folder):
+    m = plain_mesh(spark, folder)
+    return graph.shortest_paths(m.edges, m.points.groupBy("sample").agg(F.min("pt_id").alias("node")), "from_pt", "to_pt", keys=("sample",)).drop("previous")
+
+
+@query(sql("SELECT t.sample, t.tile_id AS a, b.other AS b FROM (SELECT DISTINCT sample, tile_id FROM tiles_pt) t LEFT JOIN (SELECT sample, from_tile AS tile_id, to_tile AS other FROM borders UNION SELECT sample, to_tile, from_tile FROM borders) b ON b.sample = t.sample AND b.tile_id = t.tile_id", "borders"))
+def tile_graph(spark, folder):
+    _, _, e, t = first_tiles(spark, folder)
+    return graph.adjacency(t, e, "tile_from", "tile_to", "sample", node="tile_id")
+
+
+@query(sql("SELECT c.sample, c.pt_id AS cell_id, t.tile_id FROM cells c LEFT JOIN tiles_pt t ON t.sample = c.sample AND t.pt_id = c.pt_id AND t.pt_id % 5 <> 0", "tiles_pt"))
+def tiles_of_cells(spark, folder):
+    _, of_points, _, _ = first_tiles(spark, folder)
+    return pipeline.write_back(tables.cells(spark, folder, DIMS).select("sample", "cell_id"), of_points.filter("pt_id % 5 <> 0"))
+
+
+@query()
+def tile_merging_by_given_scores(spark, folder):
+    _, _, e, t = first_tiles(spark, folder)
+    adj = tiles.tile_adjacency(e, t).withColumn("dscore", 1 - F.col("npts") / 8)
+    return merge.merge_tiles(t, merge.scores(adj, t, None, DIMS, merge.STATIC), None, merge.STATIC)[0]
+
+
 @query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation UNION ALL SELECT r_regionkey, r_name, NULL FROM region")
 def tables_bound(spark, folder):
     n = tables.read(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))

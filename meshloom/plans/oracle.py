@@ -39,6 +39,11 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     "wholes": (("parts",), "SELECT p.sample FROM (SELECT sample, count(DISTINCT component) AS k, count(*) AS n FROM parts GROUP BY sample) p JOIN (SELECT sample, count(*) AS total FROM tris GROUP BY sample) t ON t.sample = p.sample WHERE k = 1 AND n = total"),
     "kept_tris": (("part_sizes", "wholes"), "SELECT p.sample, p.tri_id FROM parts p JOIN part_sizes s ON s.sample = p.sample AND s.component = p.component LEFT JOIN wholes w ON w.sample = p.sample WHERE s.cells >= 6 OR w.sample IS NOT NULL"),
     "linked_both": (("edges",), "SELECT sample, from_pt AS a, to_pt AS b FROM edges UNION SELECT sample, to_pt, from_pt FROM edges"),
+    "zs": (("normed",), """SELECT x.cell_id, x.gene, greatest(least((x.v - m.mu) / m.sd, 10), -10) AS z FROM
+      (SELECT c.cell_id, g.gene, coalesce(n.value, 0) AS v FROM (SELECT DISTINCT cell_id FROM supp) c CROSS JOIN (SELECT DISTINCT gene FROM supp) g LEFT JOIN normed n ON n.cell_id = c.cell_id AND n.gene = g.gene) x
+      JOIN (SELECT gene, sum(value) / k AS mu, sqrt((sum(value * value) - sum(value) * sum(value) / k) / (k - 1)) AS sd FROM normed, (SELECT count(DISTINCT cell_id) AS k FROM supp) GROUP BY gene, k) m ON m.gene = x.gene WHERE m.sd > 1e-9"""),
+    "hops": (("linked_both",), """SELECT sample, min(pt_id) AS node, 0 AS d FROM cells GROUP BY sample UNION
+      SELECT h.sample, l.b, h.d + 1 FROM hops h JOIN linked_both l ON l.sample = h.sample AND l.a = h.node WHERE h.d < (SELECT max(k) FROM (SELECT count(*) AS k FROM cells GROUP BY sample))"""),
     "efield": (("edges", "feats"), """SELECT e.sample, e.edge_id, f.dim, (x1_pt-x0_pt)/length_pt*(g.v-f.v) AS gx, (y1_pt-y0_pt)/length_pt*(g.v-f.v) AS gy FROM edges e
       JOIN feats f ON f.sample = e.sample AND f.pt_id = e.from_pt JOIN feats g ON g.sample = e.sample AND g.pt_id = e.to_pt AND g.dim = f.dim"""),
     "pfield": (("efield",), "SELECT e.sample, e.pt_id, f.dim, avg(gx) AS gx, avg(gy) AS gy FROM (SELECT sample, edge_id, unnest([from_pt, to_pt]) AS pt_id FROM edges) e JOIN efield f ON f.sample = e.sample AND f.edge_id = e.edge_id GROUP BY ALL"),
@@ -106,7 +111,7 @@ FRAGMENTS |= {
     "supp": ((), "SELECT l_suppkey AS cell_id, p_brand AS gene, CAST(sum(l_quantity) AS DOUBLE) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"),
     "normed": (("supp",), "SELECT cell_id, gene, ln(1 + (SELECT median(t) FROM (SELECT sum(n) AS t FROM supp GROUP BY cell_id)) * n / sum(n) OVER (PARTITION BY cell_id)) AS value FROM supp"),
 }
-RECURSIVE = {"reached", "together", "primal_up", "dual_up"}
+RECURSIVE = {"reached", "hops", "together", "primal_up", "dual_up"}
 
 
 def sql(select: str, *needs: str) -> str:

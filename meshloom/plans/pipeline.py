@@ -158,6 +158,25 @@ def add_isolated(cells: DataFrame, points: DataFrame, table: DataFrame, width: i
     return points.select("sample", "pt_id", "x", "y", "tile_id").unionByName(pts), table.select(*rows.columns).unionByName(rows)
 
 
+def write_back(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """Cells with the ``tile_id`` of their point; null for those without a tile."""
+    return cells.join(points.select("sample", F.col("pt_id").alias("cell_id"), "tile_id"), ["sample", "cell_id"], "left")
+
+
+def bind_objects(objects: dict[str, dict[str, DataFrame]], ids: tuple[str, ...] = ("tile_id", "from_tile", "to_tile", "a", "b")) -> dict[str, DataFrame]:
+    """Tables of several runs of ``get_tiles`` bound by name: a column ``object`` names the run, and tile ids become "<object>_<sample>_<id>", at both ends of edges too.
+
+    Columns that some runs lack are null there; a table that only some runs have holds these runs' rows. Of the columns ``a`` and ``b`` only those of ``tile_adjacency`` are tiles'.
+    """
+    out: dict[str, list[DataFrame]] = {}
+    for name, one in objects.items():
+        for table, df in one.items():
+            own = [c for c in ids if c in df.columns and (c not in ("a", "b") or table == "tile_adjacency")]
+            prefixed = {c: F.when(F.col(c).isNotNull(), F.concat_ws("_", F.lit(name), F.col(c))) for c in own}
+            out.setdefault(table, []).append(consolidate(df, *own).withColumns(prefixed).withColumn("object", F.lit(name)))
+    return {table: bind(*dfs) for table, dfs in out.items()}
+
+
 def slice_dims(cells: DataFrame, first: int, last: int) -> DataFrame:
     """Cells with the dimensions ``first`` to ``last`` (from 1, both included) of their embedding."""
     return cells.withColumn("emb", F.slice("emb", first, last - first + 1))

@@ -68,3 +68,41 @@ def test_degrees_and_adjacency(spark):
     df = spark.createDataFrame([(0, 1, 2), (0, 2, 1), (0, 2, 3)], "sample int, a long, b long")
     assert {(r.a, r.b) for r in graph.symmetric(df, "a", "b", "sample").collect()} == {(1, 2), (2, 1), (2, 3), (3, 2)}
     assert {r.node: r.degree for r in graph.degrees(df, "a", "b", "sample").collect()} == {1: 2, 2: 3, 3: 1}
+
+
+def test_shortest_paths(spark, spread):
+    """Against Dijkstra's rule, with lengths of zero, ties, repeated and null edges, and nodes that can't be reached."""
+    import heapq
+
+    r = random.Random(8)
+    edges = [("p", r.randrange(30), r.randrange(30), float(r.randrange(4))) for _ in range(60)] + [("q", 1, 2, 5.0), ("q", 2, 3, 1.0), ("q", 7, 8, 1.0)]
+    df = spark.createDataFrame([*edges, edges[0], ("p", None, 1, 1.0), ("p", 2, 3, None)], "s string, a long, b long, w double")
+    near = {}
+    for s, a, b, w in edges:
+        near.setdefault((s, a), []).append((w, b))
+        near.setdefault((s, b), []).append((w, a))
+    sources, want = [("p", 0), ("p", 5), ("q", 1)], {}
+    heap = [(0.0, x) for x in sources]
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x not in want:
+            want[x] = d
+            for w, y in near.get(x, []):
+                heapq.heappush(heap, (d + w, (x[0], y)))
+    got = graph.shortest_paths(df, spark.createDataFrame(sources, "s string, node long"), weight="w", keys=("s",)).collect()
+    assert {(x.s, x.node): x.distance for x in got} == want
+    for x in got:
+        if x.previous is not None:
+            step = min(w for w, b in near[(x.s, x.previous)] if b == x.node)
+            assert want[(x.s, x.previous)] + step == x.distance
+    assert {(x.s, x.node) for x in got if x.previous is None} == set(sources)
+    with pytest.raises(ValueError):
+        graph.shortest_paths(spark.createDataFrame([(1, 2, -1.0)], "a long, b long, w double"), spark.createDataFrame([(1,)], "node long"), weight="w")
+    assert graph.shortest_paths(df.limit(0), spark.createDataFrame([("p", 3)], "s string, node long"), keys=("s",)).count() == 1
+
+
+def test_adjacency_keeps_isolated_nodes(spark):
+    nodes = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 1)], "sample int, node long")
+    edges = spark.createDataFrame([(0, 1, 2), (0, 2, 1), (0, 3, 3)], "sample int, x long, y long")
+    got = {tuple(r) for r in graph.adjacency(nodes, edges, "x", "y", "sample").collect()}
+    assert got == {(0, 1, 2), (0, 2, 1), (0, 3, None), (1, 1, None)}
