@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the whole tables, and the SQL of those that SQL can express."""
+"""Queries op1 to op13 over the whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -82,6 +82,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshloom.llm.quality_gam import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op12_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshloom.llm.ball_tree import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshloom.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 NEAR_DUP_SQL = """
 WITH RECURSIVE good AS MATERIALIZED (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
@@ -113,5 +131,63 @@ WITH RECURSIVE named AS (
 SELECT doc_id, d.slot, shard FROM (SELECT doc_id, CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) % 2053 AS slot FROM documents) d JOIN owners USING (slot) JOIN orders USING (i)
 """
 
-QUERIES = {f.__name__: f for f in (op1_hnsw_near_dup, op2_prefix_forest_ann, op3_mincut_main_text, op4_shard_placement, op5_context_mixing, op6_bpe_codec, op7_language_id, op8_simhash_near_dup, op9_sequence_packing, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op1_hnsw_near_dup": NEAR_DUP_SQL, "op4_shard_placement": PLACEMENT_SQL}
+#: Scaled vectors are lists of whole doubles, whose products and sums are exact here.
+GAP = "list_dot_product(a.x, a.x) - 2 * list_dot_product(a.x, b.x) + list_dot_product(b.x, b.x)"
+
+
+def clusters_sql(rounds: int = 5) -> str:
+    """Rounds of integer k-means, one after another: nearest centroid, then floors of means."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM kept QUALIFY c < 40)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, CAST(min(d * 64 + c) AS BIGINT) % 64 AS c, CAST(min(d) AS BIGINT) AS d FROM (SELECT a.r, b.c, {GAP} AS d FROM kept a, c{i} b) GROUP BY r
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT c, list(m ORDER BY j) AS x FROM (
+    SELECT c, j, floor(sum(e) / count(*)) AS m FROM (SELECT c, unnest(range(64)) AS j, unnest(x) AS e FROM kept JOIN a{i} USING (r)) GROUP BY c, j
+  ) GROUP BY c
+), c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN m{i} m USING (c))""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(o.x, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} o USING (c)
+"""
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """Rounds of codebooks, one after another: nearest entry of each part, then floors of means."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda e: floor(1024 * CAST(e AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p))""",
+        "b0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept QUALIFY e < 256) JOIN parts USING (r))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, p, CAST(min(d * 256 + e) AS BIGINT) % 256 AS e, CAST(min(d) AS BIGINT) AS d FROM (SELECT a.r, p, b.e, {GAP} AS d FROM parts a JOIN b{i} b USING (p)) GROUP BY r, p
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT p, e, list(m ORDER BY j) AS x FROM (
+    SELECT p, e, j, floor(sum(y) / count(*)) AS m FROM (SELECT p, e, unnest(range(len(x))) AS j, unnest(x) AS y FROM parts JOIN a{i} USING (r, p)) GROUP BY p, e, j
+  ) GROUP BY p, e
+), b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, o.x) AS x FROM b{i} o LEFT JOIN m{i} m USING (p, e))""")
+    return f"""
+WITH {", ".join(steps)},
+coded AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), books
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_hnsw_near_dup, op2_prefix_forest_ann, op3_mincut_main_text, op4_shard_placement, op5_context_mixing, op6_bpe_codec, op7_language_id, op8_simhash_near_dup, op9_sequence_packing, op10_secret_scan, op11_quality_gam, op12_ball_tree_clusters, op13_vector_codes)}
+ORACLES: dict[str, str] = {"op1_hnsw_near_dup": NEAR_DUP_SQL, "op4_shard_placement": PLACEMENT_SQL, "op12_ball_tree_clusters": clusters_sql(), "op13_vector_codes": codes_sql()}
