@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.vectors import mean_arrays
+from meshloom.operators.community import leiden
+from meshloom.operators.graph import dealt_join, ranked
+from meshloom.operators.integrate import integrate
+from meshloom.operators.layout import umap
+from meshloom.operators.neighbours import descend
 from meshloom.plans.storage import materialize
 
 
@@ -128,106 +133,48 @@ def fuzzy_graph(neighbours: DataFrame) -> DataFrame:
     return joined.select("id", "other", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight"))
 
 
-def louvain(graph: list[tuple[int, int, float]], resolution: float = 1.0) -> dict[int, int]:
-    """Communities of an undirected weighted graph by greedy modularity, nodes in ascending order; numbered by their smallest member."""
-    near: dict[int, dict[int, float]] = {}
-    for a, b, w in graph:
-        if a != b:
-            near.setdefault(a, {})[b] = w
-            near.setdefault(b, {})[a] = w
-    member, loops = {v: [v] for v in near}, dict.fromkeys(near, 0.0)
-    while True:
-        weight = {v: sum(n.values()) + loops[v] for v, n in near.items()}
-        total = sum(weight.values()) or 1.0
-        home, size, moved = {v: v for v in near}, dict(weight), False
-        for _ in range(50):
-            changed = False
-            for v in sorted(near):
-                size[home[v]] -= weight[v]
-                pull: dict[int, float] = {home[v]: 0.0}
-                for u, w in near[v].items():
-                    pull[home[u]] = pull.get(home[u], 0.0) + w
-                gain = {c: p - resolution * weight[v] * size[c] / total for c, p in pull.items()}
-                best = min(gain, key=lambda c: (-round(gain[c], 12), c))
-                if gain[best] <= gain[home[v]] + 1e-12:
-                    best = home[v]
-                changed |= best != home[v]
-                home[v] = best
-                size[best] += weight[v]
-            moved |= changed
-            if not changed:
-                break
-        if not moved:
-            groups = sorted(member.values(), key=min)
-            return {v: i for i, g in enumerate(groups) for v in g}
-        name = {c: min(v for v in near if home[v] == c) for c in set(home.values())}
-        new_near: dict[int, dict[int, float]] = {n: {} for n in name.values()}
-        new_loops, new_member = dict.fromkeys(new_near, 0.0), {n: [] for n in new_near}
-        for v, n in near.items():
-            c = name[home[v]]
-            new_member[c] += member[v]
-            new_loops[c] += loops[v]
-            for u, w in n.items():
-                d = name[home[u]]
-                if c == d:
-                    new_loops[c] += w
-                else:
-                    new_near[c][d] = new_near[c].get(d, 0.0) + w
-        near, loops, member = new_near, new_loops, new_member
-
-
 def communities(graph: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(id, community) of a neighbour graph's nodes. The method is sequential, so the graph (k links a node) is one task; use it on clusters and tiles, not on whole samples of cells."""
-
-    def kernel(df: pd.DataFrame) -> pd.DataFrame:
-        out = louvain(sorted(zip(df["id"], df["other"], df["weight"], strict=True)), resolution)
-        return pd.DataFrame({"id": list(out), "community": list(out.values())})
-
-    return graph.filter("id < other").groupBy(F.lit(0).alias("__one")).applyInPandas(lambda df: kernel(df), f"id {dict(graph.dtypes)['id']}, community long")
+    """(id, community) of a neighbour graph's nodes (``community.leiden``), numbered from 0 in the order of their smallest members."""
+    found = materialize(leiden(graph, resolution), "communities")
+    names = ranked(found.select("community").distinct(), [], ["community"]).select(F.col("community").alias("__name"), (F.col("rank") - 1).alias("__number"))
+    return dealt_join(found.withColumnRenamed("community", "__name"), names, ["__name"], "id").select("id", F.col("__number").alias("community"))
 
 
-def layout(graph: DataFrame, rounds: int = 200, seed: int = 0) -> DataFrame:
-    """(id, u, v): a two-dimensional layout of a fuzzy graph by attraction along links and repulsion from random nodes. One task, like ``communities``."""
+def layout(graph: DataFrame, epochs: int = 200, seed: int = 0) -> DataFrame:
+    """(id, u, v): a two-dimensional layout of a fuzzy graph (``layout.umap``)."""
+    return umap(graph, epochs=epochs, seed=seed).select("id", F.col("at")[0].alias("u"), F.col("at")[1].alias("v"))
 
-    def kernel(df: pd.DataFrame) -> pd.DataFrame:
-        ids, r = np.array(sorted({*df["id"], *df["other"]})), np.random.default_rng(seed)
-        a, b, w = np.searchsorted(ids, df["id"]), np.searchsorted(ids, df["other"]), df["weight"].to_numpy()
-        p = r.normal(0, 10, (len(ids), 2))
-        for t in range(rounds):
-            rate = 1 - t / rounds
-            on = r.random(len(w)) < w / max(w.max(), 1e-12)
-            d = p[a[on]] - p[b[on]]
-            q = (d * d).sum(axis=1, keepdims=True)
-            np.add.at(p, a[on], np.clip(-2 * d / (1 + q), -4, 4) * rate)
-            far = r.integers(0, len(ids), (on.sum(), 5))
-            d = p[a[on]][:, None] - p[far]
-            q = (d * d).sum(axis=2, keepdims=True)
-            np.add.at(p, a[on], (np.clip(2 * d / ((0.001 + q) * (1 + q)), -4, 4) * rate).sum(axis=1))
-        return pd.DataFrame({"id": ids, "u": p[:, 0], "v": p[:, 1]})
 
-    return graph.groupBy(F.lit(0).alias("__one")).applyInPandas(lambda df: kernel(df), f"id {dict(graph.dtypes)['id']}, u double, v double")
+def neighbour_graph(vectors: DataFrame, k: int = 30, exact: bool = False) -> DataFrame:
+    """The fuzzy graph of vectors (id, emb): of neighbours found by descent, whose work grows little faster than the vectors, or with ``exact`` by all pairs of blocks."""
+    return fuzzy_graph(materialize(knn(vectors, k) if exact else descend(vectors, k), "neighbours"))
 
 
-def subcluster(cells: DataFrame, cluster: str, label: str, k: int = 30, resolution: float = 1.0, key: str = "cell_id", emb: str = "emb") -> DataFrame:
-    """``cells`` with the rows of a cluster relabelled by the communities of their neighbour graph."""
-    own = cells.filter(F.col(label) == cluster).select(F.col(key).alias("id"), F.col(emb).alias("emb"))
-    found = communities(fuzzy_graph(knn(own, k)), resolution)
+def subcluster(cells: DataFrame, cluster: str, label: str, k: int = 30, resolution: float = 1.0, key: str = "cell_id", emb: str = "emb", batches: tuple[str, ...] = (), dims: int | None = None) -> DataFrame:
+    """``cells`` with the rows of a cluster relabelled by the communities of their neighbour graph. ``batches`` names columns whose effect is taken out of the cluster's embeddings (of ``dims`` components) first."""
+    own = cells.filter(F.col(label) == cluster).select(F.col(key).alias("id"), F.col(emb).alias("emb"), *[F.col(b).alias(f"__b{i}") for i, b in enumerate(batches)])
+    if batches:
+        own = integrate(own, [f"__b{i}" for i in range(len(batches))], dims, key="id")
+    found = communities(neighbour_graph(own.select("id", "emb"), k), resolution)
     sub = own.select("id").join(found, "id", "left").select(F.col("id").alias(key), F.coalesce("community", F.lit(-1)).alias("sub"))
     return add_subcluster_labels(cells, sub, cluster, label, key)
 
 
-def subcluster_counts(cells: DataFrame, counts: DataFrame, cluster: str, label: str, genes: int = 2000, npcs: int = 20, k: int = 30, resolution: float = 1.0) -> DataFrame:
+def subcluster_counts(cells: DataFrame, counts: DataFrame, cluster: str, label: str, genes: int = 2000, npcs: int = 20, k: int = 30, resolution: float = 1.0, batches: tuple[str, ...] = ()) -> DataFrame:
     """``cells`` (cell_id, label, ...) with the rows of a cluster relabelled from its ``counts`` (cell_id, gene, count): normalised, the ``genes`` most variable ones scaled, PCA
-    to ``npcs`` components, neighbours and communities. Cell ids tell cells apart across samples. Cells without a count in any of these genes get "<cluster>_-1".
+    to ``npcs`` components, less the effect of the columns ``batches``, neighbours and communities. Cell ids tell cells apart across samples. Cells without a count in any of these genes get "<cluster>_-1".
     """
     from meshloom.operators.embed import normalize, pca_of, variable_genes
 
-    own = cells.filter(F.col(label) == cluster).select("cell_id")
+    own = cells.filter(F.col(label) == cluster).select("cell_id", *batches)
     values = normalize(counts.join(own, "cell_id", "left_semi").select(F.lit(0).alias("sample"), "cell_id", "gene", "count"))
     kept = materialize(values.join(variable_genes(values, genes).select("sample", "gene"), ["sample", "gene"]), "variable")
     emb = materialize(pca_of(kept, npcs)[0].withColumnRenamed("cell_id", "id"), "pca")
-    found = communities(fuzzy_graph(materialize(knn(emb, k), "neighbours")), resolution)
-    sub = own.withColumnRenamed("cell_id", "id").join(found, "id", "left").select(F.col("id").alias("cell_id"), F.coalesce("community", F.lit(-1)).alias("sub"))
+    if batches:
+        named = own.select(F.col("cell_id").alias("id"), *[F.col(b).alias(f"__b{i}") for i, b in enumerate(batches)])
+        emb = integrate(emb.join(named, "id"), [f"__b{i}" for i in range(len(batches))], npcs, key="id")
+    found = communities(neighbour_graph(emb.select("id", "emb"), k), resolution)
+    sub = own.select(F.col("cell_id").alias("id")).join(found, "id", "left").select(F.col("id").alias("cell_id"), F.coalesce("community", F.lit(-1)).alias("sub"))
     return add_subcluster_labels(cells, sub, cluster, label)
 
 
@@ -243,7 +190,7 @@ def tile_subcluster(tiles: DataFrame, cells: DataFrame, cell_adjacency: DataFram
     links = cell_adjacency.join(ids, ["sample", "a"], "left_semi").join(ids.withColumnRenamed("a", "b"), ["sample", "b"], "left_semi")
     smooth = smooth_embedding(own, links, dims, rounds).join(own.select("sample", "cell_id", "tile_id"), ["sample", "cell_id"])
     means = aggregate_embeddings(smooth, "tile_id", dims * len(rounds))
-    found = communities(fuzzy_graph(knn(means.withColumnRenamed("group", "id"), k)), resolution)
+    found = communities(neighbour_graph(means.withColumnRenamed("group", "id"), k), resolution)
     sub = means.select(F.col("group").alias("id")).join(found, "id", "left").select(F.col("id").alias("tile_id"), F.coalesce("community", F.lit(-1)).alias("sub"))
     return add_subcluster_labels(tiles, sub, cluster, label, "tile_id")
 

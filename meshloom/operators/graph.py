@@ -159,6 +159,23 @@ def dense_id(order: Column | str, *keys: str) -> Column:
     return F.dense_rank().over(Window.partitionBy(*keys).orderBy(order))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with the 1-based place of each row within ``keys`` in the order of ``order`` (nulls first; rows that tie in all columns of it come in any order).
+
+    Rows are cut into ranges of (keys, order), each is counted, and a row's place is that within its range after those of the ranges before it, so no key needs a task that holds all its rows.
+    """
+    cut = materialize(df.repartitionByRange(*keys, *order).withColumn("__cut", F.spark_partition_id()), "ranges")
+    # a row for each range and key in it
+    before = Window.partitionBy(*keys).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "__cut").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    side = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__cut").alias("__c"), "__before")
+    match = F.col("__cut") == F.col("__c")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "__cut").orderBy(*order))
+    return cut.withColumn(name, place).join(side, match).select(*df.columns, (F.col(name) + F.col("__before")).alias(name))
+
+
 def largest_component(edges: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys..., component, nodes) of the component with most nodes within ``keys``; ties go to the smaller name."""
     sizes = connected_components(edges, a, b, keys).groupBy(*keys, "component").agg(F.count("*").alias("nodes"))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.operators import analysis, embed, field, graph, merge, mesh, morse, tiles
+from meshloom.operators import analysis, embed, field, graph, integrate, merge, mesh, morse, tiles
 from meshloom.operators.graph import connected_components, degrees
+from meshloom.operators.neighbours import descend
 from meshloom.plans import pipeline
-from meshloom.plans.oracle import DIMS, rounded, sql
+from meshloom.plans.oracle import DIMS, integration_sql, rounded, sql
 from meshloom.plans.ship import ship
 from meshloom.plans.storage import materialize
 from meshloom.sources import tables
@@ -455,6 +456,20 @@ def neighbours(spark, folder):
     return shown(analysis.knn(cells, 10).select("id", F.col("rank").cast("long").alias("rank"), "other", "distance"), "distance")
 
 
+@query(integration_sql(clusters=5, rounds=2, inner=2))
+def batches_integrated(spark, folder):
+    """Two corrections of two rounds each, with the samples as batches."""
+    out = integrate.integrate(tables.cells(spark, folder, DIMS), ["sample"], DIMS, clusters=5, rounds=2, inner=2, early_stop=False)
+    return shown(out.select("cell_id", F.posexplode("emb").alias("dim", "v")).withColumn("dim", F.col("dim").cast("long")), "v")
+
+
+@query()
+def neighbours_by_descent(spark, folder):
+    """The same lists without all pairs; the tests hold its recall against ``neighbours``."""
+    cells = tables.cells(spark, folder, DIMS).withColumnRenamed("cell_id", "id")
+    return shown(descend(cells, 10).select("id", F.col("rank").cast("long").alias("rank"), "other", "distance"), "distance")
+
+
 @query()
 def fuzzy_neighbour_graph(spark, folder):
     return analysis.fuzzy_graph(analysis.knn(tables.cells(spark, folder, DIMS).withColumnRenamed("cell_id", "id"), 10))
@@ -467,7 +482,7 @@ def neighbour_communities(spark, folder):
 
 @query()
 def neighbour_layout(spark, folder):
-    return analysis.layout(fuzzy_neighbour_graph(spark, folder), 50)
+    return analysis.layout(fuzzy_neighbour_graph(spark, folder))
 
 
 @query()
@@ -483,6 +498,13 @@ def subclusters(spark, folder):
     return analysis.subcluster(cells, "1", "label", 10).select("cell_id", "label")
 
 
+@query()
+def subclusters_without_batches(spark, folder):
+    """All cells as one cluster, split after the samples' effect has been taken out."""
+    cells = tables.cells(spark, folder, DIMS).withColumn("label", F.lit("all"))
+    return analysis.subcluster(cells, "all", "label", 10, batches=("sample",), dims=DIMS).select("cell_id", "label")
+
+
 @query()
 def subclusters_of_tiles(spark, folder):
     m, of_points, _, t = first_tiles(spark, folder)

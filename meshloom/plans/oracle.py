@@ -132,3 +132,56 @@ def sql(select: str, *needs: str) -> str:
 
 def rounded(*cols: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
+
+
+def integration_sql(clusters: int, rounds: int, inner: int, theta: float = 2.0, lam: float = 1.0, sigma: float = 0.1) -> str:
+    """Rounds of batch integration with the sample as the batch, one after another. With one variable the ridge's normal equations have a closed form: the level of a
+    cluster is sum(S / (N + lam)) / sum(N / (N + lam)) over its batches, and a batch adds (S - N level) / (N + lam)."""
+    steps = [
+        f"""z0 AS MATERIALIZED (
+  SELECT vec_id AS id, label AS b, list_transform(range({DIMS}), lambda d: CAST(embedding[d + 3] AS DOUBLE)) AS z FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL
+)""",
+        "shares AS (SELECT b, count(*) / (SELECT count(*) FROM z0) AS share FROM z0 GROUP BY b)",
+        f"""y0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256(CAST(id AS VARCHAR))) AS k, list_transform(z, lambda x: x / sqrt(list_dot_product(z, z))) AS y FROM z0 QUALIFY k <= {clusters}
+)""",
+        "p0 AS (SELECT k, b, 1.0 AS pen FROM y0, shares)",
+    ]
+
+    def members(name: str, of: int, y: int) -> str:
+        """Memberships by the vectors of correction ``of`` and the state of pass ``y``."""
+        return f"""{name} AS MATERIALIZED (
+  SELECT id, b, z, u, k, w / sum(w) OVER (PARTITION BY id) AS r FROM (
+    SELECT c.id, c.b, c.z, c.u, y.k, exp(-2 * (1 - list_dot_product(c.u, y.y)) / {sigma}) * pen AS w FROM u{of} c JOIN p{y} p USING (b) JOIN y{y} y USING (k))
+)"""
+
+    at = 0
+    for turn in range(rounds):
+        now = "z" if turn == 0 else "now"
+        steps.append(f"u{turn} AS MATERIALIZED (SELECT id, b, z, list_transform({now}, lambda x: x / sqrt(list_dot_product({now}, {now}))) AS u FROM z{turn})")
+        for _ in range(inner):
+            at += 1
+            held = "n" if at == 1 else "(n + o) / 2"
+            before = "" if at == 1 else f" JOIN o{at - 1} USING (k, b)"
+            steps += [
+                members(f"r{at}", turn, at - 1),
+                f"v{at} AS (SELECT k, list(v ORDER BY j) AS v FROM (SELECT k, j, sum(r * u[j + 1]) AS v FROM r{at}, range({DIMS}) t(j) GROUP BY k, j) GROUP BY k)",
+                f"y{at} AS MATERIALIZED (SELECT k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS y FROM v{at})",
+                f"o{at} AS MATERIALIZED (SELECT k, b, {held} AS o FROM (SELECT k, b, sum(r) AS n FROM r{at} GROUP BY k, b){before})",
+                f"p{at} AS MATERIALIZED (SELECT k, b, pow((sum(o) OVER (PARTITION BY k) * share + 1) / (o + 1), {theta}) AS pen FROM o{at} JOIN shares USING (b))",
+            ]
+        steps += [
+            members(f"f{turn}", turn, at),
+            f"""s{turn} AS MATERIALIZED (SELECT k, b, j, sum(r) AS n, sum(r * z[j + 1]) AS s FROM f{turn}, range({DIMS}) t(j) GROUP BY k, b, j)""",
+            f"""b{turn} AS MATERIALIZED (
+  SELECT k, b, list(m ORDER BY j) AS m FROM (
+    SELECT k, b, j, (s - n * sum(s / (n + {lam})) OVER w / sum(n / (n + {lam})) OVER w) / (n + {lam}) AS m FROM s{turn} WINDOW w AS (PARTITION BY k, j)
+  ) GROUP BY k, b
+)""",
+            f"""z{turn + 1} AS MATERIALIZED (
+  SELECT id, b, any_value(z) AS z, list(v ORDER BY j) AS now FROM (
+    SELECT id, b, j, any_value(z) AS z, any_value(z)[j + 1] - sum(r * m[j + 1]) AS v FROM f{turn} JOIN b{turn} USING (k, b), range({DIMS}) t(j) GROUP BY id, b, j
+  ) GROUP BY id, b
+)""",
+        ]
+    return f"WITH {', '.join(steps)} SELECT id AS cell_id, dim, round(now[dim + 1], 6) + 0.0 AS v FROM z{rounds}, range({DIMS}) d(dim)"
