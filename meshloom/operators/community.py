@@ -7,13 +7,14 @@ ends at the level whose moves or refinement unite nothing; its communities are s
 
 Nodes are dealt to tasks by a hash, as many tasks as the edges need (``CHUNK`` a task). A task takes its nodes in order and sees the moves that it has made itself. What it sees of other tasks'
 nodes is as of the round's start: the weight of each node's edges into each of their communities, summed before it gets there, and of these the ``CHOICES`` of greatest gain; rounds go on until no
-node gains, so a choice left out in one round isn't lost. Nodes with neighbours in other tasks move in every other turn by a hash, so that no two swap. A graph that fits one
-task has no such nodes and is done in one round. Joins on nodes deal a hub's rows to many tasks; no community or hub is gathered. Rounds are written to the shared folder, a row a node.
+node gains, so a choice left out in one round isn't lost. Nodes with neighbours in other tasks move in every other turn by a hash, so that no two swap. A level that fits one
+task (``CHUNK`` edges), as every graph does after some levels, is finished there. Joins on nodes deal a hub's rows to many tasks; no community or hub is gathered. Rounds are written to the shared folder, a row a node.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,28 +32,15 @@ def _active(node: str, turn: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(2)) == 0
 
 
-def _settled(rows: pd.DataFrame, resolution: float, total: float, alone: bool) -> pd.DataFrame:
-    """(node, k, community, group, again) of a task's nodes after its moves.
+def _walk(home: dict, weight: dict, size: dict, number: dict, far: dict, near: dict, may: dict, resolution: float, total: float, alone: bool) -> tuple[set, Callable]:
+    """Move nodes in order, and again those whose neighbours moved, until none gains; ``home``, ``size`` and ``number`` are changed. Gives the nodes that moved and the function that chooses.
 
-    ``rows``: of each node itself (kind 0: k, group, size and n of it, go), of its edges into groups by other tasks' nodes (1: group, w, size, n, go: may be joined) and of its
-    edges to nodes of the task (2: other, w). With ``alone`` only nodes that are alone in their group move. ``again``: the node, or one of another task because of it, may gain in the next round.
+    ``near``: edges to nodes at hand; ``far``: weight of edges into groups by others and whether they may be joined; a node with far edges only moves where ``may`` says so. With ``alone`` only nodes
+    that are alone in their group move.
     """
-    by = {kind: r for kind, r in rows.groupby("kind")}
-    columns = lambda kind, *names: zip(*(by[kind][n].tolist() for n in names), strict=True) if kind in by else ()
-    home, weight, kept, may, size, number = {}, {}, {}, {}, {}, {}
-    for v, k, c, g, s, n, go in columns(0, "node", "k", "community", "group", "size", "n", "go"):
-        home[v], weight[v], kept[v], may[v], size[g], number[g] = g, k, c, go, s, n
-    far: dict = {}
-    near: dict = {}
-    for v, g, w, s, n, go in columns(1, "node", "group", "w", "size", "n", "go"):
-        far.setdefault(v, {})[g] = (w, go)
-        size.setdefault(g, s)
-        number.setdefault(g, n)
-    for v, u, w in columns(2, "node", "other", "w"):
-        near.setdefault(v, []).append((u, w))
 
     def choice(v):
-        """The best group for ``v`` other than its own and what it gains there; (None, 0) if none gains."""
+        """The group where ``v`` gains most over its own, ties to the smaller name; None if it gains nowhere."""
         h, k = home[v], weight[v]
         pull = {g: w for g, (w, _) in far.get(v, {}).items()}
         open_ = {g for g, (_, go) in far.get(v, {}).items() if go}
@@ -85,10 +73,77 @@ def _settled(rows: pd.DataFrame, resolution: float, total: float, alone: bool) -
                 if home[u] != to and u not in waiting:
                     waiting.add(u)
                     queue.append(u)
+    return moved, choice
+
+
+def _held(edges: list[tuple], weight: dict, home: dict, resolution: float, total: float) -> dict:
+    """Each node's community after all levels, for a graph that fits a task: ``edges`` (node, other, w) both ways, from the communities ``home``."""
+    node = {v: v for v in weight}  # of the level
+
+    def walked(group: dict, links: list[tuple], alone: bool) -> None:
+        near, size, number = {}, {}, {}
+        for v, u, w in links:
+            near.setdefault(v, []).append((u, w))
+        for v, g in group.items():
+            size[g], number[g] = size.get(g, 0.0) + weight[v], number.get(g, 0) + 1
+        _walk(group, weight, size, number, {}, near, {}, resolution, total, alone)
+
+    while True:
+        walked(home, edges, False)
+        if len(set(home.values())) == len(home):
+            return {v: home[x] for v, x in node.items()}
+        part = {v: v for v in home}
+        walked(part, [e for e in edges if home[e[0]] == home[e[1]]], True)
+        if all(v == p for v, p in part.items()):
+            return node  # no two gain by being together
+        names, heavier, between = {}, {}, {}
+        for v in sorted(part, key=part.get):
+            names.setdefault(home[v], part[v])
+            heavier[part[v]] = heavier.get(part[v], 0.0) + weight[v]
+        for v, u, w in edges:
+            if part[v] != part[u]:
+                between[part[v], part[u]] = between.get((part[v], part[u]), 0.0) + w
+        node = {v: part[x] for v, x in node.items()}
+        home = {part[v]: names[home[v]] for v in part}
+        weight, edges = heavier, [(v, u, w) for (v, u), w in between.items()]
+
+
+def _settled(rows: pd.DataFrame, resolution: float, total: float, alone: bool) -> pd.DataFrame:
+    """(node, k, community, group, again) of a task's nodes after its moves.
+
+    ``rows``: of each node itself (kind 0: k, group, size and n of it, go), of its edges into groups by other tasks' nodes (1: group, w, size, n, go: may be joined) and of its
+    edges to nodes of the task (2: other, w). With ``alone`` only nodes that are alone in their group move. ``again``: the node, or one of another task because of it, may gain in the next round.
+    """
+    by = {kind: r for kind, r in rows.groupby("kind")}
+    columns = lambda kind, *names: zip(*(by[kind][n].tolist() for n in names), strict=True) if kind in by else ()
+    home, weight, kept, may, size, number = {}, {}, {}, {}, {}, {}
+    for v, k, c, g, s, n, go in columns(0, "node", "k", "community", "group", "size", "n", "go"):
+        home[v], weight[v], kept[v], may[v], size[g], number[g] = g, k, c, go, s, n
+    far: dict = {}
+    near: dict = {}
+    for v, g, w, s, n, go in columns(1, "node", "group", "w", "size", "n", "go"):
+        far.setdefault(v, {})[g] = (w, go)
+        size.setdefault(g, s)
+        number.setdefault(g, n)
+    for v, u, w in columns(2, "node", "other", "w"):
+        near.setdefault(v, []).append((u, w))
+
+    moved, choice = _walk(home, weight, size, number, far, near, may, resolution, total, alone)
     again = [v in far and (v in moved or ((not alone or number[home[v]] == 1) and choice(v) is not None)) for v in home]
     return pd.DataFrame({"node": list(home), "k": [weight[v] for v in home], "community": [kept[v] for v in home], "group": list(home.values()), "again": again})
 
 
+def _apart(edges: DataFrame, sized: DataFrame, task: Callable[[str], Column], resolution: float, total: float) -> DataFrame:
+    """(task, node, group, w, size, n): the weight of each node's edges into groups by nodes of other tasks; its own group and the ``CHOICES`` of greatest gain."""
+    there = sized.select(F.col("node").alias("other"), "group", "size", "n")
+    linked = dealt_join(edges, there, ["other"], "node").withColumns({"task": task("node"), "__theirs": task("other")}).filter("task <> __theirs")
+    apart = linked.groupBy("task", "node", "group").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("k", "size", "n")])
+    own = sized.select("node", F.col("group").alias("__home"))
+    best = Window.partitionBy("node").orderBy(F.desc(F.col("w") - resolution * F.col("k") * F.col("size") / total), "group")
+    chosen = apart.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= CHOICES).drop("rank").join(own, "node").filter("group <> __home")
+    return chosen.unionByName(dealt_join(apart, own, ["node"], "group").filter("group = __home"))
+
+
 def _turns(edges: DataFrame, now: DataFrame, alone: bool, resolution: float, total: float, tasks: int, max_rounds: int) -> DataFrame:
     """Rounds over nodes (node, k, community, group) until none gains; see the module."""
     kind = dict(now.dtypes)["node"]
@@ -97,20 +152,15 @@ def _turns(edges: DataFrame, now: DataFrame, alone: bool, resolution: float, tot
     for turn in range(max_rounds):
         sizes = now.groupBy("group").agg(F.sum("k").alias("size"), F.count("*").alias("n"))
         sized = dealt_join(now.select("node", "k", "community", "group"), sizes, ["group"], "node")
-        there = sized.select(F.col("node").alias("other"), "group", "size", "n")
-        linked = dealt_join(edges, there, ["other"], "node").withColumns({"task": task("node"), "__theirs": task("other")})
-        apart = linked.filter("task <> __theirs").groupBy("task", "node", "group").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("k", "size", "n")])
-        best = Window.partitionBy("node").orderBy(F.desc(F.col("w") - resolution * F.col("k") * F.col("size") / total), "group")
-        own = now.select("node", F.col("group").alias("__home"))
-        chosen = apart.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= CHOICES).join(own, "node")
-        # what a node is linked to in its own group is always there
-        stay = dealt_join(apart, own, ["node"], "group").filter("group = __home")
-        apart = chosen.filter("group <> __home").drop("rank").unionByName(stay)
-        open_ = (F.col("n") > 1) | ~_active("group", turn) if alone else F.lit(True)
-        none = lambda *names: [F.lit(None).cast("double" if c in ("k", "w", "size") else "long" if c == "n" else "boolean" if c == "go" else kind).alias(c) for c in names]
+        # no nulls, which would make ids doubles in pandas
+        none = lambda *names: [(F.lit(0.0) if c in ("k", "w", "size") else F.lit(0).cast("long") if c == "n" else F.lit(False) if c == "go" else F.col("node")).alias(c) for c in names]
         rows = sized.select(task("node").alias("task"), F.lit(0).alias("kind"), "node", "k", "community", "group", "size", "n", _active("node", turn).alias("go"), *none("other", "w"))
-        rows = rows.unionByName(apart.select("task", F.lit(1).alias("kind"), "node", "group", "w", "size", "n", open_.alias("go"), *none("k", "community", "other")))
-        rows = rows.unionByName(linked.filter("task = __theirs").select("task", F.lit(2).alias("kind"), "node", "other", "w", *none("k", "community", "group", "size", "n", "go")))
+        within = edges.withColumns({"task": task("node"), "__theirs": task("other")}).filter("task = __theirs")
+        rows = rows.unionByName(within.select("task", F.lit(2).alias("kind"), "node", "other", "w", *none("k", "community", "group", "size", "n", "go")))
+        if tasks > 1:  # one task has no edges to others
+            apart = _apart(edges, sized, task, resolution, total)
+            open_ = (F.col("n") > 1) | ~_active("group", turn) if alone else F.lit(True)
+            rows = rows.unionByName(apart.select("task", F.lit(1).alias("kind"), "node", "group", "w", "size", "n", open_.alias("go"), *none("k", "community", "other")))
         after = materialize(rows.groupBy("task").applyInPandas(lambda df: _settled(df, resolution, total, alone), schema), "moves")
         done = after.filter("again").isEmpty()
         drop_table(now)
@@ -136,11 +186,11 @@ def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt_join(dealt_join(edges, a, ["node"], "other"), b, ["other"], "node").filter("ours = theirs").select("node", "other", "w", "k")
 
 
-def leiden(graph: DataFrame, resolution: float = 1.0, max_levels: int = 30, max_rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
+def leiden(graph: DataFrame, resolution: float = 1.0, iterations: int = 2, max_levels: int = 30, max_rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
     """(id, community): communities of a graph (id, other, weight), each named by its smallest node. Every community is connected.
 
     ``graph`` holds both directions of each edge; repeated edges add up; loops, null ends and weights that aren't above zero are ignored, and so are nodes without other edges. An empty graph
-    gives an empty result. The result doesn't hang on the order of rows (but for the rounding of sums).
+    gives an empty result. Each of ``iterations`` begins with the communities of the one before, and lowers no modularity. The result doesn't hang on the order of rows (but for the rounding of sums).
     """
     clean = graph.select(F.col("id").alias("node"), "other", F.col("weight").cast("double").alias("w")).filter("node IS NOT NULL AND other IS NOT NULL AND node <> other AND w > 0")
     summed = materialize(clean.groupBy("node", "other").agg(F.sum("w").alias("w")), "leiden-edges")
@@ -149,14 +199,36 @@ def leiden(graph: DataFrame, resolution: float = 1.0, max_levels: int = 30, max_
     if not total:
         return own.select(F.col("node").alias("id"), "community")
     weighed = lambda e, n: materialize(dealt_join(e, n.select("node", "k"), ["node"], "other").select("node", "other", "w", "k"), "leiden-edges")
-    nodes = materialize(own, "moves")
-    original = edges = weighed(summed, nodes)
+    start = materialize(own, "moves")
+    original = weighed(summed, start)
     tasks = lambda e: max(1, -(-e.count() // chunk))
     drop_table(summed)
-    names = None  # (id, node of the level)
+    for _ in range(iterations):
+        found = _iteration(original, start, resolution, total, tasks, weighed, max_levels, max_rounds)
+        start = materialize(dealt_join(start.drop("community"), found.withColumnRenamed("id", "node"), ["node"], "k"), "moves")
+    return start.select(F.col("node").alias("id"), "community")
+
+
+def _iteration(original: DataFrame, start: DataFrame, resolution: float, total: float, tasks: Callable, weighed: Callable, max_levels: int, max_rounds: int) -> DataFrame:
+    """(id, community) after all levels, from the communities of ``start`` (node, k, community)."""
+    edges, nodes, names = original, start, None  # names: (id, node of the level)
+    kind, apart = dict(start.dtypes)["node"], False
     for _ in range(max_levels):
-        moved = _turns(edges, nodes.withColumn("group", F.col("community")), False, resolution, total, tasks(edges), max_rounds)
-        drop_table(nodes)
+        if (dealt := tasks(edges)) == 1:
+            # what fits a task is finished in one
+
+            def rest(df):
+                own, links = df[df["other"] == df["node"]], df[df["other"] != df["node"]].sort_values(["node", "other"])
+                of = _held(list(zip(*(links[c].tolist() for c in ("node", "other", "w")), strict=True)), *(dict(zip(own["node"].tolist(), own[c].tolist(), strict=True)) for c in ("w", "community")), resolution, total)
+                return pd.DataFrame({"node": list(of), "community": list(of.values())})
+
+            # a node's own row has itself as the other end, as no edge has
+            rows = nodes.select("node", F.col("node").alias("other"), F.col("k").alias("w"), "community").union(edges.select("node", "other", "w", F.col("node")))
+            nodes, apart = materialize(rows.groupBy(F.lit(0).alias("__one")).applyInPandas(rest, f"node {kind}, community {kind}"), "moves"), True
+            break
+        moved = _turns(edges, nodes.withColumn("group", F.col("community")), False, resolution, total, dealt, max_rounds)
+        if nodes is not start:
+            drop_table(nodes)
         apart = moved.agg(F.count("*") - F.count_distinct("group")).first()[0] == 0
         if apart:
             nodes = moved.select("node", "k", F.col("group").alias("community"))
@@ -185,8 +257,9 @@ def leiden(graph: DataFrame, resolution: float = 1.0, max_levels: int = 30, max_
             drop_table(t)
         nodes, names, edges = nodes_, names_, edges_
     if names is None:
-        return nodes.select(F.col("node").alias("id"), "community")
-    found = materialize(dealt_join(names, nodes.select("node", "community"), ["node"], "id").select("id", "community"), "communities")
+        found = nodes.select(F.col("node").alias("id"), "community")
+    else:
+        found = materialize(dealt_join(names, nodes.select("node", "community"), ["node"], "id").select("id", "community"), "communities")
     if not apart:  # stopped early: a community may still lie in pieces
         inside = _inside(original, found.select(F.col("id").alias("node"), F.col("community").alias("group")))
         pieces = connected_components(inside, "node", "other").select(F.col("node").alias("id"), "component")
