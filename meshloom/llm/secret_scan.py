@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FINDINGS, TREES, DEPTH, KEEP, HIDDEN = 2400, 15, 6, 0.5, "[REDACTED]"
-NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential"
-ASSIGNED = rf"(?:{NAMES})[\w-]{{0,40}}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?"
+NAMES = "password|passwd|passphrase|pass(?![a-zA-Z])|pwd|auth(?![a-zA-Z])|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credential"
+NAMED = rf"(?:{NAMES})[\w-]{{0,40}}[\"']?\s*+(?::=|=>|[:=])\s*+"
+ASSIGNED = NAMED + r"[\"']?"
+#: A value in quotes, up to the same quote on its line; a backslash takes the character after it along.
+WITHIN = "|".join(rf"{q}(?=(?:\\[^\r\n]|[^{q}\\\r\n]){{4}})[^{q}\\\r\n]*+(?:\\[^\r\n][^{q}\\\r\n]*+)*+(?={q})" for q in "\"'")
 #: Candidates, first match first: assigned values, whatever stands before the name; known prefixes, key blocks, passwords in addresses, long mixed tokens.
-#: Values have no upper length, so that none is cut to a part of itself; a run of one class of characters is linear.
+#: Values have no upper length, so that none is cut to a part of itself; a run of one class of characters is linear. Any number of blanks may stand around the sign.
 PATTERN = (
-    rf"(?=[acpstACPST])(?i:{ASSIGNED})[^\s\"'<>,;]{{4,}}+"
+    rf"(?=[acpstACPST])(?i:{NAMED})(?:{WITHIN}|[\"']?[^\s\"'<>,;]{{4,}}+)"
     r"|(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}+\b|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35,}+|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b"
     r"|eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+){2,4}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<=://)[^\s/:@]++:[^\s/@]{3,}+(?=@)"
     r"|(?<![+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2})"
@@ -78,7 +81,7 @@ def generated_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, int]
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa, mix = "0123456789abcdef", low + up + dig
     prose = lambda: " ".join(some(low, int(r.integers(2, 9))) for _ in range(int(r.integers(2, 7))))
-    name = lambda: pick("password passwd pwd secret token api_key access_key client_secret auth_key apikey".split())
+    name = lambda: pick("password passwd pwd secret token api_key access_key client_secret auth_key apikey db_pass auth".split())
     sign = lambda: pick(["=", " = ", ": ", ":", ' = "', '="', "='"])
     shut = lambda s: '"' if '"' in s else "'" if "'" in s else ""
 
@@ -87,7 +90,11 @@ def generated_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, int]
         return name() + s + value + shut(s)
 
     def secret():
-        k = int(r.integers(9))
+        k = int(r.integers(10))
+        if k == 9:  # a passphrase, or signs of all kinds, in quotes
+            q = pick("\"'")
+            words = pick([" ", ", ", "-"]).join(some(low, int(r.integers(3, 9))) for _ in range(int(r.integers(3, 6))))
+            return name() + pick(["=", " = ", ": ", ":    "]) + q + pick([words + pick(["", " "]) + some(dig, int(r.integers(1, 4))), some(mix + "<>,;!$%", int(r.integers(10, 24)))]) + q
         if k == 0:
             return pick(["AKIA", "ASIA"]) + some(up + dig, 16)
         if k <= 3:
@@ -103,7 +110,10 @@ def generated_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, int]
         return f"{pick(['https', 'postgres', 'redis'])}://{some(low, 6)}:{some(mix, int(r.integers(8, 20)))}@{some(low, 8)}.net"
 
     def innocent():
-        k = int(r.integers(9))
+        k = int(r.integers(10))
+        if k == 9:  # plain words in quotes
+            q = pick("\"'")
+            return name() + pick(["=", " = ", ": ", ":    "]) + q + pick([" ", ", "]).join(pick(WORDS) for _ in range(int(r.integers(2, 6)))) + q
         if k == 0:
             return pick(["commit ", "sha1 ", "sha256 ", "md5 ", "checksum ", "hash ", "etag "]) + some(hexa, int(pick([32, 40, 64])))
         if k == 1:

@@ -29,6 +29,11 @@ CASES = [
     ('password = "', some(513), '" there', True),
     ('password = "', some(5000), '" there', True),
     ("ghp key ghp_", some(120), " there", False),
+    ("password:    '", "hQ8z!kk20sPq9", "' there", True),
+    ('password = "', "correct horse, battery staple 77", '" there', True),
+    ('"password": "', "ab'cd<ef>gh12XyZ", '", there', True),
+    ("db_pass=", "Zx81kQpL0m", " there", True),
+    ('auth_token :=  "', 'a\\"b9Kq,Zz81;Lm0', '" there', False),
 ]
 
 
@@ -65,31 +70,38 @@ def test_other_characters_stay(spark):
 
 
 def scanned(text):
-    """Assigned values by hand: a name, up to 40 word characters, a sign, and what follows to the next blank or quote."""
-    names = "password passwd passphrase pwd secret token apikey api_key api-key accesskey access_key access-key authkey auth_key auth-key privatekey private_key private-key clientsecret client_secret client-secret credential".split()
+    """Assigned values by hand: a name, up to 40 word characters, a sign, any blanks, and what follows to the same quote or to the next blank or sign."""
+    names = "password passwd passphrase pwd secret token apikey api_key api-key accesskey access_key access-key authkey auth_key auth-key privatekey private_key private-key clientsecret client_secret client-secret credential pass auth".split()
     at, out = 0, []
     while at < len(text):
         best = None
         for name in names:
-            if text[at : at + len(name)].lower() == name:
+            if text[at : at + len(name)].lower() == name and not (name in ("pass", "auth") and text[at + 4 : at + 5] in set(MIX[:52])):
                 for extra in range(40, -1, -1):
                     i = at + len(name) + extra
                     if i > len(text) or not all(c in MIX + "_-" for c in text[at + len(name) : i]):
                         continue
                     for quote in ((1, 0) if text[i : i + 1] in ("'", '"') and text[i : i + 1] else (0,)):
                         j = i + quote
-                        blanks = 0
-                        while blanks < 3 and text[j : j + 1].isspace():
-                            j, blanks = j + 1, blanks + 1
+                        while text[j : j + 1].isspace():
+                            j += 1
                         sign = next((s for s in (":=", "=>", ":", "=") if text.startswith(s, j)), None)
                         if sign and best is None:
-                            k, blanks = j + len(sign), 0
-                            while blanks < 3 and text[k : k + 1].isspace():
-                                k, blanks = k + 1, blanks + 1
-                            k += text[k : k + 1] in ("'", '"') and bool(text[k : k + 1])
-                            end = k
-                            while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>,;":
-                                end += 1
+                            k = j + len(sign)
+                            while text[k : k + 1].isspace():
+                                k += 1
+                            end = None
+                            if q := text[k : k + 1].strip("".join(set(text) - set("\"'"))):
+                                k += 1
+                                close = k
+                                while close < len(text) and text[close] not in q + "\n":
+                                    close += 1
+                                if text[close : close + 1] == q and close - k >= 4:
+                                    end = close
+                            if end is None:
+                                end = k
+                                while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>,;":
+                                    end += 1
                             if end - k >= 4:
                                 best = (k, text[k:end], end)
         if best:
@@ -107,7 +119,7 @@ def test_candidates_by_hand(spark):
     for _ in range(150):
         parts = []
         for _ in range(int(r.integers(1, 5))):
-            parts.append(pick("see ", "my", "DB_", "x.") + pick("password", "Token", "api_key", "SECRET", "pwd", "other", "client-secret") + pick("", "_v", "Name") + pick("", '"', "'") + pick("=", ": ", " := ", " => ", " ", "    =") + pick("", '"', "'") + some(int(r.integers(1, 15)), int(r.integers(99))))
+            parts.append(pick("see ", "my", "DB_", "x.") + pick("password", "Token", "api_key", "SECRET", "pwd", "other", "client-secret", "db_pass", "passes", "Auth") + pick("", "_v", "Name") + pick("", '"', "'") + pick("=", ": ", " := ", " => ", " ", "    =") + pick("", '"', "'") + some(int(r.integers(1, 15)), int(r.integers(99))) + pick("", "", " and, more;") + pick("", '"', "'"))
         texts.append(pick(" ", "; ", ", ").join(parts))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [(f.start, f.value) for f in r["__found"] if f.named] for r in secret_scan.with_features(secret_scan.candidates(d)).collect()}
