@@ -3,7 +3,7 @@
 A text is lower-cased and its UTF-8 bytes are cut into windows of a fixed length that cover all of it.
 Byte embeddings, filters of several widths, a maximum over each window and softmax give each window's
 probabilities; a text's are their mean. The network is trained here, in numpy on the driver, on windows of a
-bounded sample of labelled texts (``SAMPLE_DOCS`` a language, ``SAMPLE_WINDOWS`` a text) of every language there is; it
+bounded sample of labelled texts (``SAMPLE_DOCS`` a language, ``SAMPLE_WINDOWS`` a text) of every language there is (``LANGUAGES`` at most, or it is an error); it
 is a few kilobytes, and is applied to every window of every text.
 """
 
@@ -12,13 +12,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.llm.common import fold, map_slices
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
-SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, RATE = 400, 6, 8, 0.01
+SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, RATE, LANGUAGES = 400, 6, 8, 0.01, 1000
 #: A letter, as the sample's filter in the JVM has it: numerals such as the fraction of a half are none.
 LETTER = regex.compile(r"\p{L}")
 
@@ -103,20 +103,28 @@ def cut_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net | None:
-    """A network trained on the rows where ``learn`` holds and lang isn't null; None if there are none.
+    """A network trained on the rows where ``learn`` holds and lang isn't null; None if there are none. More than ``LANGUAGES`` languages are an error.
 
-    The sample is the rows whose id hashes below a language's share, so it doesn't depend on the order of rows.
+    The sample is, for each language, the ``SAMPLE_DOCS`` distinct rows (id and text) of least hash, so it depends neither on the order of rows nor on how ids or copies
+    are spread: one id with a third of all rows gives as many texts as others, and copies of a row are one. A row's windows start at places drawn by its hash; where none of
+    them has a letter, the one that starts at its first letter is taken.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    if not counts:
+    rows = rows.withColumn("hash", F.xxhash64("id", "text", F.lit(3)))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    # at most SAMPLE_DOCS rows a language; the limit holds before the shuffle too
+    chosen = rows.select("lang", "hash").distinct().withColumn("n", least).filter(F.col("n") <= SAMPLE_DOCS).select("lang", "hash")
+    taken = rows.join(chosen, ["lang", "hash"], "left_semi")
+    start = lambda i: F.pmod(F.xxhash64("hash", i), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda i: F.substring(F.col("text"), start(i), F.lit(WINDOW)))
+    first = F.substring(F.col("text"), F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(WINDOW))
+    cut = taken.withColumn("w", F.filter(drawn, lambda w: w.rlike(r"\p{L}"))).withColumn("w", F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(first)))
+    sample = sorted((r["hash"], r["lang"], list(r["w"])) for r in cut.groupBy("lang", "hash").agg(F.min("w").alias("w")).limit(SAMPLE_DOCS * LANGUAGES + 1).collect())
+    if not sample:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE_DOCS / r["count"]))])
-    taken = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
-    start = lambda i: F.pmod(F.xxhash64("id", i), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
-    cut = taken.select("id", "lang", F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda i: F.substring(F.col("text"), start(i), F.lit(WINDOW))).alias("w"))
-    sample = sorted((r["id"], r["lang"], list(r["w"])) for r in cut.collect())
-    langs = sorted({r["lang"] for r in counts})
+    langs = sorted({r[1] for r in sample})
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     windows, y = [], []
     for _, lang, texts in sample:
         for t in dict.fromkeys(texts):
