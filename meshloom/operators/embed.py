@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meshloom.functions.vectors import clip
+from meshloom.plans.storage import materialize
 
 
 def normalize(counts: DataFrame, scale: float | None = None) -> DataFrame:
@@ -23,14 +25,14 @@ def normalize(counts: DataFrame, scale: float | None = None) -> DataFrame:
 
 
 def gene_moments(values: DataFrame, by: str = "gene") -> DataFrame:
-    """(sample, by, mu, sd) over all cells (or genes), absent entries counting as zeros; sd with n - 1."""
+    """(sample, by, mu, sd) over all cells (or genes), absent entries counting as zeros; sd with n - 1, null for a single one."""
     other = "cell_id" if by == "gene" else "gene"
     n = values.groupBy("sample").agg(F.countDistinct(other).cast("double").alias("n"))
     m = values.groupBy("sample", by).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.avg("value").alias("m0"), F.count("*").alias("k"), F.var_pop("value").alias("v0"))
     mu = F.col("s") / F.col("n")
     # around the mean, not from raw squares
     spread = F.col("k") * (F.col("v0") + (F.col("m0") - mu) ** 2) + (F.col("n") - F.col("k")) * mu**2
-    return m.join(F.broadcast(n), "sample").select("sample", by, mu.alias("mu"), F.sqrt(spread / (F.col("n") - 1)).alias("sd"))
+    return m.join(F.broadcast(n), "sample").select("sample", by, mu.alias("mu"), F.sqrt(spread / F.when(F.col("n") > 1, F.col("n") - 1)).alias("sd"))
 
 
 def variable_genes(values: DataFrame, n: int) -> DataFrame:
@@ -57,43 +59,137 @@ def pca(counts: DataFrame, npcs: int = 25) -> tuple[DataFrame, DataFrame]:
     return pca_of(normalize(counts), npcs)
 
 
-def pca_of(values: DataFrame, npcs: int = 25) -> tuple[DataFrame, DataFrame]:
-    """(embeddings(sample, cell_id, emb), loadings(sample, gene, loading)) of the z-scores of values, by the genes' Gram matrix.
+#: Directions beyond those asked for that power rounds carry along; entries of all samples' bases that are worked on at once; entries of cells that a task multiplies at once.
+EXTRA, BASES, CHUNK = 10, 20_000_000, 50_000
+
+
+def pca_of(values: DataFrame, npcs: int = 25, tolerance: float = 1e-8, max_rounds: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(embeddings(sample, cell_id, emb), loadings(sample, gene, loading)) of the z-scores of values, without a table of cells times genes.
 
-    The Gram matrix (genes by genes, of a panel's size) is summed where the cells are; only it reaches one task. The sign of a component makes its largest
-    loading positive. Components beyond the rank are left out.
+    The z-scores of a sample are those of absent values (one number a gene) plus a sparse matrix, so products with them need the entries that there are alone. Power rounds
+    turn a basis of ``npcs`` directions and a few more towards the leading ones: in one pass over the cells each task multiplies its rows with the basis and adds up the products' products,
+    genes x directions; these are summed by gene and made orthonormal on the driver (a panel's genes, ``BASES`` entries at once, samples in turns beyond that). It ends when no
+    direction asked for is off by more than ``tolerance`` of the greatest. The sign of a component makes its largest loading positive; components beyond the rank are left out.
     """
-    z = z_scores(values).filter("z IS NOT NULL")
-    kinds = {f.name: f.dataType for f in values.schema}
-    load = T.StructType([T.StructField("sample", kinds["sample"]), T.StructField("gene", kinds["gene"]), T.StructField("loading", T.ArrayType(T.DoubleType()))])
-    row = z.groupBy("sample", "cell_id").agg(F.sort_array(F.collect_list(F.struct("gene", "z"))).alias("row"))
-    part = row.withColumn("salt", F.pmod(F.xxhash64("cell_id"), F.lit(64)))
-
-    def gram(df: pd.DataFrame) -> pd.DataFrame:
-        genes = [e["gene"] for e in df["row"].iloc[0]]
-        m = np.array([[e["z"] for e in r] for r in df["row"]])
-        g = m.T @ m
-        return pd.DataFrame({"sample": df["sample"].iloc[0], "gene": genes, "products": list(g)})
-
-    grams = part.groupBy("sample", "salt").applyInPandas(gram, T.StructType([load[0], load[1], T.StructField("products", T.ArrayType(T.DoubleType()))]))
-
-    def solve(df: pd.DataFrame) -> pd.DataFrame:
-        genes = sorted(df["gene"].unique())
-        at = {g: i for i, g in enumerate(genes)}
-        g = np.zeros((len(genes), len(genes)))
-        for gene, p in zip(df["gene"], df["products"], strict=True):
-            g[at[gene]] += p
-        value, vector = np.linalg.eigh(g)
-        order = [i for i in np.argsort(-value)[:npcs] if value[i] > 1e-9 * value.max()]
-        u = vector[:, order]
-        u = u * np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
-        return pd.DataFrame({"sample": df["sample"].iloc[0], "gene": genes, "loading": list(u)})
-
-    loadings = grams.groupBy("sample").applyInPandas(solve, load)
-    # a sum for each component in one aggregate; components that a sample lacks are null
-    sums = F.array(*[F.sum(F.col("z") * F.get("loading", F.lit(i))) for i in range(npcs)])
-    emb = z.join(loadings, ["sample", "gene"]).groupBy("sample", "cell_id").agg(F.filter(sums, lambda v: v.isNotNull()).alias("emb"))
-    return emb, loadings
+    spark = values.sparkSession
+    kinds = dict(values.dtypes)
+    m = gene_moments(values).filter("sd > 0")
+    limit = 10.0
+    z = lambda x: clip((x - F.col("mu")) / F.col("sd"), -limit, limit)
+    panel: dict = {}
+    for r in m.select("sample", "gene", z(F.lit(0.0)).alias("z0")).collect():  # a row a gene of each sample
+        panel.setdefault(r["sample"], []).append((r["gene"], r["z0"]))
+    cells = values.select("sample", "cell_id").distinct()
+    entry = F.struct(F.col("gene"), (z(F.col("value")) - z(F.lit(0.0))).alias("v"))
+    rows = values.join(m.select("sample", "gene", "mu", "sd"), ["sample", "gene"]).groupBy("sample", "cell_id").agg(F.collect_list(entry).alias("row"))
+    none = F.array().cast(f"array<struct<gene:{kinds['gene']},v:double>>")
+    rows = materialize(cells.join(rows, ["sample", "cell_id"], "left").select("sample", "cell_id", F.coalesce("row", none).alias("row")), "sparse")
+    turns: list[list] = [[]]
+    for sample in sorted(panel, key=str):
+        if turns[-1] and sum(len(panel[s]) for s in [*turns[-1], sample]) * (npcs + EXTRA) > BASES:
+            turns.append([])
+        turns[-1].append(sample)
+    emb, loadings = [], []
+    for turn in turns:
+        found = _leading(rows, {s: panel[s] for s in turn}, npcs, tolerance, max_rounds)
+        loadings += [(s, gene, u.tolist()) for s, (genes, _, basis) in found.items() for gene, u in zip(genes, basis, strict=True)]
+        emb.append(_projected(rows, found, f"sample {kinds['sample']}, cell_id {kinds['cell_id']}, emb array<double>"))
+    return reduce(DataFrame.unionByName, emb), spark.createDataFrame(loadings, f"sample {kinds['sample']}, gene {kinds['gene']}, loading array<double>")
+
+
+def _sparse(batch: pa.RecordBatch, bases: dict):
+    """For each sample of the batch that ``bases`` (sample: genes, absent z-scores, basis) knows: (sample, rows of the batch, entries' row, gene and value), about ``CHUNK`` entries at once."""
+    samples, lists = np.array(batch["sample"].to_pylist(), object), batch["row"]
+    size = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten()
+    names, v, starts = flat.field("gene").to_pylist(), flat.field("v").to_numpy(), np.concatenate([[0], np.cumsum(size)])
+    for s in set(samples.tolist()) & set(bases):
+        place = {g: i for i, g in enumerate(bases[s][0])}
+        held, n = [], 0
+        mine = np.flatnonzero(samples == s)
+        for last, i in enumerate(mine, 1):
+            held.append(i)
+            n += size[i]
+            if n >= CHUNK or last == len(mine):
+                at = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in held])
+                yield s, held, np.repeat(np.arange(len(held)), size[held]), np.array([place[names[j]] for j in at], int), v[at]
+                held, n = [], 0
+
+
+def _times(z0: np.ndarray, basis: np.ndarray, n: int, row: np.ndarray, gene: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """z-scores of ``n`` cells, times the basis."""
+    out = np.tile(z0 @ basis, (n, 1))
+    np.add.at(out, row, v[:, None] * basis[gene])
+    return out
+
+
+def _leading(rows: DataFrame, panel: dict, npcs: int, tolerance: float, max_rounds: int) -> dict:
+    """{sample: (genes, absent z-scores, loadings)}: the leading directions by power rounds."""
+    bases, done = {}, {}
+    for s, genes in panel.items():
+        genes = sorted(genes)
+        width = min(len(genes), npcs + EXTRA)
+        start = np.eye(len(genes)) if width == len(genes) else np.linalg.qr(np.random.default_rng(len(genes)).normal(size=(len(genes), width)))[0]
+        bases[s] = [g for g, _ in genes], np.array([x for _, x in genes]), start
+    names = list(bases)
+    for _ in range(max_rounds):
+        if not bases:
+            return done
+        again = _round(rows, bases, names)
+        for s, product in again.items():
+            genes, z0, basis = bases[s]
+            inner = basis.T @ product
+            value, turn = np.linalg.eigh((inner + inner.T) / 2)
+            order = [i for i in np.argsort(-value)[:npcs] if value[i] > 1e-9 * value.max()]
+            u = basis @ turn[:, order]
+            off = np.linalg.norm(product @ turn[:, order] - u * value[order], axis=0)
+            if not order or off.max() <= tolerance * value.max() or basis.shape[1] == len(genes):
+                sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])]) if len(u) else 1.0
+                done[s] = genes, z0, u * sign
+                del bases[s]
+            else:
+                bases[s] = genes, z0, np.linalg.qr(product)[0]
+    if not bases:
+        return done
+    raise RuntimeError(f"the leading directions did not settle in {max_rounds} rounds")
+
+
+def _round(rows: DataFrame, bases: dict, names: list) -> dict:
+    """{sample: Z'Z times its basis}, in one pass over the cells."""
+    held = dict(bases)
+    number = {s: names.index(s) for s in held}
+    width = max(b[2].shape[1] for b in held.values())
+
+    def run(batches):
+        total = {s: np.zeros((len(z0) + 1, basis.shape[1])) for s, (_, z0, basis) in held.items()}
+        for batch in batches:
+            for s, cells, row, gene, v in _sparse(batch, held):
+                y = _times(held[s][1], held[s][2], len(cells), row, gene, v)
+                total[s][-1] += y.sum(axis=0)
+                for j in range(y.shape[1]):
+                    total[s][:-1, j] += np.bincount(gene, v * y[row, j], len(total[s]) - 1)
+        for s, t in total.items():
+            some = np.flatnonzero(np.abs(t).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number[s], np.int32)), pa.array(some.astype(np.int32)), pa.array(t[some].tolist(), pa.list_(pa.float64()))], ["s", "gene", "w"])
+
+    parts = rows.filter(F.size("row") >= 0).select("sample", "row").mapInArrow(run, "s int, gene int, w array<double>")
+    out = {s: np.zeros((len(z0) + 1, basis.shape[1])) for s, (_, z0, basis) in held.items()}
+    for r in parts.groupBy("s", "gene").agg(*[F.sum(F.get("w", F.lit(i))) for i in range(width)]).collect():  # a row a gene
+        out[names[r[0]]][r[1]] = r[2 : 2 + out[names[r[0]]].shape[1]]
+    return {s: t[:-1] + np.outer(held[s][1], t[-1]) for s, t in out.items()}
+
+
+def _projected(rows: DataFrame, found: dict, schema: str) -> DataFrame:
+    """Embeddings of the cells of the samples at hand."""
+
+    def run(batches):
+        for batch in batches:
+            for s, cells, row, gene, v in _sparse(batch, found):
+                y = _times(found[s][1], found[s][2], len(cells), row, gene, v)
+                own = batch.take(pa.array(cells))
+                yield pa.RecordBatch.from_arrays([own["sample"], own["cell_id"], pa.array(y.tolist(), pa.list_(pa.float64()))], ["sample", "cell_id", "emb"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def smooth_embedding(cells: DataFrame, adjacency: DataFrame, dims: int, rounds: tuple[int, ...] = (0, 1)) -> DataFrame:
