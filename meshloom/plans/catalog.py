@@ -470,19 +470,27 @@ def neighbours_by_descent(spark, folder):
     return shown(descend(cells, 10).select("id", F.col("rank").cast("long").alias("rank"), "other", "distance"), "distance")
 
 
-@query()
-def fuzzy_neighbour_graph(spark, folder):
+def fuzzy_cells(spark, folder):
     return analysis.fuzzy_graph(analysis.knn(tables.cells(spark, folder, DIMS).withColumnRenamed("cell_id", "id"), 10))
 
 
+_FUZZY = """SELECT id, other, round(coalesce(a.w, 0) + coalesce(b.w, 0) - coalesce(a.w, 0) * coalesce(b.w, 0), 6) + 0.0 AS weight
+  FROM members a FULL JOIN (SELECT other AS id, id AS other, w FROM members) b USING (id, other)"""
+
+
+@query(sql(_FUZZY, "members"))
+def fuzzy_neighbour_graph(spark, folder):
+    return shown(fuzzy_cells(spark, folder), "weight")
+
+
 @query()
 def neighbour_communities(spark, folder):
-    return analysis.communities(fuzzy_neighbour_graph(spark, folder))
+    return analysis.communities(fuzzy_cells(spark, folder))
 
 
 @query()
 def neighbour_layout(spark, folder):
-    return analysis.layout(fuzzy_neighbour_graph(spark, folder))
+    return analysis.layout(fuzzy_cells(spark, folder))
 
 
 @query()
@@ -545,7 +553,11 @@ def tile_outline_lengths(spark, folder):
     return shown(tiles.path_length(rings).groupBy("sample", "tile_id").agg(F.sum("length").alias("perimeter")), "perimeter", digits=5)
 
 
-@query()
+_COLOURS = """SELECT o.sample, o.node, m.colours[o.i] AS colour FROM ordered o
+  JOIN (SELECT sample, arg_max(colours, i) AS colours FROM painted GROUP BY sample) m ON m.sample = o.sample"""
+
+
+@query(sql(_COLOURS, "painted"))
 def tile_colours(spark, folder):
     _, _, e, t = first_tiles(spark, folder)
     return graph.colour(tiles.tile_adjacency(e, t), "from_tile", "to_tile", "sample")

@@ -110,8 +110,33 @@ FRAGMENTS |= {
       FROM borders b JOIN tiles s ON s.sample = b.sample AND s.tile_id = b.from_tile JOIN tiles t ON t.sample = b.sample AND t.tile_id = b.to_tile"""),
     "supp": ((), "SELECT l_suppkey AS cell_id, p_brand AS gene, CAST(sum(l_quantity) AS DOUBLE) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"),
     "normed": (("supp",), "SELECT cell_id, gene, ln(1 + (SELECT median(t) FROM (SELECT sum(n) AS t FROM supp GROUP BY cell_id)) * n / sum(n) OVER (PARTITION BY cell_id)) AS value FROM supp"),
+    "ordered": (("borders",), """SELECT sample, node, row_number() OVER (PARTITION BY sample ORDER BY node) AS i
+      FROM (SELECT sample, from_tile AS node FROM borders UNION SELECT sample, to_tile FROM borders)"""),
+    "before": (("ordered",), """SELECT o.sample, o.i, list(DISTINCT p.i) AS js FROM ordered o
+      JOIN borders b ON b.sample = o.sample AND o.node IN (b.from_tile, b.to_tile)
+      JOIN ordered p ON p.sample = o.sample AND p.node IN (b.from_tile, b.to_tile) AND p.i < o.i
+      GROUP BY o.sample, o.i"""),
+    # a node a step, in order: the least colour that no neighbour before it has
+    "painted": (("before",), """SELECT DISTINCT sample, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS colours FROM ordered
+      UNION ALL
+      SELECT p.sample, o.i, list_append(p.colours, list_min(list_filter(range(o.i), lambda c: NOT list_contains(list_transform(coalesce(b.js, []), lambda j: p.colours[j]), c))))
+      FROM painted p JOIN ordered o ON o.sample = p.sample AND o.i = p.i + 1 LEFT JOIN before b ON b.sample = o.sample AND b.i = o.i"""),
+    "knn10": (("feats",), """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM (
+        SELECT a.pt_id AS id, b.pt_id AS other, round(1 - sum(a.v*b.v)/(sqrt(sum(a.v*a.v))*sqrt(sum(b.v*b.v))), 12) AS distance
+        FROM feats a JOIN feats b ON a.dim = b.dim AND a.pt_id <> b.pt_id GROUP BY a.pt_id, b.pt_id)) WHERE rank <= 10"""),
+    "beyond": (("knn10",), """SELECT *, greatest(distance - coalesce(min(CASE WHEN distance > 0 THEN distance END) OVER (PARTITION BY id), 0), 0) AS far FROM knn10"""),
+    "far_lists": (("beyond",), "SELECT id, list(far ORDER BY rank) AS far, avg(distance) AS mean FROM beyond GROUP BY id"),
+    # halving, until the memberships sum to the logarithm of the list's length
+    "sigmas": (("far_lists",), """SELECT id, 0 AS n, CAST(0 AS DOUBLE) AS low, CAST('inf' AS DOUBLE) AS high, CAST(1 AS DOUBLE) AS sigma, false AS done FROM far_lists
+      UNION ALL
+      SELECT id, n + 1, CASE WHEN fits OR above THEN low ELSE sigma END, CASE WHEN above AND NOT fits THEN sigma ELSE high END,
+        CASE WHEN fits THEN sigma WHEN above THEN (low + sigma) / 2 WHEN isinf(high) THEN sigma * 2 ELSE (sigma + high) / 2 END, fits
+      FROM (SELECT g.*, abs(s - t) < 1e-5 AS fits, s > t AS above FROM (
+        SELECT g.*, list_sum(list_transform(f.far, lambda x: exp(-x / g.sigma))) AS s, log2(greatest(len(f.far), 2)) AS t FROM sigmas g JOIN far_lists f USING (id) WHERE NOT done AND n < 64) g)"""),
+    "members": (("sigmas",), """SELECT b.id, b.other, exp(-b.far / greatest(s.sigma, 1e-3 * f.mean, 1e-12)) AS w
+      FROM beyond b JOIN far_lists f USING (id) JOIN (SELECT id, arg_max(sigma, n) AS sigma FROM sigmas GROUP BY id) s USING (id)"""),
 }
-RECURSIVE = {"reached", "hops", "together", "primal_up", "dual_up"}
+RECURSIVE = {"reached", "hops", "together", "primal_up", "dual_up", "painted", "sigmas"}
 
 
 def sql(select: str, *needs: str) -> str:
