@@ -138,3 +138,23 @@ def test_pipeline_invariants(spark):
     pts, more = pipeline.add_isolated(cells.union(cells.limit(1).selectExpr("sample", "-5L", "9.0D", "9.0D", "emb")), out["points"], out["tiles"], 16)
     assert more.count() == len(t) + 1 and pts.count() == points + 1
     assert more.filter("npts = 1 AND area IS NULL").first().emb is not None
+
+
+def test_loose_ends_against_a_loop(spark):
+    """Random graphs of triangles: edges that end alone in an inner triangle go, one at a time, until none is left."""
+    r = np.random.default_rng(8)
+    edges, outer, want = [], [], set()
+    for sample in range(4):
+        links = {(int(a), int(b)) for a, b in r.integers(0, 40, (45, 2)) if a < b}
+        own = [(sample, i, a, b) for i, (a, b) in enumerate(sorted(links))]
+        sep = [e for e in own if e[1] % 9]
+        edges += own
+        outside = set(r.choice(40, 6, replace=False).tolist())
+        outer += [(sample, t) for t in outside]
+        left = {e[1]: e[2:] for e in sep}
+        while loose := [i for i, ends in left.items() if any(t not in outside and sum(t in o for o in left.values()) == 1 for t in ends)]:
+            del left[loose[0]]
+        want |= {(sample, i) for i in left}
+    df = spark.createDataFrame(edges, "sample int, edge_id long, from_tri long, to_tri long")
+    got = morse.prune_separatrices(df, df.filter("edge_id % 9 <> 0").select("sample", "edge_id"), spark.createDataFrame(outer, "sample int, tri_id long"))
+    assert {tuple(x) for x in got.collect()} == want and 0 < len(want) < len(edges)
