@@ -357,10 +357,10 @@ for _mode in (merge.GROW, merge.FILL):
     query(_scores_sql(_mode))(_scores(_mode))
 
 
-@query()
+@query(sql("SELECT sample, round(mean + sd, 6) AS d_mu, round(sd, 6) AS d_sig FROM mixed", "mixed"))
 def tile_mixtures(spark, folder):
     _, _, e, t = first_tiles(spark, folder)
-    return merge.mixtures(merge.border_distances(tiles.tile_adjacency(e, t), t, DIMS), merge.GROW)
+    return shown(merge.mixtures(merge.border_distances(tiles.tile_adjacency(e, t), t, DIMS), merge.GROW), "d_mu", "d_sig")
 
 
 @query()

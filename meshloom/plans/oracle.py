@@ -135,8 +135,27 @@ FRAGMENTS |= {
         SELECT g.*, list_sum(list_transform(f.far, lambda x: exp(-x / g.sigma))) AS s, log2(greatest(len(f.far), 2)) AS t FROM sigmas g JOIN far_lists f USING (id) WHERE NOT done AND n < 64) g)"""),
     "members": (("sigmas",), """SELECT b.id, b.other, exp(-b.far / greatest(s.sigma, 1e-3 * f.mean, 1e-12)) AS w
       FROM beyond b JOIN far_lists f USING (id) JOIN (SELECT id, arg_max(sigma, n) AS sigma FROM sigmas GROUP BY id) s USING (id)"""),
+    "border_lists": (("scored",), """SELECT sample, list(d ORDER BY d) AS ds, count(*) AS n, greatest(1e-8 * var_pop(d), 1e-300) AS floor_ FROM scored GROUP BY sample"""),
+    # expectation and maximisation, a round a step, with equal and with free variances; shares s0, s1 of the two components
+    "em": (("border_lists",), """SELECT sample, free, 0 AS round, list_transform(range(n), lambda i: CAST(i < n // 2 AS DOUBLE)) AS s0, list_transform(range(n), lambda i: CAST(i >= n // 2 AS DOUBLE)) AS s1,
+        CAST(NULL AS DOUBLE) AS m0, CAST(NULL AS DOUBLE) AS m1, CAST(NULL AS DOUBLE) AS v0, CAST(NULL AS DOUBLE) AS v1, CAST('-inf' AS DOUBLE) AS likely, false AS done
+      FROM border_lists, (SELECT unnest([false, true]) AS free) WHERE n >= 4 AND ds[1] <> ds[-1]
+      UNION ALL
+      SELECT sample, free, round + 1, list_transform(range(n), lambda i: exp(l0[i + 1] - l[i + 1])), list_transform(range(n), lambda i: exp(l1[i + 1] - l[i + 1])), m0, m1, v0, v1, list_sum(l),
+        abs(list_sum(l) - before) < 1e-9 * abs(list_sum(l)) + 1e-12
+      FROM (SELECT *, list_transform(range(n), lambda i: greatest(l0[i + 1], l1[i + 1]) + ln(exp(l0[i + 1] - greatest(l0[i + 1], l1[i + 1])) + exp(l1[i + 1] - greatest(l0[i + 1], l1[i + 1])))) AS l
+      FROM (SELECT *, list_transform(ds, lambda d: ln(n0 / n) - 0.5 * (ln(2 * pi() * v0) + (d - m0) ** 2 / v0)) AS l0, list_transform(ds, lambda d: ln(n1 / n) - 0.5 * (ln(2 * pi() * v1) + (d - m1) ** 2 / v1)) AS l1
+      FROM (SELECT * EXCLUDE (q0, q1), greatest(CASE WHEN free THEN q0 / n0 ELSE (q0 + q1) / n END, floor_) AS v0, greatest(CASE WHEN free THEN q1 / n1 ELSE (q0 + q1) / n END, floor_) AS v1
+      FROM (SELECT *, list_dot_product(s0, list_transform(ds, lambda d: (d - m0) ** 2)) AS q0, list_dot_product(s1, list_transform(ds, lambda d: (d - m1) ** 2)) AS q1
+      FROM (SELECT *, list_dot_product(s0, ds) / n0 AS m0, list_dot_product(s1, ds) / n1 AS m1
+      FROM (SELECT e.sample, e.free, e.round, e.s0, e.s1, e.likely AS before, b.ds, b.n, b.floor_, greatest(list_sum(e.s0), 1e-12) AS n0, greatest(list_sum(e.s1), 1e-12) AS n1
+      FROM em e JOIN border_lists b USING (sample) WHERE NOT e.done AND e.round < 500))))))"""),
+    "mixed": (("em",), """SELECT b.sample, coalesce(m.mean, list_avg(b.ds)) AS mean, coalesce(m.sd, nullif(list_stddev_pop(b.ds), 0), 1) AS sd FROM border_lists b LEFT JOIN (
+      SELECT sample, CASE WHEN m0 <= m1 THEN m0 ELSE m1 END AS mean, sqrt(CASE WHEN m0 <= m1 THEN v0 ELSE v1 END) AS sd FROM (
+        SELECT *, 2 * likely - (CASE WHEN free THEN 5 ELSE 4 END) * ln(len(s0)) AS bic FROM em QUALIFY row_number() OVER (PARTITION BY sample, free ORDER BY round DESC) = 1)
+      QUALIFY row_number() OVER (PARTITION BY sample ORDER BY bic DESC, free) = 1) m USING (sample)"""),
 }
-RECURSIVE = {"reached", "hops", "together", "primal_up", "dual_up", "painted", "sigmas"}
+RECURSIVE = {"reached", "hops", "together", "primal_up", "dual_up", "painted", "sigmas", "em"}
 
 
 def sql(select: str, *needs: str) -> str:
