@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from meshloom.llm.common import fold, map_slices
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
-SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, RATE, LANGUAGES = 400, 6, 8, 0.01, 1000
+SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, RATE, LANGUAGES, PIECES = 400, 6, 8, 0.01, 1000, 64
 #: A letter, as the sample's filter in the JVM has it: numerals such as the fraction of a half are none.
 LETTER = regex.compile(r"\p{L}")
 
@@ -111,15 +111,19 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("hash", F.xxhash64("id", "text", F.lit(3)))
-    least = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    # at most SAMPLE_DOCS rows a language; the limit holds before the shuffle too
-    chosen = rows.select("lang", "hash").distinct().withColumn("n", least).filter(F.col("n") <= SAMPLE_DOCS).select("lang", "hash")
-    taken = rows.join(chosen, ["lang", "hash"], "left_semi")
+    # the least of each of PIECES pieces of a language and then of these, so that no task ranks more than PIECES x SAMPLE_DOCS rows of a language
+    chosen = rows.select("lang", "hash").distinct().withColumn("piece", F.pmod("hash", F.lit(PIECES)))
+    for by in (["lang", "piece"], ["lang"]):
+        least = F.row_number().over(Window.partitionBy(*by).orderBy("hash"))
+        chosen = chosen.withColumn("n", least).filter(F.col("n") <= SAMPLE_DOCS)
+    # SAMPLE_DOCS x LANGUAGES rows at most
+    chosen = chosen.select("lang", "hash").limit(SAMPLE_DOCS * LANGUAGES + 1)
+    taken = rows.join(F.broadcast(chosen), ["lang", "hash"], "left_semi")
     start = lambda i: F.pmod(F.xxhash64("hash", i), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
     drawn = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda i: F.substring(F.col("text"), start(i), F.lit(WINDOW)))
     first = F.substring(F.col("text"), F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(WINDOW))
     cut = taken.withColumn("w", F.filter(drawn, lambda w: w.rlike(r"\p{L}"))).withColumn("w", F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(first)))
-    sample = sorted((r["hash"], r["lang"], list(r["w"])) for r in cut.groupBy("lang", "hash").agg(F.min("w").alias("w")).limit(SAMPLE_DOCS * LANGUAGES + 1).collect())
+    sample = sorted((r["hash"], r["lang"], list(r["w"])) for r in cut.groupBy("lang", "hash").agg(F.min("w").alias("w")).collect())
     if not sample:
         return None
     langs = sorted({r[1] for r in sample})
