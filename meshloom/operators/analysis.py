@@ -71,6 +71,12 @@ def add_subcluster_labels(df: DataFrame, sub: DataFrame, cluster: str, label: st
     return joined.withColumn(label, F.when((F.col(label) == cluster) & F.col("__sub").isNotNull(), both).otherwise(F.col(label))).drop("__sub")
 
 
+def subcluster_levels(known: list, cluster: str, subs: list) -> list[str]:
+    """The order of levels after a split: in the cluster's place "<cluster>_<sub>" for each of ``subs`` in their order. An unknown cluster is an error."""
+    at = known.index(cluster)
+    return [*map(str, known[:at]), *[f"{cluster}_{s}" for s in subs], *map(str, known[at + 1 :])]
+
+
 def knn(vectors: DataFrame, k: int = 30, block: int = 4096, key: str = "id", emb: str = "emb") -> DataFrame:
     """(id, rank, other, distance): the k nearest of each row by cosine distance, exact; ties to the smaller id. Blocks of rows meet blocks of rows, and lists are merged."""
     n = max(1, -(-vectors.count() // block))
@@ -164,20 +170,28 @@ def subcluster_counts(cells: DataFrame, counts: DataFrame, cluster: str, label:
     """``cells`` (cell_id, label, ...) with the rows of a cluster relabelled from its ``counts`` (cell_id, gene, count): normalised, the ``genes`` most variable ones scaled, PCA
     to ``npcs`` components, less the effect of the columns ``batches``, neighbours and communities. Cell ids tell cells apart across samples. Cells without a count in any of these genes get "<cluster>_-1".
     """
-    from meshloom.operators.embed import normalize, pca_of, variable_genes
-
     own = cells.filter(F.col(label) == cluster).select("cell_id", *batches)
-    values = normalize(counts.join(own, "cell_id", "left_semi").select(F.lit(0).alias("sample"), "cell_id", "gene", "count"))
-    kept = materialize(values.join(variable_genes(values, genes).select("sample", "gene"), ["sample", "gene"]), "variable")
-    emb = materialize(pca_of(kept, npcs)[0].withColumnRenamed("cell_id", "id"), "pca")
-    if batches:
-        named = own.select(F.col("cell_id").alias("id"), *[F.col(b).alias(f"__b{i}") for i, b in enumerate(batches)])
-        emb = integrate(emb.join(named, "id"), [f"__b{i}" for i in range(len(batches))], npcs, key="id")
-    found = communities(neighbour_graph(emb.select("id", "emb"), k), resolution)
+    found = communities(neighbour_graph(counts_embedded(own, counts, genes, npcs, batches).withColumnRenamed("cell_id", "id"), k), resolution)
     sub = own.select(F.col("cell_id").alias("id")).join(found, "id", "left").select(F.col("id").alias("cell_id"), F.coalesce("community", F.lit(-1)).alias("sub"))
     return add_subcluster_labels(cells, sub, cluster, label)
 
 
+def counts_embedded(cells: DataFrame, counts: DataFrame, genes: int, npcs: int, batches: tuple[str, ...] = ()) -> DataFrame:
+    """(cell_id, emb) of ``cells`` (cell_id, batches...) from their ``counts`` (cell_id, gene, count), all as one sample: normalised, the ``genes`` most variable ones, PCA to ``npcs`` components
+    (zeros beyond the rank), less the effect of ``batches``. Cells without a count in any of these genes are absent."""
+    from meshloom.operators.embed import normalize, pca_of, variable_genes
+
+    values = normalize(counts.join(cells, "cell_id", "left_semi").select(F.lit(0).alias("sample"), "cell_id", "gene", "count"))
+    kept = materialize(values.join(variable_genes(values, genes).select("sample", "gene"), ["sample", "gene"]), "variable")
+    full = F.transform(F.sequence(F.lit(0), F.lit(npcs - 1)), lambda i: F.coalesce(F.get("emb", i), F.lit(0.0)))
+    emb = materialize(pca_of(kept, npcs)[0].select("cell_id", full.alias("emb")), "pca")
+    if not batches:
+        return emb
+    names = [f"__b{i}" for i in range(len(batches))]
+    named = cells.select("cell_id", *[F.col(b).alias(n) for b, n in zip(batches, names, strict=True)])
+    return integrate(emb.join(named, "cell_id"), names, npcs).select("cell_id", "emb")
+
+
 def tile_subcluster(tiles: DataFrame, cells: DataFrame, cell_adjacency: DataFrame, cluster: str, label: str, dims: int, rounds: tuple[int, ...] = (0, 1), k: int = 30, resolution: float = 1.0) -> DataFrame:
     """``tiles`` with those of a cluster relabelled: their cells' embeddings are smoothed among themselves, averaged by tile and clustered.
 
@@ -191,10 +205,21 @@ def tile_subcluster(tiles: DataFrame, cells: DataFrame, cell_adjacency: DataFram
     smooth = smooth_embedding(own, links, dims, rounds).join(own.select("sample", "cell_id", "tile_id"), ["sample", "cell_id"])
     means = aggregate_embeddings(smooth, "tile_id", dims * len(rounds))
     found = communities(neighbour_graph(means.withColumnRenamed("group", "id"), k), resolution)
-    sub = means.select(F.col("group").alias("id")).join(found, "id", "left").select(F.col("id").alias("tile_id"), F.coalesce("community", F.lit(-1)).alias("sub"))
+    every = tiles.filter(F.col(label) == cluster).select(F.col("tile_id").alias("id"))
+    sub = every.join(found, "id", "left").select(F.col("id").alias("tile_id"), F.coalesce("community", F.lit(-1)).alias("sub"))
     return add_subcluster_labels(tiles, sub, cluster, label, "tile_id")
 
 
+def tile_subcluster_counts(tiles: DataFrame, cells: DataFrame, counts: DataFrame, cell_adjacency: DataFrame, cluster: str, label: str, genes: int = 2000, npcs: int = 20, rounds: tuple[int, ...] = (0, 1), k: int = 30, resolution: float = 1.0, batches: tuple[str, ...] = ()) -> DataFrame:
+    """``tiles`` with those of a cluster relabelled from their cells' ``counts`` (cell_id, gene, count): the cells' components (``counts_embedded``) are smoothed among themselves, averaged by tile and clustered.
+
+    ``cells``: (sample, cell_id, tile_id, batches...). Cell and tile ids tell them apart across samples. A tile none of whose cells has a count gets "<cluster>_-1".
+    """
+    own = cells.join(tiles.filter(F.col(label) == cluster).select("tile_id"), "tile_id", "left_semi")
+    emb = counts_embedded(own.select("cell_id", *batches), counts, genes, npcs, batches)
+    return tile_subcluster(tiles, own.select("sample", "cell_id", "tile_id").join(emb, "cell_id"), cell_adjacency, cluster, label, npcs, rounds, k, resolution)
+
+
 def scaled_colours(df: DataFrame, emb: str = "emb") -> DataFrame:
     """``df`` with r, g, b from the first three components, each scaled from its least to its greatest value to 0..255."""
     ends = df.agg(*[f(F.col(emb)[i]).alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.min), ("hi", F.max))])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.operators.graph import CHUNK, connected_components, in_chunks, resolve_roots
+from meshloom.operators.graph import CHUNK, connected_components, dealt_join, in_chunks, resolve_roots
 from meshloom.plans.storage import drop_table, materialize
 
 
@@ -84,7 +84,7 @@ def trace_up(tree: DataFrame, starts: DataFrame, max_rounds: int = 60, chunk: in
             return marked
         more = materialize(marked.union(marked.join(jump, ["sample", "node"]).select("sample", F.col("up").alias("node"))).distinct(), "marked")
         far = jump.select("sample", F.col("node").alias("up"), F.col("up").alias("above"))
-        longer = materialize(jump.join(far, ["sample", "up"]).select("sample", "node", F.col("above").alias("up")), "jumps")
+        longer = materialize(dealt_join(jump, far, ["sample", "up"], "node").select("sample", "node", F.col("above").alias("up")), "jumps")
         for t in written[1:]:
             drop_table(t)
         marked, jump, written = more, longer, [rows, more, longer]

@@ -522,6 +522,30 @@ def subclusters_of_tiles(spark, folder):
     return analysis.tile_subcluster(t.select("sample", "tile_id", "label"), cells, mesh.cell_adjacency(m), "large", "label", DIMS, k=10)
 
 
+@query()
+def subclusters_of_tiles_from_counts(spark, folder):
+    m, of_points, _, t = first_tiles(spark, folder)
+    of_points = pipeline.consolidate(of_points, "tile_id")
+    t = pipeline.consolidate(t, "tile_id").withColumn("label", F.when(F.col("npts") > 3, "large").otherwise("small"))
+    cells = m.points.select("sample", "pt_id").join(of_points, ["sample", "pt_id"]).withColumnRenamed("pt_id", "cell_id")
+    counts = tables.embedding_counts(spark, folder)
+    return analysis.tile_subcluster_counts(t.select("sample", "tile_id", "label"), cells, counts, mesh.cell_adjacency(m), "large", "label", genes=40, npcs=8, k=10, batches=("sample",))
+
+
+_LEVELS = """SELECT level, row_number() OVER (ORDER BY base, sub) AS place FROM (
+    SELECT DISTINCT c_mktsegment AS base, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey % 3 ELSE -1 END AS sub,
+      CASE WHEN c_mktsegment = 'BUILDING' THEN concat('BUILDING_', c_custkey % 3) ELSE c_mktsegment END AS level
+    FROM customer WHERE c_mktsegment IS NOT NULL)"""
+
+
+@query(_LEVELS)
+def levels_of_subclusters(spark, folder):
+    c = tables.read(spark, folder, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_mktsegment").alias("segment"))
+    subs = analysis.levels(c.filter("segment = 'BUILDING'").select((F.col("cell_id") % 3).alias("sub")), "sub")
+    order = analysis.subcluster_levels(analysis.levels(c, "segment"), "BUILDING", subs)
+    return spark.createDataFrame([(x, i) for i, x in enumerate(order, 1)], "level string, place long")
+
+
 @query(sql("SELECT sample, pt_id, dense_rank() OVER (PARTITION BY sample ORDER BY x, y) - 1 AS place_id FROM cells", "cells"))
 def ids_of_places(spark, folder):
     return mesh.place_ids(mesh.points_of(tables.cells(spark, folder, DIMS)))

@@ -39,6 +39,12 @@ def event_counts(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "events").groupBy(F.lit(0).alias("sample"), F.col("user_id").alias("cell_id"), F.col("event_type").alias("gene")).agg(F.count("*").cast("double").alias("count"))
 
 
+def embedding_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample, cell_id, gene, count): a hundred times each component above zero, rounded down, of labelled embeddings."""
+    e = read(spark, folder, "embeddings").filter("label IS NOT NULL AND vec_id IS NOT NULL").select(F.col("label").alias("sample"), F.col("vec_id").alias("cell_id"), F.posexplode("embedding").alias("at", "x"))
+    return e.select("sample", "cell_id", F.concat(F.lit("g"), "at").alias("gene"), F.floor(100 * F.col("x").cast("double")).cast("double").alias("count")).filter("count > 0")
+
+
 def supplier_meta(spark: SparkSession, folder: str) -> DataFrame:
     """(cell_id, nation, region) of suppliers."""
     s, n, r = (read(spark, folder, t) for t in ("supplier", "nation", "region"))
