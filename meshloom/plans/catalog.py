@@ -70,6 +70,12 @@ def mesh_triangles(spark, folder):
     return shown(plain_mesh(spark, folder).triangles.drop("external"), "x", "y", "area", "height")
 
 
+@query(sql("SELECT sample, a, b, c FROM faces", "faces"))
+def mesh_faces_in_strips(spark, folder):
+    """Each sample's triangulation in overlapping strips of 20 points, which gives the triangles of the whole."""
+    return mesh.delaunay(mesh.points_of(tables.cells(spark, folder, DIMS)), task=20).select("sample", "a", "b", "c")
+
+
 @query(sql("SELECT sample, tri_id, pt_id FROM corners", "corners"))
 def mesh_corners(spark, folder):
     return plain_mesh(spark, folder).tri_vertex
