@@ -181,7 +181,8 @@ def counts_embedded(cells: DataFrame, counts: DataFrame, genes: int, npcs: int,
     (zeros beyond the rank), less the effect of ``batches``. Cells without a count in any of these genes are absent."""
     from meshloom.operators.embed import normalize, pca_of, variable_genes
 
-    values = normalize(counts.join(cells, "cell_id", "left_semi").select(F.lit(0).alias("sample"), "cell_id", "gene", "count"))
+    own = materialize(counts.join(cells, "cell_id", "left_semi").select(F.lit(0).alias("sample"), "cell_id", "gene", "count"), "counts")
+    values = materialize(normalize(own), "normalized")
     kept = materialize(values.join(variable_genes(values, genes).select("sample", "gene"), ["sample", "gene"]), "variable")
     full = F.transform(F.sequence(F.lit(0), F.lit(npcs - 1)), lambda i: F.coalesce(F.get("emb", i), F.lit(0.0)))
     emb = materialize(pca_of(kept, npcs)[0].select("cell_id", full.alias("emb")), "pca")

@@ -55,20 +55,21 @@ def z_scores(values: DataFrame, margin: int = 1, limit: float = 10.0) -> DataFra
 
 
 def pca(counts: DataFrame, npcs: int = 25) -> tuple[DataFrame, DataFrame]:
-    """``pca_of`` normalised counts."""
-    return pca_of(normalize(counts), npcs)
+    """``pca_of`` normalised counts. These are written once, as several passes go over them."""
+    return pca_of(materialize(normalize(materialize(counts, "counts")), "normalized"), npcs)
 
 
-#: Directions beyond those asked for that power rounds carry along; entries of all samples' bases that are worked on at once; entries of cells that a task multiplies at once.
-EXTRA, BASES, CHUNK = 10, 20_000_000, 50_000
+#: Directions beyond those asked for in a block; entries of all samples' spaces that are worked on at once; entries of cells that a task multiplies at once; blocks that a space has room for at least.
+EXTRA, BASES, CHUNK, SPACE = 10, 20_000_000, 50_000, 4
 
 
 def pca_of(values: DataFrame, npcs: int = 25, tolerance: float = 1e-8, max_rounds: int = 300) -> tuple[DataFrame, DataFrame]:
     """(embeddings(sample, cell_id, emb), loadings(sample, gene, loading)) of the z-scores of values, without a table of cells times genes.
 
-    The z-scores of a sample are those of absent values (one number a gene) plus a sparse matrix, so products with them need the entries that there are alone. Power rounds
-    turn a basis of ``npcs`` directions and a few more towards the leading ones: in one pass over the cells each task multiplies its rows with the basis and adds up the products' products,
-    genes x directions; these are summed by gene and made orthonormal on the driver (a panel's genes, ``BASES`` entries at once, samples in turns beyond that). It ends when no
+    The z-scores of a sample are those of absent values (one number a gene) plus a sparse matrix, so products with them need the entries that there are alone. In a round
+    each task multiplies its rows with a block of ``npcs`` directions and a few more and adds up the products' products, genes x directions, in one pass over the cells; these are summed by gene on the
+    driver (a panel's genes, ``BASES`` entries at once, samples in turns beyond that). The directions are the best in the space of all blocks so far; what they are off by is
+    the next block. A space that takes in all genes is exact, so genes / block rounds are enough at any spectrum, however flat; one without room (``BASES``) goes on from its leading directions. It ends when no
     direction asked for is off by more than ``tolerance`` of the greatest. The sign of a component makes its largest loading positive; components beyond the rank are left out.
     """
     spark = values.sparkSession
@@ -86,7 +87,7 @@ def pca_of(values: DataFrame, npcs: int = 25, tolerance: float = 1e-8, max_round
     rows = materialize(cells.join(rows, ["sample", "cell_id"], "left").select("sample", "cell_id", F.coalesce("row", none).alias("row")), "sparse")
     turns: list[list] = [[]]
     for sample in sorted(panel, key=str):
-        if turns[-1] and sum(len(panel[s]) for s in [*turns[-1], sample]) * (npcs + EXTRA) > BASES:
+        if turns[-1] and sum(len(panel[s]) for s in [*turns[-1], sample]) * SPACE * (npcs + EXTRA) > BASES:
             turns.append([])
         turns[-1].append(sample)
     emb, loadings = [], []
@@ -124,36 +125,55 @@ def _times(z0: np.ndarray, basis: np.ndarray, n: int, row: np.ndarray, gene: np.
 
 
 def _leading(rows: DataFrame, panel: dict, npcs: int, tolerance: float, max_rounds: int) -> dict:
-    """{sample: (genes, absent z-scores, loadings)}: the leading directions by power rounds."""
-    bases, done = {}, {}
+    """{sample: (genes, absent z-scores, loadings)}: the leading directions, each round's the best in the space of all blocks so far."""
+    bases, spaces, done = {}, {}, {}
+    most = BASES // max(1, sum(map(len, panel.values())))  # columns of a space
     for s, genes in panel.items():
         genes = sorted(genes)
         width = min(len(genes), npcs + EXTRA)
         start = np.eye(len(genes)) if width == len(genes) else np.linalg.qr(np.random.default_rng(len(genes)).normal(size=(len(genes), width)))[0]
         bases[s] = [g for g, _ in genes], np.array([x for _, x in genes]), start
+        spaces[s] = np.zeros((len(genes), 0)), np.zeros((len(genes), 0))
     names = list(bases)
-    for _ in range(max_rounds):
+    for turn_no in range(max_rounds):
         if not bases:
             return done
         again = _round(rows, bases, names)
         for s, product in again.items():
-            genes, z0, basis = bases[s]
-            inner = basis.T @ product
+            genes, z0, block = bases[s]
+            basis, image = (np.hstack(both) for both in zip(spaces[s], (block, product), strict=True))
+            inner = basis.T @ image
             value, turn = np.linalg.eigh((inner + inner.T) / 2)
-            order = [i for i in np.argsort(-value)[:npcs] if value[i] > 1e-9 * value.max()]
+            value, turn = value[::-1], turn[:, ::-1]
+            order = [i for i in range(min(npcs, len(value))) if value[i] > 1e-9 * value[0]]
             u = basis @ turn[:, order]
-            off = np.linalg.norm(product @ turn[:, order] - u * value[order], axis=0)
-            if not order or off.max() <= tolerance * value.max() or basis.shape[1] == len(genes):
+            off = np.linalg.norm(image @ turn[:, order] - u * value[order], axis=0)
+            if not order or off.max() <= tolerance * value[0] or basis.shape[1] == len(genes):
                 sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])]) if len(u) else 1.0
                 done[s] = genes, z0, u * sign
-                del bases[s]
-            else:
-                bases[s] = genes, z0, np.linalg.qr(product)[0]
+                del bases[s], spaces[s]
+                continue
+            width = npcs + EXTRA
+            rest = (image @ turn[:, :width] - basis @ turn[:, :width] * value[:width]) / value[0]
+            if basis.shape[1] + width > max(most, SPACE * width):
+                basis, image = basis @ turn[:, : 2 * width], image @ turn[:, : 2 * width]
+            spaces[s] = basis, image
+            bases[s] = genes, z0, _beside(rest[:, : len(genes) - basis.shape[1]], basis, turn_no)
     if not bases:
         return done
     raise RuntimeError(f"the leading directions did not settle in {max_rounds} rounds")
 
 
+def _beside(block: np.ndarray, basis: np.ndarray, seed: int) -> np.ndarray:
+    """The block's directions, orthonormal and at right angles to the basis; a random one in place of each that is nothing."""
+    size = np.linalg.norm(block, axis=0)
+    other = np.random.default_rng(seed).normal(size=block.shape)
+    block = np.where(size > 1e-12, block / np.maximum(size, 1e-300), other)
+    for _ in range(3):  # what rounding leaves along the basis goes with the next pass
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+    return block
+
+
 def _round(rows: DataFrame, bases: dict, names: list) -> dict:
     """{sample: Z'Z times its basis}, in one pass over the cells."""
     held = dict(bases)

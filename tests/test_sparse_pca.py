@@ -52,3 +52,18 @@ def test_nothing_to_decompose(spark):
     for rows in ([], [(1, 1, "a", 2.0)], [(1, 1, "a", 2.0), (1, 2, "a", 2.0)]):
         emb, loadings = embed.pca_of(spark.createDataFrame(rows, schema), 3)
         assert emb.collect() == [] and loadings.collect() == [] and emb.columns == ["sample", "cell_id", "emb"]
+
+
+@pytest.mark.parametrize(("bases", "rounds"), [(20_000_000, 3), (1500, 60)])
+def test_a_flat_spectrum_settles(spark, monkeypatch, bases, rounds):
+    """Components of noise are nearly as strong as each other; a space of all genes takes genes / block rounds. With less room it starts again from the leading directions."""
+    monkeypatch.setattr(embed, "BASES", bases)
+    genes = 40 if bases > 1500 else 70
+    r = np.random.default_rng(5)
+    rows = [(0, i, f"g{j:03}", float(v)) for i, x in enumerate(r.normal(size=(500, genes))) for j, v in enumerate(x)]
+    emb, _ = embed.pca_of(spark.createDataFrame(rows, "sample int, cell_id long, gene string, value double").repartition(3), 6, max_rounds=rounds)
+    cells, z = dense(rows)
+    _, value, vector = np.linalg.svd(z, full_matrices=False)
+    found = {x.cell_id: x.emb for x in emb.collect()}
+    got, want = np.array([found[c] for c in cells]), z @ vector[:6].T
+    assert value[6] > 0.8 * value[5] and np.allclose(np.abs(got), np.abs(want), atol=1e-4)
