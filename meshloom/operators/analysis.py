@@ -77,29 +77,114 @@ def subcluster_levels(known: list, cluster: str, subs: list) -> list[str]:
     return [*map(str, known[:at]), *[f"{cluster}_{s}" for s in subs], *map(str, known[at + 1 :])]
 
 
-def knn(vectors: DataFrame, k: int = 30, block: int = 4096, key: str = "id", emb: str = "emb") -> DataFrame:
-    """(id, rank, other, distance): the k nearest of each row by cosine distance, exact; ties to the smaller id. Blocks of rows meet blocks of rows, and lists are merged."""
-    n = max(1, -(-vectors.count() // block))
-    base, kind = vectors.filter(F.col(emb).isNotNull()).select(F.col(key).alias("id"), F.col(emb).alias("v")), dict(vectors.dtypes)[key]
-    part, every = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a, b = base.select("id", "v", part.alias("p"), every.alias("q")), base.select("id", "v", part.alias("q"), every.alias("p"))
-
-    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame(columns=["id", "other", "distance"])
-        u, v = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
-        norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
-        order = np.argsort(yi, kind="stable")  # in the order of ids, so that a stable sort leaves ties to the smaller one
-        yi, d = yi[order], np.round(1 - norm(u) @ norm(v[order]).T, 12)
-        d[xi[:, None] == yi[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(xi, best.shape[1]), "other": yi[best.ravel()], "distance": np.take_along_axis(d, best, axis=1).ravel()})
-        return out[np.isfinite(out["distance"])]
-
-    a, b = a.toDF(*a.columns), b.toDF(*b.columns)  # new names, as both come from one table
-    found = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(kernel, f"id {kind}, other {kind}, distance double")
+#: Vectors that cuts are chosen from, for each cell of the search and in all.
+SEEN, SEEN_AT_MOST = 32, 65_536
+
+
+def _cuts(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """A tree of ``depth`` levels, node i above 2i + 1 and 2i + 2: the component that each node cuts (its widest) and where (the median)."""
+    axis, cut, held = np.zeros(2**depth - 1, int), np.zeros(2**depth - 1), [sample]
+    for i in range(len(axis)):
+        own, held[i] = held[i], None
+        if len(own):
+            axis[i] = np.argmax(own.max(axis=0) - own.min(axis=0))
+            cut[i] = np.median(own[:, axis[i]])
+        above = own[:, axis[i]] > cut[i]
+        held += [own[~above], own[above]]
+    return axis, cut
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(float)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(x: pd.DataFrame, y: pd.DataFrame, k: int, rows: int = 1024):
+    """(id, other, distance): the k nearest of each row of ``x`` among those of ``y``, ``rows`` at once; ties to the smaller id."""
+    y = y.sort_values("id")
+    xi, yi, u, v = x["id"].to_numpy(), y["id"].to_numpy(), np.stack(x["u"].to_numpy()), np.stack(y["u"].to_numpy())
+    for a in range(0, len(xi), rows):
+        d = np.round(1 - u[a : a + rows] @ v.T, 12)
+        own = np.minimum(np.searchsorted(yi, xi[a : a + rows]), len(yi) - 1)
+        same = np.flatnonzero(yi[own] == xi[a : a + rows])
+        d[same, own[same]] = np.inf
+        last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < len(yi) else np.inf
+        i, j = np.nonzero((d <= last) & np.isfinite(d))
+        far = d[i, j]
+        order = np.lexsort((j, far, i))
+        i, j, far = i[order], j[order], far[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield pd.DataFrame({"id": xi[a : a + rows][i[kept]], "other": yi[j[kept]], "distance": far[kept]})
+
+
+def knn(vectors: DataFrame, k: int = 30, block: int = 1024, key: str = "id", emb: str = "emb", asked: int = 16_384) -> DataFrame:
+    """(id, rank, other, distance): the k nearest of each row by cosine distance, exact; ties to the smaller id.
+
+    Unit vectors are dealt to cells of about ``block`` by a tree of cuts, chosen from a bounded sample (which decides where rows lie, not what is found). A row's k nearest in its own cell bound
+    the distance of all its neighbours, so it asks those other cells alone whose box is no farther. In few dimensions these are about as many at every size; in many, where boxes say nothing, all
+    cells are asked, ``asked`` rows at once. Of equal vectors only the k + 1 of least id can be neighbours, so a vector that a third of all rows have fills no cell.
+    """
+    kind = dict(vectors.dtypes)[key]
+    base = materialize(vectors.filter(F.col(emb).isNotNull()).select(F.col(key).alias("id"), F.col(emb).cast("array<double>").alias("v")), "knn-vectors")
+    total = base.count()
+    depth = max(0, int(np.ceil(np.log2(max(1, min(total / block, SEEN_AT_MOST / SEEN))))))
+    some = pd.DataFrame({"v": [r[0] for r in base.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, total))) < SEEN * 2**depth).select("v").collect()]}) if depth else None
+    seen = _units(some["v"]) if depth and len(some) else np.zeros((0, 1))
+    axis, cut = _cuts(seen[np.isfinite(seen).all(axis=1)], depth)
+
+    def dealt(batches):
+        for df in batches:
+            if len(df):
+                u, at = _units(df["v"]), np.zeros(len(df), int)
+                for _ in range(depth):
+                    at = 2 * at + 1 + (u[np.arange(len(u)), axis[at]] > cut[at])
+                ok = np.isfinite(u).all(axis=1)  # others are near nothing
+                yield pd.DataFrame({"id": df["id"][ok], "u": list(u[ok]), "zero": ~u[ok].any(axis=1), "cell": at[ok]})
+
+    first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    among = base.withColumn("first", first).filter(F.col("first") <= k + 1).select("id", "v")
+    lists = f"id {kind}, other {kind}, distance double"
+    place = f"id {kind}, u array<double>, zero boolean, cell long"
+    held, rows = (materialize(df.mapInPandas(dealt, place), "knn-cells") for df in (among, base))
+    boxes = held.select("cell", F.posexplode("u").alias("i", "x")).groupBy("cell", "i").agg(F.min("x"), F.max("x")).collect()  # a row a cell and dimension
+    width = max((r[1] for r in boxes), default=0) + 1
+    cells = sorted({r[0] for r in boxes})
+    number, low, high = {c: n for n, c in enumerate(cells)}, np.zeros((len(cells), width)), np.zeros((len(cells), width))
+    for c, i, lo, hi in boxes:
+        low[number[c], i], high[number[c], i] = lo, hi
+
+    def searched(asking: DataFrame) -> DataFrame:
+        """Lists of (id, u, cell) in the cells asked; so many rows ask a cell at once."""
+        n = asking.groupBy("cell").agg(F.ceil(F.count("*") / asked).alias("n"))  # a row a cell
+        ask = asking.join(F.broadcast(n), "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("n")))
+        there = held.join(F.broadcast(n), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        ask, there = ask.select("id", "u", "cell", "part"), there.select("id", "u", "cell", "part")
+        ask, there = ask.toDF(*ask.columns), there.toDF(*there.columns)  # new names, as both come from one table
+        work = lambda x, y: pd.concat(_nearest(x, y, k)) if len(x) and len(y) else pd.DataFrame(columns=["id", "other", "distance"])
+        return ask.groupBy("cell", "part").cogroup(there.groupBy("cell", "part")).applyInPandas(work, lists)
+
+    def others(batches):
+        for df in batches:
+            for a in range(0, len(df), 1024):
+                u, last = np.stack(df["u"].iloc[a : a + 1024].to_numpy()), df["last"].iloc[a : a + 1024].to_numpy()
+                gap = np.zeros((len(u), len(cells)))
+                for i in range(width):
+                    gap += np.maximum(np.maximum(low[:, i] - u[:, i, None], u[:, i, None] - high[:, i]), 0) ** 2
+                # half the squared gap is no more than the distance; distances are rounded to 12 digits
+                own = np.array([number.get(c, -1) for c in df["cell"].iloc[a : a + 1024]])
+                i, j = np.nonzero((gap / 2 <= last[:, None] + 1e-11) & (np.arange(len(cells)) != own[:, None]))
+                yield pd.DataFrame({"id": df["id"].iloc[a : a + 1024].to_numpy()[i], "u": list(u[i]), "cell": np.array(cells, int)[j]})
+
+    near = rows.filter("NOT zero")
+    inside = materialize(searched(near.select("id", "u", "cell")), "knn-inside")
+    ends = inside.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
+    bound = near.join(ends, "id", "left").select("id", "u", "cell", F.when(F.col("n") >= k, F.col("last")).otherwise(float("inf")).alias("last"))
+    asking = materialize(bound.mapInPandas(others, f"id {kind}, u array<double>, cell long"), "knn-asking")
+    # all rows are at distance 1 of a zero vector
+    least = F.broadcast(rows.select(F.col("id").alias("other")).orderBy("other").limit(k + 1))
+    nowhere = rows.filter("zero").select("id").crossJoin(least).filter("id <> other").select("id", "other", F.lit(1.0).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
+    found = inside.unionByName(searched(asking)).unionByName(nowhere)
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "other", "distance")
 
 
