@@ -158,7 +158,8 @@ def knn(vectors: DataFrame, k: int = 30, block: int = 1024, key: str = "id", emb
         n = asking.groupBy("cell").agg(F.ceil(F.count("*") / asked).alias("n"))  # a row a cell
         ask = asking.join(F.broadcast(n), "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.col("n")))
         there = held.join(F.broadcast(n), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        ask, there = ask.select("id", "u", "cell", "part"), there.select("id", "u", "cell", "part")
+        spread = max(1, len(cells) // 2)  # a number, as small partitions are put together otherwise and cells wait for each other
+        ask, there = (df.select("id", "u", "cell", "part").repartition(spread, "cell", "part") for df in (ask, there))
         ask, there = ask.toDF(*ask.columns), there.toDF(*there.columns)  # new names, as both come from one table
         work = lambda x, y: pd.concat(_nearest(x, y, k)) if len(x) and len(y) else pd.DataFrame(columns=["id", "other", "distance"])
         return ask.groupBy("cell", "part").cogroup(there.groupBy("cell", "part")).applyInPandas(work, lists)
@@ -218,7 +219,8 @@ def fuzzy_graph(neighbours: DataFrame) -> DataFrame:
             sigma = np.maximum(np.maximum(sigma, 1e-3 * np.where(there, d, 0.0).sum(axis=1) / size), 1e-12)
             yield pd.DataFrame({"id": np.repeat(df["id"].to_numpy(), size), "other": [e["other"] for l in df["l"] for e in l], "weight": np.exp(-far / sigma[:, None])[there]})
 
-    one = lists.mapInPandas(kernel, f"id {kind}, other {kind}, weight double")
+    # written, as both directions of it are read
+    one = materialize(lists.mapInPandas(kernel, f"id {kind}, other {kind}, weight double"), "memberships")
     two = one.select(F.col("other").alias("id"), F.col("id").alias("other"), F.col("weight").alias("back"))
     joined = one.join(two, ["id", "other"], "full").select("id", "other", F.coalesce("weight", F.lit(0.0)).alias("a"), F.coalesce("back", F.lit(0.0)).alias("b"))
     return joined.select("id", "other", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight"))
@@ -237,7 +239,7 @@ def layout(graph: DataFrame, epochs: int = 200, seed: int = 0) -> DataFrame:
 
 
 def neighbour_graph(vectors: DataFrame, k: int = 30, exact: bool = False) -> DataFrame:
-    """The fuzzy graph of vectors (id, emb): of neighbours found by descent, whose work grows little faster than the vectors, or with ``exact`` by all pairs of blocks."""
+    """The fuzzy graph of vectors (id, emb): of neighbours found by descent, whose work grows little faster than the vectors, or with ``exact`` by ``knn``."""
     return fuzzy_graph(materialize(knn(vectors, k) if exact else descend(vectors, k), "neighbours"))
 
 
