@@ -139,7 +139,7 @@ def knn(vectors: DataFrame, k: int = 30, block: int = 1024, key: str = "id", emb
                 for _ in range(depth):
                     at = 2 * at + 1 + (u[np.arange(len(u)), axis[at]] > cut[at])
                 ok = np.isfinite(u).all(axis=1)  # others are near nothing
-                yield pd.DataFrame({"id": df["id"][ok], "u": list(u[ok]), "zero": ~u[ok].any(axis=1), "cell": at[ok]})
+                yield pd.DataFrame({"id": df["id"].to_numpy()[ok], "u": pd.Series(list(u[ok]), dtype=object), "zero": ~u[ok].any(axis=1), "cell": at[ok]})
 
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     among = base.withColumn("first", first).filter(F.col("first") <= k + 1).select("id", "v")
@@ -174,7 +174,8 @@ def knn(vectors: DataFrame, k: int = 30, block: int = 1024, key: str = "id", emb
                 # half the squared gap is no more than the distance; distances are rounded to 12 digits
                 own = np.array([number.get(c, -1) for c in df["cell"].iloc[a : a + 1024]])
                 i, j = np.nonzero((gap / 2 <= last[:, None] + 1e-11) & (np.arange(len(cells)) != own[:, None]))
-                yield pd.DataFrame({"id": df["id"].iloc[a : a + 1024].to_numpy()[i], "u": list(u[i]), "cell": np.array(cells, int)[j]})
+                # an empty list of vectors would count as numbers
+                yield pd.DataFrame({"id": df["id"].iloc[a : a + 1024].to_numpy()[i], "u": pd.Series(list(u[i]), dtype=object), "cell": np.array(cells, int)[j]})
 
     near = rows.filter("NOT zero")
     inside = materialize(searched(near.select("id", "u", "cell")), "knn-inside")

@@ -215,3 +215,25 @@ def test_ranks_within_keys(spark):
             want[row[1]] = place
     assert {g.i: g["rank"] for g in got} == want
     assert ranked(spark.createDataFrame([], "key long, x long"), ["key"], ["x"]).collect() == []
+
+
+def test_communities_in_blocks_need_no_rounds(spark, monkeypatch):
+    """A graph larger than a task goes in passes over blocks, and is as good as one in a task but for little."""
+
+    def rounds(*_):
+        raise AssertionError("rounds over tasks")
+
+    monkeypatch.setattr(community, "_turns", rounds)
+    links = random_links(3)
+    of = {r.id: r.community for r in community.leiden(spark.createDataFrame(both(links), GRAPH), chunk=900).collect()}
+    assert set(of) == {x for a, b, _ in links for x in (a, b)} and connected(links, of)
+    assert modularity(links, of) >= modularity(links, louvain(sorted(links))) - 0.02
+
+
+def test_nodes_that_gain_elsewhere_stay_alone():
+    """In its block node 1 could only join 2; it would gain more in another block, so it is a part of its own."""
+    import pandas as pd
+
+    rows = [(v, v, 2.0, v, True, 0.9 if v == 1 else -np.inf) for v in (1, 2, 3)] + [(a, b, w, a, True, 0.0) for a, b, w in both([(1, 2, 0.5), (2, 3, 1.5)])]
+    out = community._within(pd.DataFrame(rows, columns=["node", "other", "w", "community", "whole", "far"]), 1.0, 100.0).set_index("node")
+    assert out["part"][1] == 1 and out["community"][1] == 1 and out["part"][2] == out["part"][3]
