@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -183,14 +185,56 @@ def largest_component(edges: DataFrame, a: str, b: str, keys: tuple[str, ...] =
     return best.select(*keys, (-F.col("m.down")).alias("component"), F.col("m.nodes").alias("nodes"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, a: str = "a", b: str = "b", weight: str | None = None, keys: tuple[str, ...] = (), max_rounds: int = 100_000) -> DataFrame:
+def _paths(columns: list[list]) -> list[list]:
+    """(node, distance, previous) by Dijkstra's rule from edges (node, to, w); a source is a row with itself as the other end."""
+    near, found, done, heap = {}, {}, set(), []
+    for x, y, w in zip(*columns, strict=True):
+        if x == y:
+            found[x] = (0.0, None)
+            heap.append((0.0, x))
+        else:
+            near.setdefault(x, []).append((y, w))
+    heapq.heapify(heap)
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x in done:
+            continue
+        done.add(x)
+        for y, w in near.get(x, ()):
+            if y not in done:
+                far, before = found.get(y, (None, None))
+                if far is None or d + w < far:
+                    found[y] = (d + w, x)
+                    heapq.heappush(heap, (d + w, y))
+                elif d + w == far and before is not None and x < before:
+                    found[y] = (far, x)
+    return [list(found), [d for d, _ in found.values()], [p for _, p in found.values()]]
+
+
+def _paths_of_keys(both: DataFrame, sources: DataFrame, k: list[str]) -> DataFrame:
+    """(keys..., node, distance, previous, shorter = false) of keys whose edges fit a task each."""
+    kinds = {f.name: f.dataType for f in both.schema}
+    schema = T.StructType([*[T.StructField(c, kinds[c]) for c in k], T.StructField("node", kinds["to"]), T.StructField("distance", T.DoubleType()), T.StructField("previous", kinds["to"])])
+    arrow = to_arrow_schema(schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        own = _paths([t[c].to_pylist() for c in ("node", "to", "w")])
+        columns = [pa.array([t[c][0].as_py()] * len(own[0]), arrow.field(c).type) for c in k]
+        return pa.table([*columns, *[pa.array(c, f.type) for c, f in zip(own, list(arrow)[len(k) :], strict=True)]], schema=arrow)
+
+    rows = both.select(*k, "node", "to", "w").union(sources.select(*k, F.col("node").cast(kinds["node"]).alias("node"), F.col("node").cast(kinds["to"]).alias("to"), F.lit(0.0).alias("w")))
+    return rows.groupBy(*k).applyInArrow(run, schema)
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, a: str = "a", b: str = "b", weight: str | None = None, keys: tuple[str, ...] = (), max_rounds: int = 100_000, chunk: int = CHUNK) -> DataFrame:
     """(keys..., node, distance, previous) of every node that can be reached from the ``sources`` (keys..., node): the length of the shortest path from the nearest
     of them, and the node before it there (null at a source; ties go to the smaller one).
 
-    ``edges`` go both ways; ``weight`` names their lengths (1 each if none), and a negative one is an error. Rounds pass on only the distances that have got shorter, until none
-    does; each is written to the shared folder. Edges with a null end or length are ignored. The edges of a hub are dealt to many tasks.
+    ``edges`` go both ways; ``weight`` names their lengths (1 each if none), and a negative one is an error. Keys of at most ``chunk`` edges (both directions counted) are a task each and take
+    one pass. For larger ones rounds pass on only the distances that have got shorter, until none does; each is written to the shared folder. Edges with a null end or length are ignored. The edges of a hub are dealt to many tasks.
     """
-    k = list(keys)
+    edges, sources = (df.withColumn("__all", F.lit(0)) for df in (edges, sources))
+    k = [*keys, "__all"]
     length = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     ends = lambda x, y: edges.select(*k, F.col(x).alias("node"), F.col(y).alias("to"), length.alias("w"))
     both = ends(a, b).unionByName(ends(b, a)).filter("node IS NOT NULL AND to IS NOT NULL AND w IS NOT NULL AND node <> to")
@@ -198,11 +242,20 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, a: str = "a", b: str =
     if not both.filter("w < 0 OR isnan(w)").isEmpty():
         raise ValueError("lengths must be numbers of 0 or more")
     kind = both.schema["to"].dataType
+    large = materialize(both.groupBy(*k).agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select(*k), "large-keys")
+    starts = sources.select(*k, "node").filter("node IS NOT NULL").distinct()
+    # a row for each key
+    small = materialize(_paths_of_keys(both.join(F.broadcast(large), k, "left_anti"), starts.join(F.broadcast(large), k, "left_anti"), k), "paths")
+    if large.isEmpty():
+        drop_table(both)
+        return small.drop("__all")
+    sources, both_ = starts.join(F.broadcast(large), k, "left_semi"), both
+    both = both.join(F.broadcast(large), k, "left_semi")
     now = materialize(sources.select(*k, "node").filter("node IS NOT NULL").distinct().select(*k, "node", F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("previous"), F.lit(True).alias("shorter")), "paths")
     for _ in range(max_rounds):
         if now.filter("shorter").isEmpty():
-            drop_table(both)
-            return now.drop("shorter")
+            drop_table(both_)
+            return small.unionByName(now.drop("shorter")).drop("__all")
         found = dealt_join(both, now.filter("shorter").select(*k, "node", "distance"), [*k, "node"], "to")
         found = found.select(*k, F.col("to").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.col("node").alias("previous"), F.lit(True).alias("shorter"))
         every = now.withColumn("shorter", F.lit(False)).unionByName(found)

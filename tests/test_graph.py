@@ -106,3 +106,18 @@ def test_adjacency_keeps_isolated_nodes(spark):
     edges = spark.createDataFrame([(0, 1, 2), (0, 2, 1), (0, 3, 3)], "sample int, x long, y long")
     got = {tuple(r) for r in graph.adjacency(nodes, edges, "x", "y", "sample").collect()}
     assert got == {(0, 1, 2), (0, 2, 1), (0, 3, None), (1, 1, None)}
+
+
+@pytest.mark.parametrize("chunk", [graph.CHUNK, 100])
+def test_long_paths_of_keys_that_fit_a_task(spark, monkeypatch, chunk):
+    """One pass for keys that fit a task, rounds for the others; equal distances, and the smaller node before."""
+    written = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name="step": (written.append(name), write(df, name))[1])
+    far = 1 << 60  # ids that no double holds
+    rows = [("long", far + i, far + i + 1) for i in range(40)] + [("wide", 0, i) for i in range(1, 80)] + [("wide", i, 100) for i in range(1, 80)] + [(None, 1, 2)]
+    sources = spark.createDataFrame([("long", far), ("wide", 0), ("wide", None), ("none", 5)], "s string, node long")
+    got = graph.shortest_paths(spark.createDataFrame(rows, "s string, a long, b long"), sources, keys=("s",), **({"chunk": chunk} if chunk < graph.CHUNK else {})).collect()
+    want = {("long", far + i): (float(i), far + i - 1 if i else None) for i in range(41)} | {("wide", i): (1.0, 0) for i in range(1, 80)} | {("wide", 0): (0.0, None), ("wide", 100): (2.0, 1), ("none", 5): (0.0, None)}
+    assert {(x.s, x.node): (x.distance, x.previous) for x in got} == want
+    assert len(written) < 10
