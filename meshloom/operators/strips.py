@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,6 +23,8 @@ from meshloom.operators.graph import connected_components, ranked
 from meshloom.plans.storage import drop_table, materialize
 
 CORNERS = ("a", "b", "c")
+#: A strip has this many times the root of its sample's points at least, or it would be narrower than most circles and no triangle would stay.
+WIDE = 4
 
 
 def circles(p: np.ndarray, faces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,11 +101,17 @@ def whole_faces(points: DataFrame) -> DataFrame:
     return points.select("sample", "pt_id", "x", "y").groupBy("sample").applyInArrow(_faces(to_arrow_schema(schema), None), schema)
 
 
-def strip_faces(points: DataFrame, size: int, along: str) -> DataFrame:
-    """Faces of the whole mesh that strips of ``size`` points along an axis tell for sure, each once."""
+def width(size: int, wide: int) -> Column:
+    """Points of a strip in a sample of ``n``."""
+    return F.greatest(F.lit(size), F.ceil(wide * F.sqrt("n")).cast("int"))
+
+
+def strip_faces(points: DataFrame, size: int, along: str, wide: int = WIDE) -> DataFrame:
+    """Faces of the whole mesh that strips of ``size`` points along an axis tell for sure, each once. Strips are wider where ``wide`` times the root of the sample's points is more."""
     other = "y" if along == "x" else "x"
-    dealt = ranked(points.select("sample", "pt_id", "x", "y"), ["sample"], [along, other, "pt_id"]).withColumn("strip", F.floor((F.col("rank") - 1) / size).cast("long"))
-    dealt = materialize(dealt.drop("rank"), "strips")
+    counts = points.groupBy("sample").agg(F.count("*").alias("n"))  # a row a sample
+    dealt = ranked(points.select("sample", "pt_id", "x", "y"), ["sample"], [along, other, "pt_id"]).join(F.broadcast(counts), "sample").withColumn("strip", F.floor((F.col("rank") - 1) / width(size, wide)).cast("long"))
+    dealt = materialize(dealt.drop("rank", "n"), "strips")
     of = Window.partitionBy("sample").orderBy("strip")  # a row for each strip
     inf = F.lit(float("inf"))
     ends = dealt.groupBy("sample", "strip").agg(F.min(along).alias("low"), F.max(along).alias("high")).select(
@@ -149,18 +157,19 @@ def outside(rest: DataFrame, kept: DataFrame) -> DataFrame:
     return part(numbered).join(part(over).select("sample", "component").distinct(), ["sample", "component"], "left_anti").select(*rest.columns)
 
 
-def triangulate_in_strips(points: DataFrame, size: int, along: str = "x") -> DataFrame:
-    """Faces (``faces_schema``) of points (sample, pt_id, x, y) of distinct places. Samples of at most ``size`` points are a task each, others go in strips of ``size``."""
-    several = lambda df: df.groupBy("sample").agg(F.count("*").alias("n")).filter(F.col("n") > size).select("sample")
+def triangulate_in_strips(points: DataFrame, size: int, along: str = "x", wide: int = WIDE) -> DataFrame:
+    """Faces (``faces_schema``) of points (sample, pt_id, x, y) of distinct places. Samples of at most ``size`` points are a task each, others go in strips of ``size``, or of ``wide`` times the root
+    of their points where that is more (for 200,000 points a task: of samples beyond two billion)."""
+    several = lambda df: df.groupBy("sample").agg(F.count("*").alias("n")).filter(F.col("n") > width(size, wide)).select("sample")
     if several(points).isEmpty():
         return whole_faces(points)
     points = materialize(points.select("sample", "pt_id", "x", "y"), "open-points")
     large = several(points)
     small = whole_faces(points.join(large, "sample", "left_anti"))
     big = points.join(large, "sample", "left_semi")
-    kept = materialize(strip_faces(big, size, along), "strip-faces")
+    kept = materialize(strip_faces(big, size, along, wide), "strip-faces")
     left = big.join(closed_points(kept), ["sample", "pt_id"], "left_anti")
-    rest = materialize(triangulate_in_strips(left, 2 * size, "y" if along == "x" else "x"), "open-faces")
+    rest = materialize(triangulate_in_strips(left, 2 * size, "y" if along == "x" else "x", 2 * wide), "open-faces")
     out = materialize(small.unionByName(kept).unionByName(outside(rest, kept)), "faces")
     for df in (points, kept, rest):
         drop_table(df)

@@ -90,3 +90,9 @@ def test_empty(spark):
 def test_a_table_s_samples(spark):
     p = mesh.points_of(cells_of(spark, "/root/testdata/sf0.01"))
     assert faces(mesh.delaunay(p, 15)) == faces(mesh.delaunay(p))
+
+
+def test_narrow_strips_are_widened(spark):
+    """Strips of 20 points are narrower than circles of a sample of 2,500, and would close no ring."""
+    p = points(spark, {"s": np.random.default_rng(5).random((2500, 2))})
+    assert strips.closed_points(materialize(strips.strip_faces(p, 20, "x"), "test-kept")).count() > 1250
