@@ -2,7 +2,7 @@
 
 A neighbour of a neighbour is likely a neighbour. Lists start from blocks of vectors that lie near each other along random directions. In each round a vector's
 neighbours, and some of those that have it as one, are brought together; the distances of all pairs of them in which one is new are candidates for
-both ends, and each vector keeps its best. Rounds end when few lists change.
+both ends, and each vector keeps its best. Of a group's pairs only those leave the task that may enter a list: the k best of a member there, none beyond the last of its list so far. Rounds end when few lists change.
 
 What meets is bounded: a vector is joined with at most ``meet`` of its list and as many of those that list it, chosen by a hash in each round, so one that a third of
 all vectors list is no larger group. Pairs within a task are worked out for a batch of such groups at once. Each round is written to the shared folder.
@@ -11,7 +11,6 @@ all vectors list is no larger group. Pairs within a task are worked out for a ba
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,15 +95,17 @@ def descend(vectors: DataFrame, k: int = 30, key: str = "id", emb: str = "emb",
         back = now.select(F.col("other").alias("id"), F.col("id").alias("other"), "new").withColumn("r", first("id", -1 - turn)).filter(F.col("r") <= meet)
         groups = materialize(out.select("id", "other", "new").union(back.select("id", "other", "new")).groupBy("id", "other").agg(F.max("new").alias("new")), "meetings")
         met = out.select("id", "other", F.lit(0).alias("__met"))
+        # a list that isn't full takes any
+        last = now.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("last"))
+        known = base.join(last, "id", "left").select(F.col("id").alias("other"), "v", F.coalesce("last", F.lit(float("inf"))).alias("last"))
         # 2 x meet members at most
-        gathered = dealt_join(groups, base.select(F.col("id").alias("other"), "v"), ["other"], "id").groupBy("id").agg(F.collect_list(F.struct("other", "new", "v")).alias("m"))
+        gathered = dealt_join(groups, known, ["other"], "id").groupBy("id").agg(F.collect_list(F.struct("other", "new", "v", "last")).alias("m")).select("m")
 
         def pairs(batches):
-            for df in batches:
-                if len(df):
-                    yield from _candidates(df, k)
+            for batch in batches:
+                yield from _candidates(batch["m"], k)
 
-        found = gathered.mapInPandas(pairs, f"id {kind}, other {kind}, distance double").groupBy("id", "other").agg(F.min("distance").alias("distance"))
+        found = gathered.mapInArrow(pairs, f"id {kind}, other {kind}, distance double").groupBy("id", "other").agg(F.min("distance").alias("distance"))
         old = now.join(met, ["id", "other"], "left").select("id", "other", "distance", F.coalesce("__met", "new").alias("new"))
         after = materialize(_kept(old.unionByName(found.withColumn("new", F.lit(1))).select(*[f.split()[0] for f in schema.split(", ")]), k), "lists")
         drop_table(groups)
@@ -115,25 +116,29 @@ def descend(vectors: DataFrame, k: int = 30, key: str = "id", emb: str = "emb",
     return now.select("id", "rank", "other", "distance")
 
 
-def _candidates(df: pd.DataFrame, k: int, step: int = 512):
-    """(id, other, distance) of the pairs of members of each row's group in which one is new; for each member, its k best of the group."""
-    for a in range(0, len(df), step):
-        rows = df["m"].iloc[a : a + step].tolist()
-        width = max(map(len, rows))
-        dims = len(rows[0][0]["v"])
-        v, new, there = np.zeros((len(rows), width, dims)), np.zeros((len(rows), width), bool), np.zeros((len(rows), width), bool)
-        ids = np.zeros((len(rows), width), dtype=np.asarray([rows[0][0]["other"]]).dtype)
-        if ids.dtype.kind in "US":
-            ids = ids.astype(object)
-        for i, r in enumerate(rows):
-            n = len(r)
-            there[i, :n] = True
-            v[i, :n], new[i, :n], ids[i, :n] = [e["v"] for e in r], [e["new"] > 0 for e in r], [e["other"] for e in r]
+def _candidates(groups: pa.ListArray, k: int, step: int = 512):
+    """(id, other, distance) of the pairs of members (other, new, v, last) of each group in which one is new; for each member, its k best of the group (and those that tie with the k-th), none farther than ``last``."""
+    for a in range(0, len(groups), step):
+        part = groups.slice(a, step)
+        size, flat = np.diff(part.offsets.to_numpy()), part.flatten()
+        if not len(flat):
+            continue
+        width = int(size.max())
+        there = np.arange(width) < size[:, None]
+        own = flat.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+        v, new, last = np.zeros((*there.shape, own.shape[1])), np.zeros(there.shape, bool), np.zeros(there.shape)
+        v[there], new[there], last[there] = own, flat.field("new").to_numpy() > 0, flat.field("last").to_numpy()
+        at = np.zeros(there.shape, np.int64)
+        at[there] = np.arange(len(flat))
         d = _distances(v)
-        ok = there[:, :, None] & there[:, None] & (new[:, :, None] | new[:, None]) & (ids[:, :, None] != ids[:, None])
-        at = np.argwhere(ok)
-        if len(at):
-            yield pd.DataFrame({"id": ids[at[:, 0], at[:, 1]], "other": ids[at[:, 0], at[:, 2]], "distance": d[ok]})
+        # a group has a member once
+        ok = there[:, :, None] & there[:, None] & (new[:, :, None] | new[:, None]) & ~np.eye(width, dtype=bool) & (d <= last[:, :, None])
+        if width > k:
+            far = np.where(ok, d, np.inf)
+            ok &= far <= np.partition(far, k - 1, axis=2)[:, :, k - 1 : k]
+        g, i, j = np.nonzero(ok)
+        ids = flat.field("other")
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[g, i])), ids.take(pa.array(at[g, j])), pa.array(d[ok])], ["id", "other", "distance"])
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> float:
