@@ -4,8 +4,8 @@ The layout's similarity is 1 / (1 + a d^(2b)), fitted to one that is 1 up to ``m
 directions of the graph's random walk, found by power rounds with sums alone. Then each edge is due in every (greatest weight / weight)-th epoch; an end of a due
 edge moves towards the other and away from random nodes, by the gradients of the similarity, with steps that shrink to zero.
 
-Nodes are dealt to blocks by a hash, and the edges of a hub to several pieces of its block, so a task holds ``BLOCK`` nodes and the edges that lead from them. A round is some epochs in
-each block: nodes of the block move at once, those of other blocks stay where they were at the round's start; a bounded sample of all nodes is what is moved away from. A hub
+Nodes are dealt to blocks by a hash, and the edges of a hub to several pieces of its block, so a task holds ``BLOCK`` nodes and the edges that lead from them. Edges are packed once, a row a piece; what moves
+in a round is where nodes are, once to each piece that one has an edge in. A round is some epochs in each block: nodes of the block move at once, those of other blocks stay where they were at the round's start; a bounded sample of all nodes is what is moved away from. A hub
 takes the mean of its pieces' moves. Rounds are written to the shared folder, a row a node.
 """
 
@@ -16,6 +16,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,20 +46,63 @@ def curve(spread: float = 1.0, min_dist: float = 0.3) -> tuple[float, float]:
     return float(np.exp(p[0])), float(np.exp(p[1]))
 
 
-def slow_directions(edges: DataFrame, nodes: DataFrame, dims: int, rounds: int, seed: int) -> DataFrame:
+def packed(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (block, piece, node, other, w) as a row for each piece (block, piece, head, tail, w), in order of node and other, and (node, homes): the pieces that each node has an edge in, as one end or the other.
+
+    head, tail: numbers of the ends among the piece's nodes, sorted.
+    """
+
+    def pack(t: pa.Table) -> pa.Table:
+        df = t.select(["node", "other", "w"]).to_pandas().sort_values(["node", "other"], ignore_index=True)
+        node, other = df["node"].to_numpy(), df["other"].to_numpy()
+        ids = np.unique(np.concatenate([node, other]))
+        row = [np.searchsorted(ids, node).astype("<i4").tobytes(), np.searchsorted(ids, other).astype("<i4").tobytes(), df["w"].to_numpy().astype("<f8").tobytes()]
+        return pa.table({"block": t["block"][:1], "piece": t["piece"][:1], **{c: pa.array([x], pa.binary()) for c, x in zip(("head", "tail", "w"), row, strict=True)}})
+
+    rows = materialize(dealt.groupBy("block", "piece").applyInArrow(pack, "block long, piece long, head binary, tail binary, w binary"), "layout-packed")
+    ends = dealt.select("node", "block", "piece").union(dealt.select("other", "block", "piece")).distinct()
+    # a piece of each block at most, or those of its own
+    return rows, materialize(ends.groupBy("node").agg(F.collect_list(F.struct("block", "piece")).alias("homes")), "layout-homes")
+
+
+def in_pieces(now: DataFrame, rows: DataFrame, homes: DataFrame, blocks: int, work: Callable[..., dict], kind: str, schema: str) -> DataFrame:
+    """(node, ...) of ``work(at, head, tail, w, key)`` of each piece of ``packed``, with the places ``at`` of its nodes by their numbers from ``now`` (node, at). ``work`` gives the numbers of
+    the piece's own nodes (``own``) and a list of arrays, one for each further column."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    spread = 4 * blocks  # a number, as small partitions are put together otherwise and pieces wait for each other
+    sent = now.select("node", "at").join(homes, "node").select("node", "at", F.explode("homes").alias("home")).select("home.*", "node", "at")
+
+    def kernel(key, here: pa.Table, t: pa.Table) -> pa.Table:
+        ids, at = here["node"].to_numpy(), here["at"].combine_chunks().flatten().to_numpy()
+        order = np.argsort(ids)
+        head, tail, w = (np.frombuffer(t[c][0].as_py(), kind) for c, kind in (("head", "<i4"), ("tail", "<i4"), ("w", "<f8")))
+        own, *columns = work(at.reshape(len(ids), -1)[order], head, tail, w, (key[0].as_py(), key[1].as_py()))
+        return pa.table({"node": here["node"].combine_chunks().take(pa.array(order[own])), **{n: pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), c.shape[1]).cast(pa.list_(pa.float64())) for n, c in zip(names, columns, strict=True)}})
+
+    sent, rows = (df.repartition(spread, "block", "piece") for df in (sent, rows))
+    return sent.groupBy("block", "piece").cogroup(rows.groupBy("block", "piece")).applyInArrow(kernel, f"node {kind}, {schema}")
+
+
+def pulled(at: np.ndarray, head: np.ndarray, tail: np.ndarray, w: np.ndarray, key=None):
+    """Of a piece's own nodes: numbers, places, and the sums of their neighbours' places by weight, with the weights' sum."""
+    own, first = np.unique(head, return_index=True)  # edges are in order of their node
+    sums = np.add.reduceat(np.column_stack([at[tail] * w[:, None], w]), first, axis=0)
+    return own, at[own], sums
+
+
+def slow_directions(nodes: DataFrame, pull: Callable[[DataFrame], DataFrame], dims: int, rounds: int, seed: int) -> DataFrame:
     """(node, at): the ``dims`` slowest directions after the constant one, scaled to 10, with a little noise by the node's hash so that no two nodes coincide.
 
-    ``edges`` (node, other, w) both ways, ``nodes`` (node, k). A round averages each node with its neighbours, and takes the constant and earlier directions out by sums.
+    ``nodes`` (node, k); ``pull`` gives ``pulled`` of every piece of a table (node, at). A round averages each node with its neighbours, and takes the constant and earlier directions out by sums.
     """
     noise = lambda i: F.pmod(F.xxhash64("node", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / float(1 << 19) - 1
     now = nodes.select("node", "k", F.array(*[noise(i) for i in range(dims)]).alias("at"))
-    pulled = dealt_join(edges, nodes.select("node", "k"), ["node"], "other").select("node", "other", (F.col("w") / F.col("k")).alias("p"))
     at = lambda i: F.col("at")[i]
     for turn in range(rounds):
         if turn:
-            there = now.select(F.col("node").alias("other"), "at")
-            means = dealt_join(pulled, there, ["other"], "node").groupBy("node").agg(*[F.sum(F.col("p") * at(i)).alias(f"m{i}") for i in range(dims)])
-            now = now.join(means, "node").select("node", "k", F.array(*[(at(i) + F.col(f"m{i}")) / 2 for i in range(dims)]).alias("at"))
+            sums = pull(now).groupBy("node").agg(F.first("at").alias("at"), *[F.sum(F.col("sums")[i]).alias(f"m{i}") for i in range(dims + 1)])
+            k = F.col(f"m{dims}")
+            now = sums.select("node", k.alias("k"), F.array(*[(at(i) + F.col(f"m{i}") / k) / 2 for i in range(dims)]).alias("at"))
         now = materialize(now, "directions")
         # Gram matrix, weighted by k, of the constant and the columns; the columns are made orthonormal by it
         cols = [F.lit(1.0), *[at(i) for i in range(dims)]]
@@ -79,38 +123,39 @@ def epochs_of(rows: pd.DataFrame, away: np.ndarray, count: int, a: float, b: flo
     p[head] = np.stack(rows["at"].to_numpy())
     other = rows["other"].to_numpy()
     tail = np.searchsorted(ids, other).clip(max=len(ids) - 1)
-    inside = ids[tail] == other
-    there = np.stack(rows["there"].to_numpy())
-    every = top / rows["w"].to_numpy()  # epochs between an edge's turns
+    after = _epochs(p, head, tail, ids[tail] == other, np.stack(rows["there"].to_numpy()), rows["w"].to_numpy(), away, count, a, b, first, last, epochs, top, negatives, rate, seed, key)
+    return pd.DataFrame({"node": ids, "at": list(after)})
+
+
+def stepped(at: np.ndarray, head: np.ndarray, tail: np.ndarray, w: np.ndarray, key: tuple[int, int], **given):
+    """Of a piece's own nodes: numbers, and places after a round's epochs."""
+    own, head = np.unique(head, return_inverse=True)
+    number = np.full(len(at), -1)
+    number[own] = np.arange(len(own))
+    return own, _epochs(at[own], head, number[tail], number[tail] >= 0, at[tail], w, key=key, **given)
+
+
+def _epochs(p, head, tail, inside, there, w, away, count, a, b, first, last, epochs, top, negatives, rate, seed, key) -> np.ndarray:
+    """Places ``p`` of a block's nodes after epochs ``first`` to ``last`` of its edges: from ``head`` to ``tail`` where that is ``inside``, else to one that stays ``there``."""
+    every = top / w  # epochs between an edge's turns
     r = np.random.default_rng([*seed, *key])
     for e in range(first, last):
         turn = r.permutation(np.flatnonzero(np.floor((e + 1) / every) > np.floor(e / every)))
         step = rate * (1 - e / epochs)
         # few edges for each node at once, so that moves see those before them
-        for due in np.array_split(turn, max(1, 4 * len(turn) // len(ids))):
+        for due in np.array_split(turn, max(1, 4 * len(turn) // len(p))):
             i = head[due]
             gap = p[i] - np.where(inside[due, None], p[tail[due]], there[due])
             q = np.maximum((gap * gap).sum(axis=1, keepdims=True), 1e-12)
             # an edge is listed from both ends, and each listing moves its own end
             move = np.clip(-2 * a * b * q ** (b - 1) / (1 + a * q**b) * gap, -4, 4)
             # random nodes: those of the block are where they are now, others where the round's sample has them
-            here = r.random((len(i), negatives, 1)) < len(ids) / count
-            gap = p[i][:, None] - np.where(here, p[r.integers(0, len(ids), (len(i), negatives))], away[r.integers(0, len(away), (len(i), negatives))])
+            here = r.random((len(i), negatives, 1)) < len(p) / count
+            gap = p[i][:, None] - np.where(here, p[r.integers(0, len(p), (len(i), negatives))], away[r.integers(0, len(away), (len(i), negatives))])
             q = (gap * gap).sum(axis=2, keepdims=True)
             move += np.clip(2 * b / ((0.001 + q) * (1 + a * np.maximum(q, 1e-12) ** b)) * gap, -4, 4).sum(axis=1)
             np.add.at(p, i, step * move)
-    return pd.DataFrame({"node": ids, "at": list(p)})
-
-
-def _moved(rows: DataFrame, step: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
-    """``step`` of each piece of a block."""
-
-    def kernel(key, df):
-        # rows in one order, so that a layout doesn't hang on how they came
-        ordered = df.sort_values(["node", "other"], ignore_index=True)
-        return step(ordered, key=(int(key[0]), int(key[1])))
-
-    return rows.groupBy("block", "piece").applyInPandas(kernel, schema)
+    return p
 
 
 def umap(graph: DataFrame, dims: int = 2, spread: float = 1.0, min_dist: float = 0.3, epochs: int = 200, rounds: int = 10, negatives: int = 5, rate: float = 1.0, start_rounds: int = 10, seed: int = 0, block: int = BLOCK) -> DataFrame:
@@ -126,24 +171,22 @@ def umap(graph: DataFrame, dims: int = 2, spread: float = 1.0, min_dist: float =
     count, top = nodes.count(), edges.agg(F.max("w")).first()[0]
     if not count:
         return edges.select(F.col("node").alias("id"), F.array().cast("array<double>").alias("at"))
-    now = materialize(slow_directions(edges, nodes, dims, start_rounds, seed), "layout")
-    pieces = F.ceil(F.col("n") / PIECE)
+    pieces, blocks = F.ceil(F.col("n") / PIECE), -(-count // block)
     dealt = dealt_join(edges, nodes.select("node", "n"), ["node"], "other").select(
-        F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(-(-count // block))).alias("block"), F.pmod(F.xxhash64("other"), pieces).alias("piece"), "node", "other", "w",
+        F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(blocks)).alias("block"), F.pmod(F.xxhash64("other"), pieces).alias("piece"), "node", "other", "w",
     )
-    a, b = curve(spread, min_dist)
-    edges_ = materialize(dealt, "layout-edges")
+    rows, homes = packed(dealt_join(dealt, nodes.select(F.col("node").alias("other")), ["other"], "node"))  # ends that lead nowhere have no place
     drop_table(edges)
+    moved = lambda now, work, schema: in_pieces(now, rows, homes, blocks, work, kind, schema)
+    now = materialize(slow_directions(nodes, lambda now: moved(now, pulled, "at array<double>, sums array<double>"), dims, start_rounds, seed), "layout")
+    a, b = curve(spread, min_dist)
     for turn in range(rounds):
         first, last = turn * epochs // rounds, (turn + 1) * epochs // rounds
         away = np.array([r["at"] for r in now.orderBy(F.xxhash64("node", F.lit(turn)), "node").limit(AWAY).collect()])  # AWAY rows
-        rows = dealt_join(edges_, now, ["node"], "other")
-        rows = dealt_join(rows, now.select(F.col("node").alias("other"), F.col("at").alias("there")), ["other"], "node")
-
-        step = partial(epochs_of, away=away, count=count, a=a, b=b, first=first, last=last, epochs=epochs, top=top, negatives=negatives, rate=rate, seed=(seed, turn))
-        moved = _moved(rows, step, f"node {kind}, at array<double>")
-        after = materialize(moved.groupBy("node").agg(F.array(*[F.avg(F.col("at")[i]) for i in range(dims)]).alias("at")), "layout")
+        step = partial(stepped, away=away, count=count, a=a, b=b, first=first, last=last, epochs=epochs, top=top, negatives=negatives, rate=rate, seed=(seed, turn))
+        after = materialize(moved(now, step, "at array<double>").groupBy("node").agg(F.array(*[F.avg(F.col("at")[i]) for i in range(dims)]).alias("at")), "layout")
         drop_table(now)
         now = after
-    drop_table(edges_)
+    for t in (rows, homes):
+        drop_table(t)
     return now.select(F.col("node").alias("id"), "at")
